@@ -154,13 +154,13 @@ _group = {w: k for k, words in enumerate(GROUPS.values()) for w in words}
 TAGS = ("article", "main", "section", "div", "p", "h", "li", "list", "nav", "header", "footer", "aside", "form", "table", "quote", "pre", "body")
 _tag = {t: k for k, t in enumerate(TAGS)} | {f"h{i}": 5 for i in range(1, 7)} | {"ul": 7, "ol": 7, "dl": 7, "menu": 8, "td": 13, "tr": 13, "th": 13, "tbody": 13, "blockquote": 14, "html": 16, "#": 16, "dd": 6, "dt": 6, "fieldset": 12, "hgroup": 9}
 _unlikely = [k for k, g in enumerate(GROUPS) if g != "main"]
-FEATURES = 2 * len(TAGS) + 2 * len(GROUPS) + 20
+FEATURES = 2 * len(TAGS) + 2 * len(GROUPS) + 22
 
 
 def node_features(page: Page) -> np.ndarray:
     """A row a node: tag and attribute token groups of itself and of all above it, size, link and text density of the subtree, depth, and its place and share among siblings."""
     nodes = page.nodes
-    total = np.array([[n.chars, n.links, n.stops, n.blocks, 1] for n in nodes], float)
+    total = np.array([[n.chars, n.links, n.stops, n.blocks, 1, n.tag == "h1"] for n in nodes], float)
     for i in range(len(nodes) - 1, 0, -1):
         total[nodes[i].parent] += total[i]
     whole = max(total[0, 0], 1)
@@ -176,7 +176,7 @@ def node_features(page: Page) -> np.ndarray:
         for w in n.tokens:
             if w in _group:
                 row[2 * t + _group[w]] = 1
-        chars, links, stops, blocks, size = total[i]
+        chars, links, stops, blocks, size, titles = total[i]
         up = total[n.parent] if n.parent >= 0 else total[i]
         siblings = nodes[n.parent].children if n.parent >= 0 else [0]
         before = total[siblings[n.place - 1], 0] if n.parent >= 0 and n.place else 0
@@ -184,7 +184,7 @@ def node_features(page: Page) -> np.ndarray:
         row[2 * t + 2 * g :] = (
             n.depth, np.log1p(chars), np.log1p(n.chars), links / max(chars, 1), n.links / max(n.chars, 1), stops / max(chars, 1) * 100, chars / max(blocks, 1), chars / size,
             np.log1p(size), chars / whole, chars / max(up[0], 1), n.place, len(siblings), n.place / max(len(siblings) - 1, 1), np.log1p(before), np.log1p(after),
-            len(n.children), sum(nodes[s].tag == n.tag for s in siblings[:50]), up[1] / max(up[0], 1), np.log1p(up[0]),
+            len(n.children), sum(nodes[s].tag == n.tag for s in siblings[:50]), up[1] / max(up[0], 1), np.log1p(up[0]), titles, up[5],
         )
     return x
 
@@ -192,12 +192,15 @@ def node_features(page: Page) -> np.ndarray:
 def decode(page: Page, chance: np.ndarray) -> list[bool]:
     """Which nodes are kept. A dropped node drops all below it, so a choice for a subtree weighs all its nodes at once:
 
-    the kept set of the greatest total log-probability, by one pass up and one down. Nodes weigh by the text of
-    their own, wrappers a little.
+    the kept set of the greatest total log-probability, by one pass up and one down. Nodes weigh by the text below
+    them, so that no stray leaf outvotes the menu that it stands in.
     """
     nodes = page.nodes
     p = np.clip(chance, 1e-4, 1 - 1e-4)
-    weight = np.array([0.2 + min(np.log1p(n.chars), 6) for n in nodes])
+    size = np.array([n.chars for n in nodes], float)
+    for i in range(len(nodes) - 1, 0, -1):
+        size[nodes[i].parent] += size[i]
+    weight = 1 + np.log1p(size)
     keep, drop = weight * np.log(p), weight * np.log(1 - p)
     for i in range(len(nodes) - 1, 0, -1):
         keep[nodes[i].parent] += max(keep[i], drop[i])
@@ -276,14 +279,16 @@ class PageWriter:
             out.append(f"<header>{h1}</header>" if r.random() < 0.25 else h1)
         if r.random() < 0.25:
             out.append(self.boiler("share"))
-        for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14, 20])):
+        brief = r.random() < 0.15
+        for _ in range(r.choice([1, 2] if brief else [1, 1, 2, 3, 4, 6, 9, 14, 20])):
             kind = r.random()
-            text = self.words(1, r.choice([3, 12, 40, 90, 150]))
+            text = self.words(1, r.choice([2, 3, 6] if brief else [3, 12, 40, 90, 150]))
             if kind < 0.72:
                 text = f"<b>{text}<br>" if r.random() < 0.06 else text if r.random() < 0.8 else text + f' <a href="/l">{self.words(1, 4, False)}</a> ' + self.words(2, 20)
                 out.append(f"<p{m}>{text}" + ("</p>" if r.random() < 0.9 else ""))
             elif kind < 0.8:
-                out.append(f"<h{r.choice([2, 3])}{m}>{self.words(1, 8, False)}</h2>")
+                level = r.choice([2, 3])
+                out.append(f"<h{level}{m}>{self.words(1, 8, False)}</h{level}>")
             elif kind < 0.86:
                 out.append("<ul>" + "".join(f"<li{m}>{self.words(1, 20)}</li>" for _ in range(r.randrange(1, 6))) + "</ul>")
             elif kind < 0.9:
@@ -322,7 +327,7 @@ class PageWriter:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 420, seed: int = 5) -> gbt.Trees:
+def trained(pages: int = 900, seed: int = 5) -> gbt.Trees:
     """Trees for "main text lies in this node", from written pages; no table is read, so a process trains once for any input."""
     writer, x, y = PageWriter(seed), [], []
     for _ in range(pages):
@@ -332,7 +337,7 @@ def trained(pages: int = 420, seed: int = 5) -> gbt.Trees:
             main[page.nodes[i].parent] = max(main[page.nodes[i].parent], main[i])
         x.append(node_features(page))
         y.append(main)
-    return gbt.fit(np.concatenate(x), np.concatenate(y), trees=40, depth=4, rate=0.35, bins=24, l2=2.0, least=2.0)
+    return gbt.fit(np.concatenate(x), np.concatenate(y), trees=70, depth=5, rate=0.3, bins=32, l2=2.0, least=2.0)
 
 
 def extract(pages: DataFrame, trees: gbt.Trees | None = None) -> DataFrame:
