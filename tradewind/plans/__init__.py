@@ -1,0 +1,6 @@
+"""Registered queries of the engine and their SQL."""
+
+from tradewind.plans import articles, relations
+from tradewind.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "articles", "relations"]
