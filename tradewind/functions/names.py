@@ -7,16 +7,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tradewind.dictionaries import LEAST_DERIVED_ALIAS, LEGAL_FORMS, UNDECOMPOSABLE
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible_folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_accents(s: pd.Series) -> pd.Series:
     table = str.maketrans(UNDECOMPOSABLE)
 

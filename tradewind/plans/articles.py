@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
@@ -14,7 +14,10 @@ from tradewind.plans.registry import query
 from tradewind.session import table
 from tradewind.sources.adapters import PROCESSED, RAW_ARTICLES, processed, raw_articles
 
-AS_OF = F.expr("timestamp_ntz'2024-01-20 00:00:00'")
+
+
+def as_of() -> Column:
+    return F.expr("timestamp_ntz'2024-01-20 00:00:00'")
 
 
 def q(value: str) -> str:
@@ -86,7 +89,7 @@ _warn = f"""list_filter([
 
 @query(RAW_ARTICLES, sql=f"SELECT id, array_to_string({_fail}, '|') AS failures, array_to_string({_warn}, '|') AS warnings FROM raw_articles")
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = raw_articles(spark, sf_dir).withColumns(quality.quality_columns(AS_OF))
+    a = raw_articles(spark, sf_dir).withColumns(quality.quality_columns(as_of()))
     return a.select("id", F.array_join("failures", "|").alias("failures"), F.array_join("warnings", "|").alias("warnings"))
 
 
@@ -101,7 +104,7 @@ def source_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RAW_ARTICLES, f"d AS (SELECT *, {_domain} AS domain, {_fail} AS failures FROM raw_articles)", sql=f"SELECT coalesce(CASE WHEN domain IN ({', '.join(map(q, D.BLOCKED_DOMAINS))}) THEN 'Blocked source' WHEN len(failures) > 0 THEN failures[1] WHEN language NOT IN ({', '.join(map(q, quality.SUPPORTED_LANGUAGES))}) THEN 'Unsupported language' END, 'accepted') AS outcome, count(*) AS n FROM d GROUP BY 1")
 def normalise_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = quality.normalise(raw_articles(spark, sf_dir), AS_OF)
+    done = quality.normalise(raw_articles(spark, sf_dir), as_of())
     return done.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 

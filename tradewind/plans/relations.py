@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
@@ -12,10 +12,14 @@ from tradewind.plans.registry import query
 from tradewind.session import table
 from tradewind.sources.adapters import FX_TICKS, MENTIONS, PROCESSED, RAW_ARTICLES, RISK_EVENTS, SUPPLIERS, fx_ticks, mentions, processed, raw_articles, risk_events, suppliers
 
-NOW = F.expr("timestamp_ntz'1998-08-01 00:00:00'")
 NOW_SQL = "TIMESTAMP '1998-08-01 00:00:00'"
 
 
+
+def now() -> Column:
+    return F.expr("timestamp_ntz'1998-08-01 00:00:00'")
+
+
 # ---- suppliers ----
 
 _norm = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
@@ -145,7 +149,7 @@ def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
    + CASE WHEN risk_type IN ('tariff') THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS s
   FROM risk_events WHERE published_at >= {NOW_SQL} - INTERVAL 14 DAY)) ORDER BY rank_score DESC, published_at DESC, id DESC LIMIT 25 OFFSET 5""")
 def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = risk_events(spark, sf_dir).where(F.col("published_at") >= NOW - F.expr("interval 14 days"))
+    recent = risk_events(spark, sf_dir).where(F.col("published_at") >= now() - F.expr("interval 14 days"))
     score = risk.rank_score(["siemens ag", "toyota"], ["germany"], ["automotive", "logistics"], ["tariff"])
     return recent.withColumn("rank_score", score).orderBy(F.desc("rank_score"), F.desc("published_at"), F.desc("id")).offset(5).limit(25).select("id", "rank_score")
 
@@ -220,7 +224,7 @@ arts AS (SELECT id, processed_at, {category_sql('top_level_category')} AS catego
 def feed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(articles of the last week, every tenth customer as a user) with their token arrays."""
     some = lambda c: F.array_compact(F.array(c))
-    a = processed(spark, sf_dir).where((F.col("processed_at") >= NOW - F.expr("interval 7 days")) & (F.col("processed_at") <= NOW))
+    a = processed(spark, sf_dir).where((F.col("processed_at") >= now() - F.expr("interval 7 days")) & (F.col("processed_at") <= now()))
     none = F.expr("cast(array() as array<string>)")
     arts = a.select("id", "processed_at", personal.category_tokens(some("top_level_category")).alias("categories"), personal.tokens(some("supplier")).alias("suppliers"), personal.region_tokens(some("region")).alias("regions"), none.alias("signals"))
     c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -281,7 +285,7 @@ def unprocessed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RISK_EVENTS, PROCESSED, sql=f"SELECT 'risk_events' AS dataset, count(*) FILTER (published_at < {NOW_SQL} - INTERVAL 14 DAY) AS deleted, count(*) FILTER (NOT published_at < {NOW_SQL} - INTERVAL 14 DAY) AS kept FROM risk_events UNION ALL SELECT 'processed', count(*) FILTER (processed_at < {NOW_SQL} - INTERVAL 30 DAY), count(*) FILTER (NOT processed_at < {NOW_SQL} - INTERVAL 30 DAY) FROM processed")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     def counts(df: DataFrame, at: str, name: str) -> DataFrame:
-        gone = lifecycle.expired(df, at, NOW, D.RETENTION_DAYS[name])
+        gone = lifecycle.expired(df, at, now(), D.RETENTION_DAYS[name])
         return df.agg(F.lit(name).alias("dataset"), F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
 
     return counts(risk_events(spark, sf_dir), "published_at", "risk_events").unionByName(counts(processed(spark, sf_dir), "processed_at", "processed"))
@@ -303,9 +307,9 @@ JAN15 = "TIMESTAMP '2024-01-15 00:00:00'"
 @query(LIFE, sql=f"""SELECT coalesce((s IS NULL OR s IN ('normalization_retry', 'enrichment_retry', 'deferred', 'processing')) AND (n IS NULL OR n <= {JAN15}) AND (l IS NULL OR l <= {JAN15}), false) AS claimable,
   coalesce(s IN ('completed', 'skipped', 'quality_rejected') OR n > {JAN15} OR (l > {JAN15} AND o <> 'w1'), false) AS unavailable, count(*) AS n FROM life GROUP BY ALL""")
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.expr("timestamp_ntz'2024-01-15 00:00:00'")
+    at = F.expr("timestamp_ntz'2024-01-15 00:00:00'")
     false = F.lit(False)
-    a = life(spark, sf_dir).select(F.coalesce(lifecycle.claimable(now), false).alias("claimable"), F.coalesce(lifecycle.unavailable(now, F.lit("w1")), false).alias("unavailable"))
+    a = life(spark, sf_dir).select(F.coalesce(lifecycle.claimable(at), false).alias("claimable"), F.coalesce(lifecycle.unavailable(at, F.lit("w1")), false).alias("unavailable"))
     return a.groupBy("claimable", "unavailable").agg(F.count("*").alias("n"))
 
 
