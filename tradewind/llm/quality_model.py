@@ -67,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, epochs: int = 12
     dense = np.array([statistics(t)[1] for t in several])
     r = np.random.default_rng(seed)
     size = WORD_BUCKETS + len(FEATURES)
-    machine = Machine(0.0, np.zeros(size), r.standard_normal((size, RANK)) * 0.02, dense.mean(0), dense.std(0) + 1e-6)
+    machine = Machine(0.0, np.zeros(size), r.standard_normal((size, RANK)) * 0.02, dense.mean(0), dense.std(0) + 0.05 * np.abs(dense.mean(0)) + 0.01)
     data = machine.rows(several)
     seen_w, seen_v, seen_0 = np.full(size, 1e-2), np.full((size, RANK), 1e-2), 1e-2
     even = np.where(quality == 1, 0.5 / max(quality.mean(), 1e-3), 0.5 / max(1 - quality.mean(), 1e-3))
