@@ -21,6 +21,8 @@ def corpus(spark, tmp_path_factory):
     rows, labels = [], []
     for i in range(300):
         text = prose(r, r.randrange(50, 200))
+        if i % 7 == 1:
+            text += f" mail x{i}@host{i}.example.org"
         if i % 5 == 0:
             text = " ".join(w + "###" for w in text.split())
         rows.append((i, text))

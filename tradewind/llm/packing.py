@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +22,22 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 0
 #: Pieces that one task packs; a shard leaves at most its last sequences part empty.
 SHARD = 20_000
-#: White-space-free chunks whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Chunks without white space, and words of these, whose ids a worker remembers before it starts anew.
+REMEMBERED = 500_000
+
+# The tokenizer's splitting pattern, for lower-case Latin-1 text.
+_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_plain = re.compile(r"[\x21-\x7e\xc0-\xff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level tokenizer writes for each byte: itself where it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
+
+
+_letters = _byte_letters()
 
 
 @lru_cache(maxsize=2)
@@ -28,24 +45,46 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class ChunkIds(dict):
     """Ids of chunks without white space, as little-endian bytes.
 
     The tokenizer drops white space and never lets a token cross it, so a text's ids are its chunks' ids in order.
+    A new chunk of Latin-1 characters is lower-cased and split as the tokenizer does it, and only words not met
+    before go through its merges; any other chunk, or one that may hold a special token, goes through it whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = _tokenizer(path)
+        self.merges = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
 
     def learn(self, chunks: list[bytes]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        new = [c for c in set(chunks) if c not in self]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        odd = []
+        for c in set(chunks):
+            if c not in self:
+                text = c.decode("utf-8", "replace")
+                if _plain.fullmatch(text) and "<|" not in text:
+                    self[c] = b"".join([self.words.get(w) or self.word(w) for w in _pieces.findall(text.lower())])
+                else:
+                    odd.append((c, text))
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([text for _, text in part], add_special_tokens=False)
+            self.update((c, _little_endian(e.ids)) for (c, _), e in zip(part, found))
+
+    def word(self, w: str) -> bytes:
+        spelled = w.encode().decode("latin-1").translate(_letters)
+        self.words[w] = ids = _little_endian([t.id for t in self.merges.tokenize(spelled)])
+        return ids
 
 
 @lru_cache(maxsize=2)
