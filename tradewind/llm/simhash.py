@@ -100,11 +100,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less all but the least doc_id of each group; of rows that repeat an id, one stays."""
+    """The documents less all but the least doc_id of each group; of rows that repeat an id, one stays.
+
+    What stays grows with the input, so it is never broadcast: texts are shuffled once, at every size alike.
+    """
     groups = written(near_duplicates(docs).select("doc_id", "component_id"), "groups")
     kept = groups.where("doc_id is null or doc_id = component_id")
     repeated = written(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     ids = kept.where("doc_id is not null").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi")
+    own = docs.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi")
     once = own.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return own.join(repeated, "doc_id", "left_anti").unionByName(once).unionByName(docs.where("doc_id is null")).select(docs.columns)
