@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +166,15 @@ class Benchmark:
         return sorted((self.ids[i], *found) for i, found in best.items())
 
 
+def _shares(benchmark: DataFrame, items_a_pass: int) -> Iterator[Broadcast]:
+    """The benchmark's items in shares of about items_a_pass at most, one after the other sent to the tasks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    shares = max(1, -(-items.count() // items_a_pass))
+    for share in range(shares):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == share).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in rows]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_shingles, differing_bits: each item that a document holds, at its best window.
 
@@ -173,14 +184,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEM
     texts and items match nothing; rows of a null doc_id or of equal ids are reported like any other; two items of
     equal text are both reported. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, similarity double, first_word long, n_shingles int, differing_bits int"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    shares = max(1, -(-items.count() // items_a_pass))
     out = None
-    for share in range(shares):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == share).collect()
-        sent = spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in rows]))
+    for sent in _shares(benchmark, items_a_pass):
 
         def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             items, known = sent.value, _known()
@@ -197,7 +203,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEM
     return out
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; rows of a null doc_id can't be told apart and stay."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+    """The documents that hold no benchmark item, with their columns.
+
+    The pass that searches a text also keeps or drops its row, so no text is shuffled. Rows that share a doc_id are
+    each judged by their own text; rows of a null doc_id, which a report can't name, stay, as do null texts.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for sent in _shares(benchmark, items_a_pass):
+
+        def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            items, known = sent.value, _known()
+            if not items.by_size:
+                return batch
+            rows = zip(batch.column("doc_id").to_pylist(), texts(batch))
+            return batch.filter(pa.array([doc is None or not items.matches(shingle_hashes(text, known)) for doc, text in rows], pa.bool_()))
+
+        docs = map_batches(docs, docs.columns, schema, step)
+    return docs
