@@ -47,26 +47,48 @@ def overall(category: Column, supplier: Column, region: Column, signal: Column)
     return category * w["category"] + supplier * w["supplier"] + region * w["region"] + signal * w["signal"]
 
 
-def candidates(articles: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, id) pairs that can be included, by equality on one key a user.
+def candidates(articles: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, id) pairs that can be included, by equality on one tag; key names a user or a profile.
 
     A user with category or supplier interests can only get articles that share one; of the rest, those with
     regions ones that share a region, then signals. What an article offers and a user wants is exploded and joined on
-    (kind, value), so no user is paired with every article. Users without any interest share one ranking and are
-    not listed here.
+    (kind, value), so no user is paired with every article. Without any interest every article fits: call this with
+    profiles, of which only those that differ in their exclusions are then paired with all.
     """
     def tagged(column: str, kind: str) -> Column:
         return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     kinds = ("categories", "suppliers", "regions", "signals")
-    offer = articles.select("id", F.explode(F.concat(*(tagged(k, k) for k in kinds))).alias("x")).select("id", "x.*")
+    every = F.array(F.struct(F.lit("any").alias("kind"), F.lit("").alias("value")))
+    offer = articles.select("id", F.explode(F.concat(every, *(tagged(k, k) for k in kinds))).alias("x")).select("id", "x.*")
     pick = lambda k: tagged(f"wanted_{k}", k)
     focus = F.concat(pick("categories"), pick("suppliers"))
-    want = users.select("user_id", F.explode(F.when(F.size(focus) > 0, focus).when(F.size("wanted_regions") > 0, pick("regions")).otherwise(pick("signals"))).alias("x")).select("user_id", "x.*")
-    return offer.join(want, ["kind", "value"]).select("user_id", "id").distinct()
+    wish = F.when(F.size(focus) > 0, focus).when(F.size("wanted_regions") > 0, pick("regions")).when(F.size("wanted_signals") > 0, pick("signals")).otherwise(every)
+    want = users.select(key, F.explode(wish).alias("x")).select(key, "x.*")
+    return offer.join(want, ["kind", "value"]).select(key, "id").distinct()
 
 
-def feed(scored: DataFrame, limit: int = 50, least: float = 0.3) -> DataFrame:
-    """The best articles of each user, ranked by score, then time, then id."""
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("rank_score"), F.desc("processed_at"), F.asc("id")))
+def feed(scored: DataFrame, limit: int = 50, least: float = 0.3, key: str = "user_id") -> DataFrame:
+    """The best articles of each user (or profile), ranked by score, then time, then id."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("rank_score"), F.desc("processed_at"), F.asc("id")))
     return scored.where(F.col("rank_score") >= least).withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+WANTED = ("wanted_categories", "wanted_suppliers", "wanted_regions", "wanted_signals", "excluded_suppliers")
+
+
+def feeds(articles: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
+    """user_id, id, rank_score, rank: the feed of every user.
+
+    Users who want and exclude the same form one profile. Articles are scored and ranked once a profile, and the users
+    take their profile's list by equality, so the pairs scored grow with profiles and articles, not with users.
+    """
+    placed = users.withColumn("profile", F.to_json(F.struct(*(F.sort_array(c).alias(c) for c in WANTED))))
+    profiles = placed.select("profile", *WANTED).dropDuplicates(["profile"])
+    pairs = candidates(articles, profiles, "profile").join(articles, "id").join(profiles, "profile")
+    none = F.expr(EMPTY)
+    scored = pairs.where(~F.arrays_overlap("suppliers", "excluded_suppliers")).withColumn("rank_score", overall(
+        score(F.col("wanted_categories"), none, F.col("categories"), exact=True), score(F.col("wanted_suppliers"), F.col("excluded_suppliers"), F.col("suppliers")),
+        score(F.col("wanted_regions"), none, F.col("regions")), score(F.col("wanted_signals"), none, F.col("signals"))))
+    best = feed(scored, limit, key="profile").select("profile", "id", "rank_score", "rank")
+    return placed.select("user_id", "profile").join(best, "profile").select("user_id", "id", "rank_score", "rank")

@@ -222,12 +222,12 @@ arts AS (SELECT id, processed_at, {category_sql('top_level_category')} AS catego
 
 
 def feed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(articles of the last week, every tenth customer as a user) with their token arrays."""
+    """(articles of the last week, every customer as a user) with their token arrays."""
     some = lambda c: F.array_compact(F.array(c))
     a = processed(spark, sf_dir).where((F.col("processed_at") >= now() - F.expr("interval 7 days")) & (F.col("processed_at") <= now()))
     none = F.expr("cast(array() as array<string>)")
     arts = a.select("id", "processed_at", personal.category_tokens(some("top_level_category")).alias("categories"), personal.tokens(some("supplier")).alias("suppliers"), personal.region_tokens(some("region")).alias("regions"), none.alias("signals"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     k = F.col("c_custkey")
     category = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "automotive").when(F.col("c_mktsegment") == "BUILDING", "construction")
     users = c.select(k.alias("user_id"), some(category).alias("wanted_categories"), some(F.when(k % 5 == 0, "bosch")).alias("wanted_suppliers"), some(F.when(k % 4 == 1, F.lower("r_name")).when(k % 4 > 1, "germany")).alias("wanted_regions"), none.alias("wanted_signals"), some(F.when(k % 6 == 0, "toyota")).alias("excluded_suppliers"))
@@ -244,19 +244,41 @@ _focus = "(want_category IS NOT NULL OR want_supplier IS NOT NULL)"
   FROM users JOIN arts ON CASE WHEN {_focus} THEN coalesce(category = want_category, false) OR coalesce(supplier = want_supplier, false) ELSE coalesce(region = want_region, false) END
   WHERE NOT coalesce(supplier = no_supplier, false))""", sql="SELECT user_id, id, round(rank_score, 6) AS rank_score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, processed_at DESC, id) AS r FROM scored WHERE rank_score >= 0.3) WHERE r <= 10")
 def personal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten of every tenth customer; personal_feed_all has the whole feeds of all."""
     arts, users = feed_tables(spark, sf_dir)
-    pairs = personal.candidates(arts, users).join(arts, "id").join(users, "user_id")
-    pairs = pairs.where(~F.arrays_overlap("suppliers", "excluded_suppliers"))
-    none = F.expr("cast(array() as array<string>)")
-    scored = pairs.withColumn("rank_score", personal.overall(
-        personal.score(F.col("wanted_categories"), none, F.col("categories"), exact=True), personal.score(F.col("wanted_suppliers"), F.col("excluded_suppliers"), F.col("suppliers")),
-        personal.score(F.col("wanted_regions"), none, F.col("regions")), personal.score(F.col("wanted_signals"), none, F.col("signals"))))
-    return personal.feed(scored, limit=10).select("user_id", "id", F.round("rank_score", 6).alias("rank_score"), F.col("rank").cast("long").alias("rank"))
+    return shown_feed(personal.feeds(arts, users.where(TENTH), limit=10))
+
+
+def shown_feed(f: DataFrame) -> DataFrame:
+    return f.select("user_id", "id", F.round("rank_score", 6).alias("rank_score"), F.col("rank").cast("long").alias("rank"))
+
+
+TENTH = "user_id % 10 = 0"
+USERS_ALL = USERS.replace(" WHERE c_custkey % 10 = 0)", ")")
+
+
+@query(PROCESSED, USERS_ALL, f"""scored AS (SELECT user_id, id, processed_at,
+    CASE WHEN want_category IS NULL THEN CAST(0.5 AS DOUBLE) WHEN category = want_category THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.3 AS DOUBLE)
+    + CASE WHEN supplier IS NULL OR want_supplier IS NULL THEN CAST(0.5 AS DOUBLE) WHEN supplier = want_supplier THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.3 AS DOUBLE)
+    + CASE WHEN want_region IS NULL THEN CAST(0.5 AS DOUBLE) WHEN region = want_region THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(0.2 AS DOUBLE) AS rank_score
+  FROM users JOIN arts ON CASE WHEN {_focus} THEN coalesce(category = want_category, false) OR coalesce(supplier = want_supplier, false) WHEN want_region IS NOT NULL THEN coalesce(region = want_region, false) ELSE true END
+  WHERE NOT coalesce(supplier = no_supplier, false))""", sql="SELECT user_id, id, round(rank_score, 6) AS rank_score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, processed_at DESC, id) AS r FROM scored WHERE rank_score >= 0.3) WHERE r <= 50")
+def personal_feed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 50 of every customer, those without any interest too."""
+    return shown_feed(personal.feeds(*feed_tables(spark, sf_dir)))
 
 
 @query(PROCESSED, USERS, sql=f"SELECT CASE WHEN {_focus} THEN 'focus' WHEN want_region IS NOT NULL THEN 'region' ELSE 'all' END AS kind, count(DISTINCT user_id) AS users FROM users GROUP BY 1")
 def preference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, users = feed_tables(spark, sf_dir)
+    return kinds_of(feed_tables(spark, sf_dir)[1].where(TENTH))
+
+
+@query(PROCESSED, USERS_ALL, sql=f"SELECT CASE WHEN {_focus} THEN 'focus' WHEN want_region IS NOT NULL THEN 'region' ELSE 'all' END AS kind, count(DISTINCT user_id) AS users FROM users GROUP BY 1")
+def preference_kinds_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinds_of(feed_tables(spark, sf_dir)[1])
+
+
+def kinds_of(users: DataFrame) -> DataFrame:
     focus = (F.size("wanted_categories") > 0) | (F.size("wanted_suppliers") > 0)
     return users.groupBy(F.when(focus, "focus").when(F.size("wanted_regions") > 0, "region").otherwise("all").alias("kind")).agg(F.count_distinct("user_id").alias("users"))
 
