@@ -20,3 +20,17 @@ def test_feeds_by_profile(spark):
         got.setdefault(r.user_id, []).append(r.id)
     assert got[1] == got[2] == [i for i in range(199, 0, -2) if i % 10 != 1][:50]
     assert got[3] == list(range(199, 149, -1))
+
+
+def test_texts_past_two_thousand_characters(spark, tmp_path):
+    text = "Quiet first line\nQuiet second line\n" + "filler words here and " * 200 + "a port strike in Poland by Nexans"
+    spark.createDataFrame([(24, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", "<p>" + "word " * 1000 + "end</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("signal_classifier_whole", "region_extraction_whole", "bounded_phrases_whole", "search_whole", "token_estimates_whole", "deterministic_analysis_whole", "risk_events_detected", "page_plain_text")}
+    assert {r.signal_type for r in got["signal_classifier_whole"]} and [r.regions for r in got["region_extraction_whole"]] != [""]
+    assert [r.id for r in got["bounded_phrases_whole"]] == [r.id for r in got["search_whole"]] == [24]
+    assert got["token_estimates_whole"][0].tokens > 400 + len(text) // 4
+    assert got["deterministic_analysis_whole"][0].n_suppliers >= 1 and "strike" in {r.risk_type for r in got["risk_events_detected"]}
+    assert got["page_plain_text"][0].text.endswith("word end")
+    part = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("signal_classifier", "bounded_phrases", "search")}
+    assert not any(part.values())

@@ -77,12 +77,14 @@ def extractive_summary(description: Column, snippet: Column, title: Column, most
     return F.when(F.length(text) <= most, text).when(padded, F.substring(text, 1, most)).otherwise(F.concat(word, F.lit("…")))
 
 
-def plain_text(c: Column, most: int) -> Column:
-    """Text of an HTML fragment: scripts and styles dropped, tags as spaces, common references decoded, spacing repaired."""
+def plain_text(c: Column, most: int | None = None) -> Column:
+    """Text of an HTML fragment: scripts and styles dropped, tags as spaces, common references decoded, spacing repaired.
+
+    It is cut at `most` characters where a field's limit is given."""
     t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(sign))
     t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
     t = F.regexp_replace(t, r"\s+([.,;:!?])", "$1")
-    return F.nullif(F.substring(t, 1, most), F.lit(""))
+    return F.nullif(t if most is None else F.substring(t, 1, most), F.lit(""))

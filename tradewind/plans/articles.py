@@ -12,7 +12,7 @@ from tradewind.functions import url as U
 from tradewind.operators import dedup, enrich, quality, risk
 from tradewind.plans.registry import query
 from tradewind.session import table
-from tradewind.sources.adapters import PROCESSED, RAW_ARTICLES, processed, raw_articles
+from tradewind.sources.adapters import PROCESSED, RAW_ARTICLES, processed, raw_articles, whole_articles
 
 
 
@@ -49,19 +49,19 @@ def with_text(articles: DataFrame) -> DataFrame:
     return articles.withColumn("text", F.concat_ws(" ", "title", F.nullif("description", F.lit("")), F.nullif("content_snippet", F.lit(""))))
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = with_text(raw_articles(spark, sf_dir))
+def classified(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    a = with_text(articles(spark, sf_dir))
     return a.select("id", F.explode(S.classify(F.col("text"), F.col("title"))).alias("s")).select("id", "s.*")
 
 
 @query(RAW_ARTICLES, SIGNALS, sql="SELECT id, signal_type, confidence, severity, impact_areas FROM signals")
-def signal_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir).withColumn("impact_areas", F.array_join("impact_areas", "|"))
+def signal_classifier(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    return classified(spark, sf_dir, articles).withColumn("impact_areas", F.array_join("impact_areas", "|"))
 
 
 @query(RAW_ARTICLES, SIGNALS, sql="SELECT signal_type, severity, count(*) AS n FROM signals GROUP BY GROUPING SETS ((signal_type), (severity), ())")
-def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir).groupingSets([["signal_type"], ["severity"], []], "signal_type", "severity").agg(F.count("*").alias("n"))
+def signal_stats(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    return classified(spark, sf_dir, articles).groupingSets([["signal_type"], ["severity"], []], "signal_type", "severity").agg(F.count("*").alias("n"))
 
 
 _impact_rows = ", ".join(f"({q(t)}, {', '.join(f'CAST({x} AS DOUBLE)' for x in v)})" for t, v in D.IMPACT.items())
@@ -71,8 +71,8 @@ _impacts = ", ".join(f"least(CAST(1.0 AS DOUBLE), coalesce(b.{n}, CAST(0.5 AS DO
 
 
 @query(RAW_ARTICLES, SIGNALS, f"base(kind, {', '.join(_four)}) AS (VALUES {_impact_rows})", f"s AS (SELECT *, {_factor} AS f FROM signals)", f"i AS (SELECT s.id, s.signal_type, {_impacts} FROM s LEFT JOIN base b ON b.kind = s.signal_type)", sql="SELECT *, (procurement_impact + supply_chain_impact + compliance_impact + pricing_impact) / 4 AS overall_risk_score FROM i")
-def signal_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir).select("id", "signal_type", *S.impact(F.col("signal_type"), F.col("severity")))
+def signal_impact(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    return classified(spark, sf_dir, articles).select("id", "signal_type", *S.impact(F.col("signal_type"), F.col("severity")))
 
 
 _fail = """list_filter([
@@ -154,8 +154,8 @@ _ordered_distinct = lambda x: f"list_filter({x}, lambda v, i: list_position({x},
 
 
 @query(RAW_ARTICLES, f"t AS (SELECT id, lower({TEXT}) AS low FROM raw_articles)", f"r AS (SELECT id, {_regions} AS found FROM t)", sql=f"SELECT id, array_to_string({_ordered_distinct('found')}, '|') AS regions FROM r")
-def region_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = with_text(raw_articles(spark, sf_dir))
+def region_extraction(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    a = with_text(articles(spark, sf_dir))
     return a.select("id", F.array_join(S.regions(F.col("text")), "|").alias("regions"))
 
 
@@ -200,8 +200,8 @@ def signal_term_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RAW_ARTICLES, f"t AS (SELECT id, trim(regexp_replace(lower({TEXT}), '\\s+', ' ', 'g')) AS low FROM raw_articles)", sql=f"SELECT id FROM t WHERE {phrase('low', [x for x in D.expand_terms(['strike', 'tariff']) if len(x) >= 3])}")
-def bounded_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = with_text(raw_articles(spark, sf_dir))
+def bounded_phrases(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    a = with_text(articles(spark, sf_dir))
     return a.where(T.has_phrase(T.normal(F.col("text")), [x for x in D.expand_terms(["strike", "tariff"]) if len(x) >= 3])).select("id")
 
 
@@ -213,8 +213,8 @@ def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_articles(spark, sf_dir).select("id", T.extractive_summary(F.col("description"), F.col("content_snippet"), F.col("title"), 120).alias("summary"))
 
 
-def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.analyse(raw_articles(spark, sf_dir))
+def analysed(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    return enrich.analyse(articles(spark, sf_dir))
 
 
 _votes = [("title", 3), ("coalesce(description, '')", 3), ("coalesce(content_snippet, '')", 2), ("query_group", 1), ("source_name", 1)]
@@ -242,27 +242,27 @@ _route = """CASE WHEN id % 10 = 0 THEN 'cached' WHEN relevance < 0.35 THEN 'skip
 
 
 @query(RAW_ARTICLES, ANALYSIS, sql="SELECT id, category, n_sup AS n_suppliers, n_reg AS n_regions, relevance, confidence FROM analysed")
-def deterministic_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed(spark, sf_dir).select("id", "category", F.size("suppliers").cast("long").alias("n_suppliers"), F.size("regions").cast("long").alias("n_regions"), "relevance", "confidence")
+def deterministic_analysis(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    return analysed(spark, sf_dir, articles).select("id", "category", F.size("suppliers").cast("long").alias("n_suppliers"), F.size("regions").cast("long").alias("n_regions"), "relevance", "confidence")
 
 
 @query(RAW_ARTICLES, ANALYSIS, sql=f"SELECT route, count(*) AS n, count(*) FILTER (route IN ('cached', 'deterministic', 'skipped')) AS avoided FROM (SELECT {_route} AS route FROM analysed) GROUP BY 1")
-def enrichment_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enrichment_routes(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
     """Routes with every tenth article cached and a budget for odd ids."""
     where, _ = enrich.route(F.col("id") % 10 == 0, F.col("relevance"), F.col("confidence"), F.col("id") % 2 == 1)
-    return analysed(spark, sf_dir).select(where.alias("route")).groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.col("route").isin("cached", "deterministic", "skipped")).alias("avoided"))
+    return analysed(spark, sf_dir, articles).select(where.alias("route")).groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.col("route").isin("cached", "deterministic", "skipped")).alias("avoided"))
 
 
 @query(RAW_ARTICLES, sql="SELECT id, published_at, greatest(1, CAST(floor((length(title) + length(coalesce(description, '')) + length(coalesce(content_snippet, ''))) / 4) AS INT) + 400) AS tokens, coalesce(row_number() OVER (PARTITION BY CASE WHEN (id % 3 = 2) THEN provider || provider_article_id ELSE 'u' || article_url END ORDER BY id) > 1, false) AS from_cache FROM raw_articles")
-def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = raw_articles(spark, sf_dir).withColumn("k", F.when(F.col("id") % 3 == 2, F.concat("provider", "provider_article_id")).otherwise(F.concat(F.lit("u"), "article_url")))
+def token_estimates(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+    a = articles(spark, sf_dir).withColumn("k", F.when(F.col("id") % 3 == 2, F.concat("provider", "provider_article_id")).otherwise(F.concat(F.lit("u"), "article_url")))
     return a.select("id", "published_at", enrich.estimated_tokens(F.col("title"), F.col("description"), F.col("content_snippet")).alias("tokens"), enrich.later_copies(a, "k", "id").alias("from_cache"))
 
 
 @query()
 def budget_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by day of publication against five calls and 6,000 tokens each day; a fold that SQL can't express."""
-    a = raw_articles(spark, sf_dir)
+    a = whole_articles(spark, sf_dir)
     c = a.select("id", F.to_date("published_at").alias("day"), (enrich.estimated_tokens(F.col("title"), F.col("description"), F.col("content_snippet")) * (F.col("id") % 4 + 1)).alias("tokens"))
     return enrich.reserve(c, "day", "id", "tokens")
 
@@ -308,8 +308,8 @@ def risk_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def risk_events_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the raw articles with evidence, entities and idempotency key."""
-    a = analysed(spark, sf_dir)
+    """Events of the whole articles with evidence, entities and idempotency key."""
+    a = analysed(spark, sf_dir, whole_articles)
     none = F.expr("cast(array() as array<string>)")
     events = risk.detect(a.select("id", risk.article_text(F.col("title"), F.col("summary"), F.col("description"), F.col("content_snippet")).alias("text"), F.concat(F.array("priority_signal"), "signal_tags").alias("signal_values"), "priority_signal", F.col("suppliers").alias("detected_suppliers"), F.col("regions").alias("detected_regions"), F.coalesce(F.array("category"), none).alias("categories")))
     return events.withColumn("event_key", risk.event_key(F.col("id"), F.col("risk_type"), F.col("affected_suppliers"), F.col("affected_locations")))

@@ -128,7 +128,7 @@ def preference_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html"), 2000).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html")).alias("text"))
 
 
 @query(RISK_EVENTS, sql="SELECT id, list_has_any(list_transform(affected_suppliers, lambda x: lower(x)), ['bosch', 'toyota']) AS hit FROM risk_events WHERE status <> 'dismissed'")

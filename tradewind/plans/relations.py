@@ -181,9 +181,9 @@ def risk_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RAW_ARTICLES, f"hit AS (SELECT id, title, description, content_snippet, published_at, lower(concat_ws(' ', title, nullif(description, ''), nullif(content_snippet, ''))) AS hay FROM raw_articles WHERE (title ILIKE '%port strike%' OR description ILIKE '%port strike%' OR content_snippet ILIKE '%port strike%') AND published_at >= TIMESTAMP '2024-01-03 00:00:00')", "top AS (SELECT * FROM hit ORDER BY published_at DESC, id LIMIT 60)", sql="SELECT id, least(CASE WHEN contains(hay, 'port strike') THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END + least(CAST(0.3 AS DOUBLE), CAST(0.1 AS DOUBLE) * (CAST(contains(hay, 'port') AS INT) + CAST(contains(hay, 'strike') AS INT))) + CASE WHEN contains(lower(title), 'port strike') THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END, CAST(1.0 AS DOUBLE)) AS relevance FROM top ORDER BY relevance DESC, published_at DESC, id LIMIT 20")
-def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
     """The best 20 of the latest 60 matches; a null column drops out of the test."""
-    return search_articles(raw_articles(spark, sf_dir), "port strike", F.expr("timestamp_ntz'2024-01-03 00:00:00'"), 20).select("id", "relevance")
+    return search_articles(articles(spark, sf_dir), "port strike", F.expr("timestamp_ntz'2024-01-03 00:00:00'"), 20).select("id", "relevance")
 
 
 def search_articles(articles: DataFrame, text: str, since, limit: int) -> DataFrame:

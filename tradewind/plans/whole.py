@@ -1,0 +1,25 @@
+"""The queries over article texts once more over the whole texts, each with its SQL over the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tradewind.plans import articles, relations
+from tradewind.plans.registry import ORACLE_SQL, query
+from tradewind.sources.adapters import RAW_ARTICLES, WHOLE_ARTICLES, whole_articles
+
+OVER_TEXTS = (articles.signal_classifier, articles.signal_stats, articles.signal_impact, articles.region_extraction, articles.bounded_phrases, articles.deterministic_analysis, articles.enrichment_routes, articles.token_estimates, relations.search)
+
+
+def over_whole_texts(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, whole_articles)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    return query(sql=ORACLE_SQL[f.__name__].replace(RAW_ARTICLES, WHOLE_ARTICLES))(whole)
+
+
+for _f in OVER_TEXTS:
+    over_whole_texts(_f)

@@ -27,7 +27,8 @@ def phrase_sql() -> str:
     return " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
 
 
-def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw articles with the whole text of each document as their content."""
     docs = table(spark, sf_dir, "documents")
     n = len(PHRASES)
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % n).cast("int") + 1)
@@ -36,7 +37,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.concat(phrase, F.lit(" "), F.substring(line(1), 1, 80)).alias("title"),
         F.nullif(line(2), F.lit("")).alias("description"),
-        F.substring(F.coalesce("text", F.lit("")), 1, 2000).alias("content_snippet"),
+        F.coalesce("text", F.lit("")).alias("content_snippet"),
         F.concat(F.lit("https://"), F.when(F.col("doc_id") % 41 == 0, "www.content-farm.com").when(F.col("doc_id") % 7 == 0, "www.reuters.com").otherwise(F.concat("source", F.lit(".example.com"))), F.lit("/a/"), (F.col("doc_id") % 500).cast("string"), F.lit("?utm_source=x&id="), (F.col("doc_id") % 300).cast("string")).alias("article_url"),
         F.element_at(F.array(F.lit("rss"), F.lit("gdelt"), F.lit("eu_sanctions")), (F.col("doc_id") % 3).cast("int") + 1).alias("provider"),
         F.concat(F.lit("p"), (F.col("doc_id") % 400).cast("string")).alias("provider_article_id"),
@@ -48,6 +49,11 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the first 2,000 characters of the text, as RAW_ARTICLES defines them."""
+    return whole_articles(spark, sf_dir).withColumn("content_snippet", F.substring("content_snippet", 1, 2000))
+
+
 RAW_ARTICLES = f"""raw_articles AS (
   SELECT doc_id AS id,
     (CASE doc_id % {len(PHRASES)} {phrase_sql()} END) || ' ' || substr(coalesce(string_split(text, chr(10))[1], ''), 1, 80) AS title,
@@ -63,6 +69,7 @@ RAW_ARTICLES = f"""raw_articles AS (
     coalesce(lang, 'en') AS language,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id * 37 % 720 AS BIGINT)) AS published_at
   FROM documents)"""
+WHOLE_ARTICLES = RAW_ARTICLES.replace("substr(coalesce(text, ''), 1, 2000)", "coalesce(text, '')")
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
