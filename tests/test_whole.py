@@ -34,3 +34,10 @@ def test_texts_past_two_thousand_characters(spark, tmp_path):
     assert got["page_plain_text"][0].text.endswith("word end")
     part = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("signal_classifier", "bounded_phrases", "search")}
     assert not any(part.values())
+
+
+def test_every_designation_is_screened_and_every_event_kept(spark, sf):
+    screened = {r.designation_id for r in QUERIES["designation_screening_all"](spark, sf).collect()}
+    assert screened == {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    kept = sorted(r.event_key for r in QUERIES["risk_upsert_all"](spark, sf).collect())
+    assert kept == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect())

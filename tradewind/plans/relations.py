@@ -81,9 +81,19 @@ def supplier_alias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SUPPLIERS, ALIASES, f"d AS (SELECT id, ['Supplier#' || lpad(CAST(id AS VARCHAR), 9, '0'), 'Nobody ' || CAST(id AS VARCHAR), canonical_name] AS names FROM suppliers WHERE id % 3 = 0)", f"n AS (SELECT id AS designation_id, unnest(names) AS surface_form, generate_subscripts(names, 1) AS place FROM d)", f"r AS (SELECT n.*, s.id AS supplier_id, s.public_id, row_number() OVER (PARTITION BY designation_id, s.id ORDER BY place) AS rk FROM n LEFT JOIN aliases a ON a.alias = {_norm('surface_form')} LEFT JOIN suppliers s ON s.id = a.supplier_id AND s.is_active)", sql="SELECT designation_id, coalesce(string_agg(public_id || '=' || surface_form, '|' ORDER BY place) FILTER (supplier_id IS NOT NULL AND rk = 1), '') AS hits, coalesce(string_agg(surface_form, '|' ORDER BY place) FILTER (supplier_id IS NULL), '') AS unmatched FROM r GROUP BY 1")
 def designation_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third designation; designation_screening_all screens all."""
+    return screened(spark, sf_dir, "id % 3 = 0")
+
+
+@query(SUPPLIERS, ALIASES, f"d AS (SELECT id, ['Supplier#' || lpad(CAST(id AS VARCHAR), 9, '0'), 'Nobody ' || CAST(id AS VARCHAR), canonical_name] AS names FROM suppliers)", f"n AS (SELECT id AS designation_id, unnest(names) AS surface_form, generate_subscripts(names, 1) AS place FROM d)", f"r AS (SELECT n.*, s.id AS supplier_id, s.public_id, row_number() OVER (PARTITION BY designation_id, s.id ORDER BY place) AS rk FROM n LEFT JOIN aliases a ON a.alias = {_norm('surface_form')} LEFT JOIN suppliers s ON s.id = a.supplier_id AND s.is_active)", sql="SELECT designation_id, coalesce(string_agg(public_id || '=' || surface_form, '|' ORDER BY place) FILTER (supplier_id IS NOT NULL AND rk = 1), '') AS hits, coalesce(string_agg(surface_form, '|' ORDER BY place) FILTER (supplier_id IS NULL), '') AS unmatched FROM r GROUP BY 1")
+def designation_screening_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screened(spark, sf_dir, "true")
+
+
+def screened(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     s = suppliers(spark, sf_dir)
     names = F.array(F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")), F.concat(F.lit("Nobody "), F.col("id").cast("string")), F.col("canonical_name"))
-    found = supply.screen(s.where("id % 3 = 0").select("id", names.alias("names")), supply.register(s, ascii_only=True), s, ascii_only=True)
+    found = supply.screen(s.where(which).select("id", names.alias("names")), supply.register(s, ascii_only=True), s, ascii_only=True)
     return found.select("designation_id", F.array_join(F.transform("hits", lambda h: F.concat(h["public_id"], F.lit("="), h["matched_name"])), "|").alias("hits"), F.array_join("unmatched", "|").alias("unmatched"))
 
 
@@ -163,9 +173,21 @@ def risk_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RISK_EVENTS, sql="""SELECT coalesce(n.id, o.id) AS event_key, CASE WHEN n.id IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence, coalesce(o.status, n.status) AS status
 FROM (SELECT id, confidence, status FROM risk_events WHERE id % 3 <> 0) o FULL OUTER JOIN (SELECT id, round(confidence / 2, 4) AS confidence, 'new' AS status FROM risk_events WHERE id % 2 = 0) n ON n.id = o.id""")
 def risk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with id % 6 = 3 are on neither side; risk_upsert_all has each event."""
+    return upserted(spark, sf_dir, "id % 2 = 0")
+
+
+@query(RISK_EVENTS, sql="""SELECT coalesce(n.id, o.id) AS event_key, CASE WHEN n.id IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence, coalesce(o.status, n.status) AS status
+FROM (SELECT id, confidence, status FROM risk_events WHERE id % 3 <> 0) o FULL OUTER JOIN (SELECT id, round(confidence / 2, 4) AS confidence, 'new' AS status FROM risk_events WHERE id % 2 = 0 OR id % 3 = 0) n ON n.id = o.id""")
+def risk_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are only held, held and detected anew, or only new; each is of one kind."""
+    return upserted(spark, sf_dir, "id % 2 = 0 or id % 3 = 0")
+
+
+def upserted(spark: SparkSession, sf_dir: str, fresh: str) -> DataFrame:
     e = risk_events(spark, sf_dir)
     old = e.where("id % 3 <> 0").select(F.col("id").alias("event_key"), "confidence", "status")
-    new = e.where("id % 2 = 0").select(F.col("id").alias("event_key"), F.round(F.col("confidence") / 2, 4).alias("confidence"), F.lit("new").alias("status"))
+    new = e.where(fresh).select(F.col("id").alias("event_key"), F.round(F.col("confidence") / 2, 4).alias("confidence"), F.lit("new").alias("status"))
     return risk.upsert(old, new, kept=("status",))
 
 
