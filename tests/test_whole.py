@@ -41,3 +41,8 @@ def test_every_designation_is_screened_and_every_event_kept(spark, sf):
     assert screened == {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
     kept = sorted(r.event_key for r in QUERIES["risk_upsert_all"](spark, sf).collect())
     assert kept == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect())
+
+
+def test_watchlists_hold_the_entries_of_all_orders(spark, sf):
+    want = {(r.o_custkey, r.o_orderkey % 100 + 1) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    assert sum(r.members for r in QUERIES["watchlist_sizes_all"](spark, sf).collect()) == len(want)

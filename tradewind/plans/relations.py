@@ -109,46 +109,72 @@ WATCH = """watchlists AS (SELECT c_custkey AS watchlist_id, c_nationkey AS organ
 entries AS (SELECT DISTINCT o_custkey AS watchlist_id, o_orderkey % 100 + 1 AS supplier_id FROM orders WHERE o_orderkey % 11 = 0),
 watched AS (SELECT DISTINCT organization_id, public_id FROM entries JOIN watchlists USING (watchlist_id) JOIN suppliers s ON s.id = supplier_id AND s.is_active),
 rules AS (SELECT n_nationkey AS rule_id, n_nationkey AS organization_id, n_nationkey % 5 <> 4 AS is_enabled, CASE n_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS min_severity, CASE WHEN n_nationkey % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['tariff', 'sanctions'] END AS risk_types FROM nation)"""
+WATCH_ALL = WATCH.replace(" WHERE o_orderkey % 11 = 0)", ")")
 
 
-def watch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def watch_tables(spark: SparkSession, sf_dir: str, which: str = "o_orderkey % 11 = 0") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(watchlists, entries, rules); entries come from the orders that `which` takes."""
     lists = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("watchlist_id"), F.col("c_nationkey").alias("organization_id"), F.col("c_name").alias("name"))
-    entries = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("watchlist_id"), (F.col("o_orderkey") % 100 + 1).alias("supplier_id")).distinct()
+    entries = table(spark, sf_dir, "orders").where(which).select(F.col("o_custkey").alias("watchlist_id"), (F.col("o_orderkey") % 100 + 1).alias("supplier_id")).distinct()
     k = F.col("n_nationkey")
     rules = table(spark, sf_dir, "nation").select(k.alias("rule_id"), k.alias("organization_id"), (k % 5 != 4).alias("is_enabled"), F.when(k % 4 == 0, "low").when(k % 4 == 1, "medium").when(k % 4 == 2, "high").otherwise("critical").alias("min_severity"), F.when(k % 3 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("tariff"), F.lit("sanctions"))).alias("risk_types"))
     return lists, entries, rules
 
 
 @query(SUPPLIERS, WATCH, sql="SELECT organization_id, count(*) AS n FROM watched GROUP BY 1")
-def watched_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists, entries, _ = watch_tables(spark, sf_dir)
+def watched_suppliers(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
+    lists, entries, _ = watch_tables(spark, sf_dir, *which)
     return alerts.watched(entries, lists, suppliers(spark, sf_dir)).groupBy("organization_id").agg(F.count("*").alias("n"))
 
 
+@query(SUPPLIERS, WATCH_ALL, sql="SELECT organization_id, count(*) AS n FROM watched GROUP BY 1")
+def watched_suppliers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watched_suppliers(spark, sf_dir, "true")
+
+
 @query(SUPPLIERS, WATCH, sql="SELECT w.watchlist_id, w.name, count(e.supplier_id) AS members FROM watchlists w LEFT JOIN entries e USING (watchlist_id) GROUP BY ALL")
-def watchlist_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists, entries, _ = watch_tables(spark, sf_dir)
+def watchlist_sizes(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
+    lists, entries, _ = watch_tables(spark, sf_dir, *which)
     return lists.join(entries, "watchlist_id", "left").groupBy("watchlist_id", "name").agg(F.count("supplier_id").alias("members"))
 
 
+@query(SUPPLIERS, WATCH_ALL, sql="SELECT w.watchlist_id, w.name, count(e.supplier_id) AS members FROM watchlists w LEFT JOIN entries e USING (watchlist_id) GROUP BY ALL")
+def watchlist_sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watchlist_sizes(spark, sf_dir, "true")
+
+
 @query(SUPPLIERS, WATCH, sql="SELECT watchlist_id, s.canonical_name, row_number() OVER (PARTITION BY watchlist_id ORDER BY s.canonical_name, s.id) AS place FROM entries JOIN suppliers s ON s.id = supplier_id")
-def watchlist_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, entries, _ = watch_tables(spark, sf_dir)
+def watchlist_detail(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
+    _, entries, _ = watch_tables(spark, sf_dir, *which)
     joined = entries.join(suppliers(spark, sf_dir), F.col("supplier_id") == F.col("id"))
     return joined.select("watchlist_id", "canonical_name", F.row_number().over(Window.partitionBy("watchlist_id").orderBy("canonical_name", "id")).cast("long").alias("place"))
 
 
+@query(SUPPLIERS, WATCH_ALL, sql="SELECT watchlist_id, s.canonical_name, row_number() OVER (PARTITION BY watchlist_id ORDER BY s.canonical_name, s.id) AS place FROM entries JOIN suppliers s ON s.id = supplier_id")
+def watchlist_detail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watchlist_detail(spark, sf_dir, "true")
+
+
 @query(SUPPLIERS, RISK_EVENTS, WATCH, f"one AS (SELECT id AS event_id, risk_type, severity, unnest(list_distinct(affected_supplier_ids)) AS public_id FROM risk_events)", sql="""
 SELECT rule_id, event_id, string_agg(DISTINCT public_id, '|' ORDER BY public_id) AS suppliers FROM one JOIN watched USING (public_id) JOIN rules r USING (organization_id)
 WHERE r.is_enabled AND (len(r.risk_types) = 0 OR list_contains(r.risk_types, one.risk_type))
   AND list_position(['low', 'medium', 'high', 'critical'], one.severity) >= list_position(['low', 'medium', 'high', 'critical'], r.min_severity)
 GROUP BY ALL""")
-def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists, entries, rules = watch_tables(spark, sf_dir)
+def alert_matches(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
+    lists, entries, rules = watch_tables(spark, sf_dir, *which)
     found = alerts.evaluate(risk_events(spark, sf_dir), rules, alerts.watched(entries, lists, suppliers(spark, sf_dir)))
     return found.withColumn("suppliers", F.array_join("suppliers", "|"))
 
 
+@query(SUPPLIERS, RISK_EVENTS, WATCH_ALL, f"one AS (SELECT id AS event_id, risk_type, severity, unnest(list_distinct(affected_supplier_ids)) AS public_id FROM risk_events)", sql="""
+SELECT rule_id, event_id, string_agg(DISTINCT public_id, '|' ORDER BY public_id) AS suppliers FROM one JOIN watched USING (public_id) JOIN rules r USING (organization_id)
+WHERE r.is_enabled AND (len(r.risk_types) = 0 OR list_contains(r.risk_types, one.risk_type))
+  AND list_position(['low', 'medium', 'high', 'critical'], one.severity) >= list_position(['low', 'medium', 'high', 'critical'], r.min_severity)
+GROUP BY ALL""")
+def alert_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alert_matches(spark, sf_dir, "true")
+
+
 # ---- risk events ----
 
 
