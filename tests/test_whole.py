@@ -1,5 +1,8 @@
 """Queries over all of their input: whole counterparts of the ones whose SQL takes a part, and operators without a cut."""
 
+import random
+
+import corpus_pipeline
 from tradewind.operators import personal
 from tradewind.plans import QUERIES
 
@@ -46,3 +49,12 @@ def test_every_designation_is_screened_and_every_event_kept(spark, sf):
 def test_watchlists_hold_the_entries_of_all_orders(spark, sf):
     want = {(r.o_custkey, r.o_orderkey % 100 + 1) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
     assert sum(r.members for r in QUERIES["watchlist_sizes_all"](spark, sf).collect()) == len(want)
+
+
+def test_pipeline_drops_contaminated_texts_without_an_id(spark, tmp_path):
+    r = random.Random(3)
+    leak, clean = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(2))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"start {leak} end"), (None, clean), (None, None), (1, leak), (2, clean)], "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted((str(x.doc_id), str(x.text)) for x in left.collect()) == sorted([("None", clean), ("None", "None"), ("2", clean)])

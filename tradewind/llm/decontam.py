@@ -203,11 +203,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEM
     return out
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS, keep_unnamed: bool = True) -> DataFrame:
     """The documents that hold no benchmark item, with their columns.
 
     The pass that searches a text also keeps or drops its row, so no text is shuffled. Rows that share a doc_id are
-    each judged by their own text; rows of a null doc_id, which a report can't name, stay, as do null texts.
+    each judged by their own text; null texts stay. Rows of a null doc_id, which a report can't name, stay unsearched
+    if keep_unnamed is set, and are judged by their text like any other if not.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for sent in _shares(benchmark, items_a_pass):
@@ -217,7 +218,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, items_a_pass: int =
             if not items.by_size:
                 return batch
             rows = zip(batch.column("doc_id").to_pylist(), texts(batch))
-            return batch.filter(pa.array([doc is None or not items.matches(shingle_hashes(text, known)) for doc, text in rows], pa.bool_()))
+            return batch.filter(pa.array([(keep_unnamed and doc is None) or not items.matches(shingle_hashes(text, known)) for doc, text in rows], pa.bool_()))
 
         docs = map_batches(docs, docs.columns, schema, step)
     return docs
