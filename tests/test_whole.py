@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tradewind.operators import personal
+from tradewind.operators import enrich, personal
 from tradewind.plans import QUERIES
 
 
@@ -58,3 +58,21 @@ def test_pipeline_drops_contaminated_texts_without_an_id(spark, tmp_path):
     docs = spark.createDataFrame([(None, f"start {leak} end"), (None, clean), (None, None), (1, leak), (2, clean)], "doc_id long, text string")
     left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
     assert sorted((str(x.doc_id), str(x.text)) for x in left.collect()) == sorted([("None", clean), ("None", "None"), ("2", clean)])
+
+
+def test_reservation_by_brute_force_without_gathering(spark):
+    """Against the fold, ties and repeated rows too; the plan gathers no run into an array."""
+    r = random.Random(5)
+    rows = [(f"r{r.randrange(30)}", r.randrange(40), r.choice((400, 900, 1500, 2500, 4000, 7000))) for _ in range(900)]
+    want = set()
+    for run in {x[0] for x in rows}:
+        calls = used = 0
+        for _, place, tokens in sorted(x for x in rows if x[0] == run):
+            if calls < 5 and used + tokens <= 6000:
+                calls, used = calls + 1, used + tokens
+                want.add((run, place))
+    got = enrich.reserve(spark.createDataFrame(rows, "run string, place long, tokens long"), "run", "place", "tokens")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    found = got.collect()
+    assert len(found) == len(rows) and {(x.run, x.place) for x in found if x.reserved} == want
+    assert all(x.reserved == ((x.run, x.place) in want) for x in found)

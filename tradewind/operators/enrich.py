@@ -56,17 +56,24 @@ def reserve(candidates: DataFrame, run: str, place: str, tokens: str, max_calls:
     """run, place, reserved: within a run, in order of place, each candidate that still fits both caps takes its share.
 
     A candidate that doesn't fit is passed over and a later, smaller one may fit, so this is a fold and no running sum.
-    Only candidates that alone fit the token cap enter the fold; a run of the policy has few of them.
+    At most max_calls can be taken, so as many rounds each take the least place after the last taken that fits what is
+    left. A round is a grouped minimum: a run of any size is aggregated where its rows lie and never gathered.
     """
-    start = F.struct(F.lit(0).alias("calls"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("taken"))
-
-    def take(state: Column, row: Column) -> Column:
-        fits = (state["calls"] < max_calls) & (state["used"] + row["tokens"] <= max_tokens)
-        return F.struct((state["calls"] + F.when(fits, 1).otherwise(0)).alias("calls"), (state["used"] + F.when(fits, row["tokens"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.when(fits, F.concat(state["taken"], F.array(row["place"]))).otherwise(state["taken"]).alias("taken"))
-
-    rows = F.array_sort(F.collect_list(F.struct(F.col(place).cast("long").alias("place"), F.col(tokens).cast("long").alias("tokens"))))
-    taken = candidates.where(F.col(tokens) <= max_tokens).groupBy(run).agg(F.aggregate(rows, start, take, lambda s: s["taken"]).alias("taken"))
-    return candidates.join(taken, run, "left").withColumn("reserved", F.coalesce(F.array_contains("taken", F.col(place).cast("long")), F.lit(False))).drop("taken")
+    at = [F.col(place).cast("long").alias("place"), F.col(tokens).cast("long").alias("tokens")]
+    alike = candidates.where(F.col(tokens) <= max_tokens).groupBy(run, *at).agg(F.count("*").alias("n"))
+    state = alike.groupBy(run).agg(F.min(F.struct("place", "tokens", "n")).alias("next")).select(run, "next", F.lit(0).cast("long").alias("calls"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("taken"))
+    some = F.col("next").isNotNull()
+    fit = F.when(F.col("next.tokens") > 0, F.floor((max_tokens - F.col("used")) / F.col("next.tokens"))).otherwise(F.col("next.n"))
+    took = F.when(some, F.least(F.col("next.n"), max_calls - F.col("calls"), fit)).otherwise(0)
+    for k in range(max_calls):
+        if k > 0:
+            held = state.select(run, F.struct("at", "calls", "used", "taken").alias("held"))
+            left = F.col("held.at").isNotNull() & (F.struct("place", "tokens") > F.struct("held.at.place", "held.at.tokens")) & (F.col("held.calls") < max_calls) & (F.col("held.used") + F.col("tokens") <= max_tokens)
+            state = alike.join(held, run).groupBy(run).agg(F.any_value("held").alias("held"), F.min(F.when(left, F.struct("place", "tokens", "n"))).alias("next")).select(run, "next", "held.calls", "held.used", "held.taken")
+        state = state.select(run, F.col("next").alias("at"), (F.col("calls") + took).alias("calls"), F.when(some, F.col("used") + took * F.col("next.tokens")).otherwise(F.col("used")).alias("used"), F.when(some, F.concat("taken", F.array("next.place"))).otherwise(F.col("taken")).alias("taken"))
+    reserved = state.select(run, F.explode("taken").alias("_place")).distinct().withColumn("reserved", F.lit(True))
+    found = candidates.withColumn("_place", F.col(place).cast("long")).join(reserved, [run, "_place"], "left").drop("_place")
+    return found.withColumn("reserved", F.coalesce("reserved", F.lit(False)))
 
 
 def later_copies(articles: DataFrame, fingerprint: str, place: str) -> Column:
