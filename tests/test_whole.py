@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tradewind.llm import secrets
 from tradewind.operators import enrich, personal
 from tradewind.plans import QUERIES
 
@@ -76,3 +77,10 @@ def test_reservation_by_brute_force_without_gathering(spark):
     found = got.collect()
     assert len(found) == len(rows) and {(x.run, x.place) for x in found if x.reserved} == want
     assert all(x.reserved == ((x.run, x.place) in want) for x in found)
+
+
+def test_secrets_of_small_letters_and_digits(spark):
+    texts = ["use k3j9x8q2m7p4w6z1v5t0 now", "use k3j9-x8q2_m7p4-w6z1-v5t0 now", "see market-report-2024-q3-covid19-2nd-edition-v2 now", "see verylongcompoundword2024 now", "see thisisaverylongordinarywordwithoutdigits"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert got == {0: [(4, 3, 24)], 1: [(4, 3, 28)], 2: [], 3: [], 4: []}

@@ -16,10 +16,11 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Bits a character that the best window of a candidate must reach, by character class. 20 characters hold 4.32 at most.
-BITS = {"hex": 2.9, "upper": 3.4, "mixed": 3.6}
-#: Strings of known harmless forms: UUIDs, runs of one or two characters, counted-up alphabets, placeholders.
+BITS = {"hex": 2.9, "upper": 3.4, "lower": 3.4, "mixed": 3.6}
+#: Strings of known harmless forms: UUIDs, slugs of words and numbers, runs of one or two characters, counted-up alphabets, placeholders.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^(?:[a-z]*[0-9]*|[0-9]+[a-z]{1,2})(?:[-_+/=](?:[a-z]*[0-9]*|[0-9]+[a-z]{1,2}))*$",
     r"^(.)\1+$",
     r"^(.{1,4})\1{3,}.{0,3}$",
     r"(?i)example|placeholder|changeme|your[_-]?(token|key|secret)|xxxx|0123456789|abcdefghij|1234567890",
@@ -74,11 +75,12 @@ def best_window_bits(s: Column, window: int = WINDOW) -> Column:
 def _secret_like(s: Column) -> Column:
     """Whether a candidate's entropy reaches its class's threshold and no allowed form fits it.
 
-    The classes are hexadecimal, capitals with digits, and small and capital letters with digits; a string that
-    lacks digits or letters is of none. The entropy is computed only for strings of a class.
+    The classes are hexadecimal, capitals with digits, small letters with digits (base 32 and 36, with - _ + / =
+    too), and small and capital letters with digits; a string that lacks digits or letters is of none, nor is one of
+    capitals and digits with - _ + /. The entropy is computed only for strings of a class.
     """
     digit, lower, upper = s.rlike("[0-9]"), s.rlike("[a-z]"), s.rlike("[A-Z]")
-    least = F.when(s.rlike("^[0-9a-fA-F]+$") & digit & (lower | upper), BITS["hex"]).when(s.rlike("^[A-Z0-9=]+$") & digit & upper, BITS["upper"]).when(digit & lower & upper, BITS["mixed"])
+    least = F.when(s.rlike("^[0-9a-fA-F]+$") & digit & (lower | upper), BITS["hex"]).when(s.rlike("^[A-Z0-9=]+$") & digit & upper, BITS["upper"]).when(digit & lower & ~upper, BITS["lower"]).when(digit & lower & upper, BITS["mixed"])
     allowed = F.lit(False)
     for form in ALLOW:
         allowed = allowed | s.rlike(form)
