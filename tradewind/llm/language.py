@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,6 @@ ORDERS = (1, 2, 3)
 #: Labelled rows of a language that a fit takes at most, chosen by a hash of their ids.
 SAMPLE = 2_000
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]")
 
 
 def gram_buckets(several: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +94,7 @@ def identify(docs: DataFrame, model: NaiveBayes | None) -> DataFrame:
         several = texts(batch)
         lang, chance = [UNKNOWN] * len(several), np.zeros(len(several))
         if sent.value is not None:
-            some = [i for i, t in enumerate(several) if _letter.search(t)]
+            some = [i for i, t in enumerate(several) if any(map(str.isalpha, t))]
             group, size = [], 0
             for k, i in enumerate(some):
                 group.append(i)

@@ -128,5 +128,4 @@ def keep_good(docs: DataFrame, machine: Machine | None) -> DataFrame:
             kept.append(1 / (1 + np.exp(-np.clip(logits, -30, 30))) >= PREDICT)
         return batch.filter(pa.array(np.concatenate(kept)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, docs.columns, schema, step)
+    return map_batches(docs, docs.columns, docs.schema, step)

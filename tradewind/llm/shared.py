@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -18,14 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master, whose driver and executors are one process, gets a folder of its own; on a
+    cluster that would be a folder of one machine, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints/tradewind"
-        spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tradewind-")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,15 +62,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path: cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
+
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _written.remove((spark, path))
+    _remove(spark, path)
 
-def map_batches(df: DataFrame, columns: Sequence[str], schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_batches(df: DataFrame, columns: Sequence[str], schema: str | StructType, step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """One Arrow batch in, one out, over only the named columns; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +93,17 @@ def map_batches(df: DataFrame, columns: Sequence[str], schema: str, step: Callab
             if batch.num_rows and (out := step(batch)) is not None:
                 yield out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return in_arrow(df.select(*map(quoted, columns)), run, schema)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow for columns of any names: Spark itself can't hand over those with a dot or a backtick."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

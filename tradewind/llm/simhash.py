@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.graph import components
-from tradewind.llm.shared import map_batches, text_bytes, written
+from tradewind.llm.shared import map_batches, quoted, text_bytes, texts, written
 
 RADIUS = 3
-#: Bit blocks of the pre-check: of six, at most three can differ within the radius, so three agree.
-BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -29,11 +29,16 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         shingles = list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, np.int64)
+    return int(_majority(hashes[:, None])[0])
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit word a column of hashes (rows, columns): bit b is set if it is set in over half of the rows."""
+    ones = np.zeros((hashes.shape[1], 64), np.int64)
     for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        part = np.ascontiguousarray(hashes[at : at + 8192], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(*part.shape, 8), axis=-1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=-1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -50,64 +55,164 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _block_masks() -> list[int]:
-    starts = np.cumsum((0, *BLOCKS)).tolist()
-    return [_signed(sum(((1 << BLOCKS[b]) - 1) << starts[b] for b in chosen)) for chosen in combinations(range(6), 3)]
-
-
-def _near(reps: DataFrame) -> DataFrame:
-    """The fingerprints that agree with another in three of six blocks: all that can have one within the radius."""
-    keys = reps.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in _block_masks()))).alias("t", "k"))
-    shared = keys.groupBy("t", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("t", "k")
-    return keys.join(shared, ["t", "k"], "left_semi").select("id", "fp").distinct()
+def _masks(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
 
 
 def ball_links(reps: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within three bits, for distinct fingerprints (id, fp).
-
-    Every fingerprint emits its variants at one bit; those of even parity also the ones at two bits of one half
-    of the word. Two fingerprints at three bits differ in parity, and two of the three bits lie in one half, so
-    a variant at two bits of the even one meets one at a single bit of the odd one; at one or two bits, single-bit
-    variants meet. Variants are shuffled on; at a variant, all that lie within two bits link to the least that lies
-    within one: that pair is within three bits, which the filter verifies. A variant holds at most the 2,081
-    fingerprints of its ball, however large a group of copies is, and no pairs within a group are made.
+    """Links (a, b) of fingerprints whose components are those of all pairs within three bits, for distinct ones (fp).
+
+    Every fingerprint emits all its variants at one bit. Half of the radius is one and a half bits, so fingerprints of
+    even parity also emit those at two bits of one half of the word: two fingerprints at three bits differ in parity,
+    and two of the three bits lie in one half, so a variant at two bits of the even one meets one at a single bit of
+    the odd one; at one or two bits, single-bit variants meet. Variants are shuffled on; at a variant, all that lie
+    within two bits link to the least that lies within one: that pair is within three bits, which the filter
+    verifies. A variant holds at most the 2,081 fingerprints of its ball, however large a group of copies is, and
+    no pairs within a group are made.
     """
     single = [_signed(1 << i) for i in range(64)]
     double = [_signed((1 << i) | (1 << j)) for half in (range(32), range(32, 64)) for i, j in combinations(half, 2)]
-    masks = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    near = _near(reps)
-    ones = near.select("id", "fp", F.explode(masks([0, *single])).alias("m"), F.lit(True).alias("close"))
-    twos = near.where(F.bit_count("fp") % 2 == 0).select("id", "fp", F.explode(masks(double)).alias("m"), F.lit(False).alias("close"))
-    met = ones.unionByName(twos).select("id", "fp", "close", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
-    centre = F.min(F.when(F.col("close"), F.struct("id", "fp"))).over(Window.partitionBy("variant"))
-    pairs = met.withColumn("centre", centre).where(F.col("centre").isNotNull() & (F.col("centre.id") != F.col("id")))
-    verified = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre.fp"))) <= RADIUS)
-    return verified.select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
+    even = F.bit_count("fp") % 2 == 0
+    met = reps.select("fp", F.explode(F.when(even, _masks([0, *single, *double])).otherwise(_masks([0, *single]))).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "mask")
+    # A variant and its mask give the fingerprint, and a mask of few bits is stored in few bytes.
+    fp, close = F.col("variant").bitwiseXOR(F.col("mask")), F.bit_count("mask") <= 1
+    centre = F.min(F.when(close, fp)).over(Window.partitionBy("variant"))
+    pairs = met.select("variant", "mask", centre.alias("centre")).select(fp.alias("a"), F.col("centre").alias("b")).where("a <> b")
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs.
+    """doc_id, fp, component_id for every row of docs: components of fingerprints that differ in at most three bits.
 
-    Equal fingerprints are one node, named by its least doc_id; a text without words has fingerprint zero and links
-    like any other. Repeated rows stay repeated. Rows whose doc_id is null keep their fingerprint and get the
-    component of the rows that share it, null if all of these lack an id. An empty table gives an empty result.
+    Equal fingerprints are one node; a component is named by its least doc_id. A text without words has fingerprint
+    zero and links like any other. Repeated rows stay repeated. Rows whose doc_id is null link the fingerprints that
+    theirs lies near like any other; their component is null if no row of it has an id. An empty table gives an empty
+    result; other columns are not read.
     """
     fps = written(fingerprints(docs, words, seed), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null")
-    parts = components(ball_links(reps))
-    named = reps.join(parts, reps.id == parts.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    parts = components(ball_links(reps.select("fp")))
+    group = reps.join(parts, reps.fp == parts.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("group"))
+    least = group.groupBy("group").agg(F.min("id").alias("component_id"))
+    named = group.join(least, "group").select("fp", "component_id")
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# ---- near copies by five-word similarity ----
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of a text, and bits of each. Texts at similarity 0.8 share over nine tenths of their distinct words, so
+#: about one bit in 13 differs, and six fingerprints of 40 bits are all over two bits apart for about one such pair in 20.
+BANDS, WIDTH = 6, 40
+_word = re.compile(r"[^\W_]+")
+_spread = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def band_prints(text: str) -> tuple[bytes, list[int]]:
+    """(digest of the words in order, BANDS fingerprints of WIDTH bits of the distinct words); lower case, letters and digits only."""
+    found = _word.findall(text.lower())
+    whole = xxhash.xxh3_128_digest("\0".join(found).encode("utf-8", "surrogatepass"))
+    if not found:
+        return whole, [0] * BANDS
+    own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(found)], np.uint64)
+    with np.errstate(over="ignore"):
+        wide = (own[:, None] ^ (own[:, None] >> np.uint64(31))) * _spread
+        wide ^= wide >> np.uint64(29)
+    bits = int.from_bytes(_majority(wide).tobytes(), "little")
+    return whole, [(bits >> (WIDTH * k)) & ((1 << WIDTH) - 1) for k in range(BANDS)]
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, own (digest of a text's words), prints: everything but the text."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [band_prints(t) for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([d for d, _ in found], pa.binary()), pa.array([p for _, p in found], pa.list_(pa.int64()))], names=["doc_id", "own", "prints"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], "doc_id long, own binary, prints array<long>", step)
+
+
+def colliding_pairs(reps: DataFrame) -> DataFrame:
+    """Distinct (a, b) whose fingerprints of one band lie within two bits, b the least id at a variant, for (id, prints).
+
+    Half of the radius is one bit: every fingerprint emits itself and its WIDTH variants at one bit. At a variant all
+    go to the least id there, so a group of any size makes one pair a row and variant.
+    """
+    masks = _masks([0, *(1 << i for i in range(WIDTH))])
+    bands = reps.select("id", F.posexplode("prints").alias("band", "fp"))
+    met = bands.select("id", F.explode(F.transform(masks, lambda m: F.shiftleft(F.col("band").cast("long"), WIDTH).bitwiseOR(F.col("fp").bitwiseXOR(m)))).alias("variant"))
+    least = F.min("id").over(Window.partitionBy("variant"))
+    return met.withColumn("b", least).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
+def shingles(text: str, words: int = SHINGLE) -> frozenset[int]:
+    """Hashes of a text's distinct word shingles; a text of fewer words is one shingle."""
+    found = _word.findall(text.lower())
+    return frozenset(hash(tuple(found[i : i + words])) for i in range(max(1, len(found) - words + 1)))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, rows_a_part: int = 1000) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of five-word shingles have a Jaccard coefficient of `similarity` or more.
+
+    Texts of the ids named are shuffled, others only tested for their id. A text that many pairs name as b is sent
+    once to each of the parts that its pairs are dealt into, so no text's pairs gather in one task.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_a_part).cast("int").alias("parts"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    held = written(held, "compared")
+    right = held.join(parts, F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("right"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
+    left = dealt.join(held, F.col("a") == F.col("id")).select("a", "b", "part", F.col("text").alias("left"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, two = None, frozenset()  # pairs of one b come one after another
+        for batch in batches:
+            kept = []
+            for x, y in zip(texts(batch, "left"), texts(batch, "right")):
+                if y != last:
+                    last, two = y, shingles(y)
+                one = shingles(x)
+                both = len(one & two)
+                kept.append(both >= similarity * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return left.join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of every row that has an id: groups of texts at a five-word similarity of 0.8 or more.
+
+    Texts of the same words are one node, named by its least doc_id; so are texts without words. Colliding pairs are
+    verified on their whole texts in two passes: each node's pair with its least partner, then all the pairs that the
+    first pass has not already put in one group. Ids are taken to be distinct, as keep_one makes them; of rows that
+    repeat one, any may speak for it. Rows without an id are left out; an empty table gives an empty result.
+    """
+    marked = _marked(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("own", "prints")).alias("m"))
+    marked = written(marked.select("doc_id", "m.own", "m.prints"), "marked")
+    reps = written(marked.groupBy("own").agg(F.min("doc_id").alias("id"), F.any_value("prints").alias("prints")), "alike")
+    pairs = written(colliding_pairs(reps.select("id", "prints")), "colliding")
+    first = written(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), docs), "verified")
+    part = written(components(first), "parts")
+    of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    more = verified(written(apart, "apart"), docs)
+    whole = components(first.unionByName(more))
+    named = reps.select("own", "id").join(whole, F.col("id") == F.col("node"), "left").select("own", F.coalesce("component", "id").alias("component_id"))
+    return marked.join(named, "own").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less all but the least doc_id of each group; of rows that repeat an id, one stays.
+    """The documents less all but the least doc_id of each group of near copies.
 
-    What stays grows with the input, so it is never broadcast: texts are shuffled once, at every size alike.
+    Rows without a doc_id stay; of rows that repeat an id, one of the least text stays. Only ids are joined to the
+    texts: those that go and those that are repeated; where these are few, Spark sends them to the tasks and no text
+    moves. Columns of any name pass through.
     """
-    groups = written(near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    kept = groups.where("doc_id is null or doc_id = component_id")
-    repeated = written(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    ids = kept.where("doc_id is not null").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi")
-    once = own.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.join(repeated, "doc_id", "left_anti").unionByName(once).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    row = F.struct(*map(quoted, docs.columns))
+    once = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_row"))
+    single = docs.join(repeated, "doc_id", "left_anti").select(*map(quoted, docs.columns)).unionByName(once.select("_row.*"))
+    groups = written(near_copies(single), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return single.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
