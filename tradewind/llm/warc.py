@@ -6,9 +6,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from hashlib import sha1
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,10 @@ from tradewind.llm.shared import scratch, written
 
 #: Payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
-#: Records of one archive file; a file is read by one task.
-RECORDS_A_FILE = 2000
+#: Bytes of records after which a task begins a new archive file; a file is read by one task.
+FILE_BYTES = 64_000_000
+#: Parts that the rows of one payload are dealt into when they meet its first record.
+PARTS = 16
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -28,22 +33,26 @@ def records(pages: DataFrame) -> DataFrame:
     """page_id, payload digest and size, and the page that a repeated payload refers to.
 
     Payloads are equal if their digests are; of those, the largest page_id is the response. Only digests are
-    shuffled, minima pre-aggregated, so a payload with a third of all rows gathers nowhere. Rows without a page_id,
-    and rows that repeat the response's page_id, are responses.
+    shuffled. Maxima are aggregated where the rows lie before that; to meet its maximum, a payload's rows are dealt
+    into PARTS by page_id and the maximum goes to each part, so a payload with a third of all rows is no single
+    task's. Rows without a page_id, and rows that repeat the response's page_id, are responses.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     large = sized.where(F.col("bytes") >= REVISIT_BYTES)
-    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").select("digest", "refers_to")
-    return large.where("page_id is not null").join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    first = first.select("digest", "refers_to", F.explode(F.array(*(F.lit(k) for k in range(PARTS)))).alias("part"))
+    dealt = large.where("page_id is not null").withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int"))
+    return dealt.join(first, ["digest", "part"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def archive(pages: DataFrame, path: str) -> None:
     """Writes a WARC/1.0 record for every row of pages (page_id, url, html) under path, as UTF-8 text files.
 
-    A record ends in two line ends: its own, and the line separator of Spark's text writer. Spark commits whole
-    tasks, so a lost executor leaves no half file. A revisit holds headers only, with the full payload's length
-    and digest.
+    A response's block is an HTTP response: status line, headers, and the html as payload. A revisit's block is the
+    HTTP head alone, with the full payload's length and digest beside it. A record ends in two line ends: its own, and
+    the line separator of Spark's text writer. Spark commits whole tasks, so a lost executor leaves no half file. A
+    task begins a new file after FILE_BYTES, so a file holds at most that and one record more.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
@@ -52,15 +61,24 @@ def archive(pages: DataFrame, path: str) -> None:
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     header = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
     target = F.regexp_replace("url", r"[\x00-\x20\x7f]", "")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     heads = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"),
-        header("WARC-Record-ID", urn(F.col("page_id"))), header("WARC-Target-URI", target),
+        header("WARC-Record-ID", urn(F.col("page_id"))), header("WARC-Date", F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))), header("WARC-Target-URI", target),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), header("X-Payload-Length", F.col("bytes").cast("string")),
         F.when(again, F.concat(header("WARC-Profile", F.lit(PROFILE)), header("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(""),
-        header("Content-Type", F.lit("text/html; charset=utf-8")), header("Content-Length", F.when(again, "0").otherwise(F.col("bytes").cast("string"))),
-        F.lit("\r\n\r\n"), F.when(again, "").otherwise(F.col("html")), F.lit("\r\n"),
+        header("Content-Type", F.lit("application/http; msgtype=response")), header("Content-Length", (F.octet_length(http) + F.when(again, 0).otherwise(F.col("bytes"))).cast("string")),
+        F.lit("\r\n\r\n"), http, F.when(again, "").otherwise(F.col("html")), F.lit("\r\n"),
     )
-    own.select(heads.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column("value")).to_numpy()) + before
+            before = int(sizes[-1]) if len(sizes) else before
+            yield batch.append_column("part", pa.array(sizes // FILE_BYTES, pa.int64()))
+
+    own.select(heads.alias("value")).mapInArrow(dealt, "value string, part long").write.partitionBy("part").option("lineSep", "\r\n").text(path)
 
 
 # ---- reading ----
@@ -80,7 +98,11 @@ class Found:
 _version = re.compile(rb"WARC/[01]\.[0-9]+\r?\n")
 _line = re.compile(rb"([A-Za-z0-9!#$%&'*+.^_`|~-]+):[ \t]*([^\r\n]*)\r?\n")
 _blank = re.compile(rb"\r?\n")
+_tail = re.compile(rb"\r?\n\r?\n")
+_line_ends = re.compile(rb"[\r\n]*\Z")
 GZIP = b"\x1f\x8b\x08"
+#: A member that inflates to more can't be a value in Spark; it is reported as a gap.
+MEMBER_BYTES = 2**31 - 1
 
 
 def _one(data: bytes, at: int) -> Found | str:
@@ -100,10 +122,15 @@ def _one(data: bytes, at: int) -> Found | str:
     end = start + size
     if end > len(data):
         return "truncated"
-    tail = re.compile(rb"\r?\n\r?\n").match(data, end)
-    if not tail and data[end:].strip(b"\r\n"):
+    tail = _tail.match(data, end)
+    if not tail and not _line_ends.match(data, end):
         return "content length disagrees with the next record"
     payload = data[start:end]
+    if headers.get("content-type", "").startswith("application/http"):
+        head = payload.find(b"\r\n\r\n")
+        if head < 0:
+            return "no end of the HTTP head"
+        payload = payload[head + 4 :]
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:").lower()
     if headers.get("warc-type") != "revisit" and re.fullmatch("[0-9a-f]{40}", digest) and sha1(payload).hexdigest() != digest:
         return "payload digest disagrees"
@@ -135,23 +162,32 @@ def salvage(data: bytes) -> Iterator[Found]:
         yield Found("gap", bad, len(data), {"reason": why})
 
 
+def _inflated(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """(content, end) of the gzip member at this place, read in steps so that no rest of the file is copied; None if damaged."""
+    view, d, out, size = memoryview(data), zlib.decompressobj(31), [], 0
+    try:
+        while not d.eof:
+            if at >= len(data) or size > MEMBER_BYTES:
+                return None
+            part = d.decompress(view[at : at + 65536], MEMBER_BYTES + 1 - size)
+            at += min(65536, len(data) - at) - len(d.unused_data) - len(d.unconsumed_tail)
+            out.append(part)
+            size += len(part)
+    except zlib.error:
+        return None
+    return b"".join(out), at
+
+
 def members(data: bytes) -> Iterator[tuple[int, int, bytes | None]]:
     """(start, end, content) of each gzip member; content None for a damaged range before the next sound member."""
     at, bad = 0, None
     while at < len(data):
-        content, end = None, 0
-        if data.startswith(GZIP, at):
-            d = zlib.decompressobj(31)
-            try:
-                content = d.decompress(data[at:])
-                end = len(data) - len(d.unused_data) if d.eof else 0
-                content = content if d.eof else None
-            except zlib.error:
-                content = None
-        if content is not None:
+        found = _inflated(data, at) if data.startswith(GZIP, at) else None
+        if found is not None:
             if bad is not None:
                 yield bad, at, None
                 bad = None
+            content, end = found
             yield at, end, content
             at = end
             continue
