@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -299,10 +300,18 @@ def _plausible(kind: int, s: str) -> bool:
 def reconcile(found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int, int, int]]:
     """Spans (start, end, kind, score, cut) of all windows to non-overlapping (start, kind, end) of the greatest total score.
 
-    A span that its window cuts counts where no other window holds it whole; cut ones that overlap join.
+    A span that its window cuts counts where no other window holds it whole; cut ones that overlap join. Spans are
+    swept in order of their places, so a text of many spans takes time in proportion.
     """
     whole = {(s, e, k): w for s, e, k, w, cut in sorted(found, key=lambda x: x[3]) if not cut}
-    parts = sorted((s, e, k, w) for s, e, k, w, cut in found if cut and not any(a <= s and e <= b and c == k for a, b, c in whole))
+    parts, reach, held = [], [-1] * len(KINDS), sorted(whole)
+    at = 0
+    for s, e, k, w, _ in sorted(x for x in found if x[4]):
+        while at < len(held) and held[at][0] <= s:  # whole spans that begin no later: how far those of each kind reach
+            reach[held[at][2]] = max(reach[held[at][2]], held[at][1])
+            at += 1
+        if reach[k] < e:
+            parts.append((s, e, k, w))
     joined: list[list] = []
     for s, e, k, w in parts:
         if joined and joined[-1][2] == k and s < joined[-1][1]:
@@ -313,7 +322,7 @@ def reconcile(found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int,
     best: list[tuple[float, tuple]] = [(0.0, ())]
     ends = [0]
     for s, e, k, w in spans:
-        before = int(np.searchsorted(ends, s, side="right")) - 1
+        before = bisect_right(ends, s) - 1
         take = best[before][0] + max(w, 1e-3)
         if take > best[-1][0]:
             best.append((take, (before, (s, k, e))))
@@ -361,12 +370,24 @@ def model_spans(tagger: Tagger, several: list[str], rows: int = 512) -> list[lis
     return out
 
 
+def added(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of more that overlap no base span, by one sweep over both in order of their starts."""
+    out, reach, at = [], 0, 0
+    for s, k, e in more:
+        while at < len(base) and base[at][0] < e:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= s:
+            out.append((s, k, e))
+    return out
+
+
 def all_spans(tagger: Tagger, several: list[str]) -> list[tuple[list, list]]:
     """(base spans, base and added spans) of each text; a model span that overlaps a base span adds nothing."""
     out = []
     for text, more in zip(several, model_spans(tagger, several)):
         base = base_spans(text)
-        out.append((base, sorted(base + [(s, k, e) for s, k, e in more if not any(s < b and a < e for a, _, b in base)])))
+        out.append((base, sorted(base + added(base, sorted(more)))))
     return out
 
 
@@ -411,8 +432,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         clean = [t if t is None or not spans else redact_text(t, spans) for t, (_, spans) in zip(several, found)]
         return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(clean, pa.string()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = map_batches(docs, docs.columns, schema, step)
+    out = map_batches(docs, docs.columns, docs.schema, step)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out
