@@ -13,63 +13,92 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Characters of a long candidate that are looked at together, and matches whose places are summed up together.
+PIECE, BLOCK = 1000, 64
 #: Bits a character that the best window of a candidate must reach, by character class. 20 characters hold 4.32 at most.
 BITS = {"hex": 2.9, "upper": 3.4, "lower": 3.4, "mixed": 3.6}
 #: Strings of known harmless forms: UUIDs, slugs of words and numbers, runs of one or two characters, counted-up alphabets, placeholders.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^(?:[a-z]*[0-9]*|[0-9]+[a-z]{1,2})(?:[-_+/=](?:[a-z]*[0-9]*|[0-9]+[a-z]{1,2}))*$",
+    # Possessive, so that the longest slug is matched in a loop and not by recursion.
+    r"^(?:(?:[a-z]*+[0-9]*+|[0-9]++[a-z]{1,2}+)(?:[-_+/=]|$))++$",
     r"^(.)\1+$",
     r"^(.{1,4})\1{3,}.{0,3}$",
     r"(?i)example|placeholder|changeme|your[_-]?(token|key|secret)|xxxx|0123456789|abcdefghij|1234567890",
 )
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, of, block: int = BLOCK) -> Column:
+    """of() of all elements before each one, zero before the first.
+
+    Blocks are reduced first, then what comes before each block, then each block by itself, so an array of n elements
+    takes about n * block + (n / block)^2 / 2 steps and no array is copied at each of its elements.
+    """
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda a, x: of(a, x))
+
+    def parts(v: Column) -> Column:
+        heads = lambda sums: F.transform(sums, lambda _, k: folded(F.slice(sums, F.lit(1), k)))
+        within = lambda part, head: F.transform(part, lambda _, i: of(head, folded(F.slice(part, F.lit(1), i))))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        return _let(cut, lambda c: _let(F.transform(c, folded), lambda sums: _let(heads(sums), lambda h: F.flatten(F.transform(c, lambda part, k: within(part, F.get(h, k)))))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, parts(v)).otherwise(v))
+
+
 def _places(text: Column, pattern: str, ok) -> Column:
-    """array<struct<start, end, whole>> of the pattern's leftmost non-overlapping matches that pass ok(whole, second group).
+    """array<struct<start, end, whole>> of the pattern's leftmost non-overlapping matches that pass ok(whole).
 
-    The pieces between matches and the matches in turn make up the text, so their lengths give the places.
+    The pieces between matches and the matches in turn make up the text, so the sums of their lengths give the places.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if "((?i)" in pattern else whole
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), second.alias("second"))
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,whole:string>>)")
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
-        end = start + F.coalesce(F.length(row["whole"]), F.lit(0))
-        add = F.when(row["whole"].isNotNull() & ok(row["whole"], row["second"]), F.array(F.struct(start.alias("start"), end.alias("end"), row["whole"].alias("whole")))).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(state["out"], add).alias("out"))
+    def placed(r: Column) -> Column:
+        before = running(F.transform(r, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
+        start = lambda x, at: at + F.length(x["gap"])
+        found = F.zip_with(r, before, lambda x, at: F.struct(start(x, at).alias("start"), (start(x, at) + F.length(x["whole"])).alias("end"), x["whole"].alias("whole")))
+        return F.filter(found, lambda x: x["whole"].isNotNull() & ok(x["whole"]))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(rows, placed)).otherwise(empty)
 
 
 def best_window_bits(s: Column, window: int = WINDOW) -> Column:
-    """The greatest Shannon entropy, in bits a character, of any window of the string.
+    """The greatest Shannon entropy, in bits a character, of any window of the string; 0 if it is shorter than one.
 
-    Counts are kept as the window slides: each step adds one character and takes off one, and the sum of
-    n log2 n over the counts changes by these two terms alone.
+    As the window slides, each step adds one character and takes off one: the sum of n log2 n over the counts changes
+    by these two terms alone. A long string is taken in pieces that overlap by a window, so that no step holds more
+    than a piece of it.
     """
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    pieces = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return _let(pieces, lambda p: F.coalesce(F.array_max(F.transform(p, lambda x, i: _piece_bits(F.concat(x, F.substring(F.coalesce(F.get(p, i + 1), F.lit("")), 1, window - 1)), window))), F.lit(0.0)))
+
+
+def _piece_bits(s: Column, window: int) -> Column:
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    zeros = F.array_repeat(F.lit(0), len(ALPHABET))
-    size = F.size(codes)
 
-    def step(state: Column, i: Column) -> Column:
-        into = F.element_at(state["codes"], i + 1)
-        out = F.when(i >= window, F.element_at(state["codes"], F.greatest(i - window + 1, F.lit(1)))).otherwise(F.lit(-1))
-        up = F.element_at(state["n"], into + 1)
-        down = F.when(out >= 0, F.element_at(state["n"], F.greatest(out, F.lit(0)) + 1) + F.when(out == into, 1).otherwise(0)).otherwise(0)
-        total = state["total"] + term(up + 1) - term(up) + F.when(out >= 0, term(down - 1) - term(down)).otherwise(F.lit(0.0))
-        counts = F.transform(state["n"], lambda n, k: n + F.when(k == into, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
-        bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(state["codes"].alias("codes"), counts.alias("n"), total.alias("total"), F.greatest(state["best"], bits).alias("best"))
+    def slid(text: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            held = F.substring(text, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
+            into, out = F.substring(text, i + 1, F.lit(1)), F.when(i >= window, F.substring(held, 1, 1)).otherwise(F.lit(""))
+            counted = lambda c: F.length(held) - F.length(F.replace(held, c))
+            up, down = counted(into), counted(out) + F.when(out == into, 1).otherwise(0)
+            total = state["total"] + term(up + 1) - term(up) + F.when(i >= window, term(down - 1) - term(down)).otherwise(F.lit(0.0))
+            bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
+            return F.struct(total.alias("total"), F.greatest(state["best"], bits).alias("best"))
+
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), start, step, lambda state: state["best"])
 
-    start = F.struct(codes.alias("codes"), zeros.alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.when(size > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), start, step, lambda s: s["best"])).otherwise(F.lit(0.0))
+    return F.when(F.length(s) >= window, _let(s, slid)).otherwise(F.lit(0.0))
 
 
 def _secret_like(s: Column) -> Column:
@@ -92,25 +121,44 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Built-in functions only, a map over whole texts without a shuffle. Entropy spans that touch a base span add
     nothing. A null text is empty and has no spans; repeated rows give repeated rows; an empty table gives an
-    empty result; other columns are not read. Places are in code points, ends exclusive.
+    empty result; other columns are not read. Places are in code points, ends exclusive. Time grows with a text's
+    length and not with its square, however many matches it holds.
     """
     text = F.col("text")
-    always = lambda whole, second: F.lit(True)
+    always = lambda whole: F.lit(True)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     found = found.withColumns({
-        "assign": _places(text, ASSIGN, lambda whole, second: F.length(second) >= 12),
-        "access": _places(text, ACCESS, lambda whole, second: F.length(whole) >= 18),
+        "assign": _places(text, ASSIGN, lambda whole: F.length(F.regexp_extract(whole, ASSIGN, 2)) >= 12),
+        "access": _places(text, ACCESS, lambda whole: F.length(whole) >= 18),
         "hex": _places(text, HEX, always),
         "long": _places(text, CANDIDATE, always),
     })
     as_kind = lambda name, k: F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-    base = F.array_sort(F.concat(*(as_kind(n, k) for k, n in enumerate(KINDS[:3]))))
-    found = found.withColumn("base", base)
-    free = F.filter("long", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    found = found.withColumn("more", F.filter(free, lambda x: _secret_like(x["whole"])))
+    found = found.withColumn("base", F.array_sort(F.concat(*(as_kind(n, k) for k, n in enumerate(KINDS[:3])))))
+    found = found.withColumn("free", F.when((F.size("long") > 0) & (F.size("base") > 0), _apart(F.col("long"), F.col("base"))).otherwise(F.col("long")))
+    found = found.withColumn("more", F.filter("free", lambda x: _secret_like(x["whole"])))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", as_kind("more", 3))).alias("spans"))
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans (start, end, whole) that overlap none of base (start, kind, end).
+
+    In order of their starts, a span is free if no base span that begins before it reaches into it and the next one
+    begins at its end or later.
+    """
+    far = F.lit(2**31 - 1)
+    rows = F.array_sort(F.concat(F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.lit(False).alias("own"), x["end"].alias("end"), F.lit("").alias("whole"))), F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(True).alias("own"), x["end"].alias("end"), x["whole"].alias("whole")))))
+
+    def kept(r: Column) -> Column:
+        reach = running(F.transform(r, lambda x: F.when(x["own"], 0).otherwise(x["end"])), F.lit(0), F.greatest)
+        following = F.reverse(running(F.reverse(F.transform(r, lambda x: F.when(x["own"], far).otherwise(x["start"]))), far, F.least))
+        beside = F.arrays_zip(r.alias("x"), reach.alias("reach"), following.alias("next"))
+        free = F.filter(beside, lambda b: b["x"]["own"] & (b["reach"] <= b["x"]["start"]) & (b["next"] >= b["x"]["end"]))
+        return F.transform(free, lambda b: F.struct(b["x"]["start"].alias("start"), b["x"]["end"].alias("end"), b["x"]["whole"].alias("whole")))
+
+    return _let(rows, kept)
+
+
 def joined(spans: str) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
