@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import escape
@@ -17,14 +18,20 @@ from pyspark.sql import functions as F
 from tradewind.llm import gbt
 from tradewind.llm.shared import map_batches, texts
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Their content is never text of the page.
-HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video select textarea button title".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr".split())
+HIDDEN = frozenset(("head", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "title"))
+INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr"))
 #: Opening one of these ends a paragraph that is open.
-CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
+CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "center", "details", "dialog", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"))
+#: What may stand in a head; anything else ends it, as its end tag and the body's start tag may be left out.
+OF_HEAD = frozenset(("base", "link", "meta", "noscript", "script", "style", "template", "title"))
+#: Elements of other languages, in which "/>" ends an element.
+FOREIGN = frozenset(("svg", "math"))
+#: What a button can't hold: one that is open when one of these begins was left unclosed.
+NOT_IN_BUTTON = frozenset(("address", "article", "aside", "body", "button", "details", "dialog", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = frozenset("article aside body div footer form header html main nav section table ul ol dl td th".split())
+SCOPES = frozenset(("article", "aside", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "ul", "ol", "dl", "td", "th"))
 MARK = "x-main"  # set by the page writer on the elements whose own text is main text
 
 
@@ -46,8 +53,9 @@ class Node:
 class Page(HTMLParser):
     """Block-level elements as nodes, and the text blocks in page order with the node that each lies in.
 
-    A block ends wherever a block-level element begins or ends. Unclosed and misplaced tags are tolerated: an end
-    tag that nothing opened is dropped, and one for an outer element closes all within.
+    A block ends wherever a block-level element begins or ends. A head ends where something begins that can't stand in
+    it, a button where a block does that can't, and within svg and math "/>" ends an element. Unclosed and misplaced
+    tags are tolerated: an end tag that nothing opened is dropped, and one for an outer element closes all within.
     """
 
     def __init__(self, html: str):
@@ -55,6 +63,7 @@ class Page(HTMLParser):
         self.nodes = [Node("#", -1, 0, (), 0)]
         self.open: list[tuple[str, int]] = [("#", 0)]  # inline and hidden elements stand on the stack with their block's node
         self.hidden = self.in_link = 0
+        self.count: dict[str, int] = {}  # of open elements, by tag
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[tuple[int, str]] = []
@@ -79,11 +88,14 @@ class Page(HTMLParser):
         if tag not in INLINE and tag not in HIDDEN:
             self.flush()
         self.open.pop()
+        self.count[tag] -= 1
         self.hidden -= tag in HIDDEN
         self.in_link -= tag == "a"
 
     def end_open(self, tags: set[str] | frozenset[str]) -> None:
         """Ends the innermost of these elements, if no element of a scope stands between."""
+        if not any(map(self.count.get, tags)):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in tags:
                 while len(self.open) > k:
@@ -93,9 +105,11 @@ class Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "body" and self.hidden and any(t == "head" for t, _ in self.open):
-            while self.open[-1][0] != "#" and self.hidden:
+        if self.hidden:
+            if self.open[-1][0] == "head" and tag not in OF_HEAD:
                 self.pop()
+            if self.count.get("button") and tag in NOT_IN_BUTTON:
+                self.leave("button")
         if tag == "br":
             self.parts.append(" ")
             return
@@ -117,19 +131,29 @@ class Page(HTMLParser):
             parent.children.append(len(self.nodes) - 1)
             at = len(self.nodes) - 1
         self.open.append((tag, at))
+        self.count[tag] = self.count.get(tag, 0) + 1
         self.hidden += tag in HIDDEN
         self.in_link += tag == "a"
 
+    def foreign(self) -> bool:
+        return any(map(self.count.get, FOREIGN))
+
+    def leave(self, tag: str) -> None:
+        """Ends the innermost element of this tag and all within."""
+        while True:
+            last = self.open[-1][0]
+            self.pop()
+            if last == tag:
+                return
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in FOREIGN or self.foreign():
+            return  # an element of its own, without content
         self.handle_starttag(tag, attrs)  # "<div/>" opens a div, as browsers have it
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open[1:]):
-            while True:
-                last = self.open[-1][0]
-                self.pop()
-                if last == tag:
-                    return
+        if self.count.get(tag):
+            self.leave(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -164,6 +188,7 @@ def node_features(page: Page) -> np.ndarray:
     for i in range(len(nodes) - 1, 0, -1):
         total[nodes[i].parent] += total[i]
     whole = max(total[0, 0], 1)
+    alike = [Counter(nodes[s].tag for s in n.children) for n in nodes]
     x, t, g = np.zeros((len(nodes), FEATURES)), len(TAGS), len(GROUPS)
     for i, n in enumerate(nodes):
         row = x[i]
@@ -184,7 +209,7 @@ def node_features(page: Page) -> np.ndarray:
         row[2 * t + 2 * g :] = (
             n.depth, np.log1p(chars), np.log1p(n.chars), links / max(chars, 1), n.links / max(n.chars, 1), stops / max(chars, 1) * 100, chars / max(blocks, 1), chars / size,
             np.log1p(size), chars / whole, chars / max(up[0], 1), n.place, len(siblings), n.place / max(len(siblings) - 1, 1), np.log1p(before), np.log1p(after),
-            len(n.children), sum(nodes[s].tag == n.tag for s in siblings[:50]), up[1] / max(up[0], 1), np.log1p(up[0]), titles, up[5],
+            len(n.children), alike[n.parent][n.tag] if n.parent >= 0 else 1, up[1] / max(up[0], 1), np.log1p(up[0]), titles, up[5],
         )
     return x
 
