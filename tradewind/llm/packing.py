@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tradewind.llm.shared import map_batches, text_bytes, written
+from tradewind.llm.shared import in_arrow, map_batches, quoted, text_bytes, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 0
-#: Pieces that one task packs; a shard leaves at most its last sequences part empty.
+#: Pieces that one task packs at a time; what its sequences leave open is packed again with other shards'.
 SHARD = 20_000
 #: Chunks without white space, and words of these, whose ids a worker remembers before it starts anew.
 REMEMBERED = 500_000
 
-# The tokenizer's splitting pattern, for lower-case Latin-1 text.
-_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Normalisations of a tokenizer whose chunks may be lower-cased and split here: Latin-1 is in NFC as it is.
+NORMAL = ["NFC", "Replace", "Lowercase"]
 _plain = re.compile(r"[\x21-\x7e\xc0-\xff]+")
 
 
@@ -45,21 +48,38 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def word_pattern(path: str) -> regex.Pattern | None:
+    """The pattern by which a tokenizer file splits text into words, if it lower-cases, lets no word hold white space,
+
+    spells words byte by byte and merges within them; None for any other, whose texts go through it whole."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if said["model"].get("type") != "BPE" or [n.get("type") for n in (said.get("normalizer") or {}).get("normalizers", [])] != NORMAL or [x.get("type") for x in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, spelled = steps
+    if split.get("behavior") != "Removed" or not split.get("invert") or spelled.get("add_prefix_space") or spelled.get("use_regex") or "Regex" not in split.get("pattern", {}):
+        return None
+    found = regex.compile(split["pattern"]["Regex"])
+    return None if any(found.search(c) for c in " \t\n\r\x0b\x0c") else found
+
+
 def _little_endian(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
 class ChunkIds(dict):
-    """Ids of chunks without white space, as little-endian bytes.
+    """Ids of chunks without white space, as little-endian bytes, for a tokenizer that has a word_pattern.
 
-    The tokenizer drops white space and never lets a token cross it, so a text's ids are its chunks' ids in order.
+    Such a tokenizer drops white space and never lets a token cross it, so a text's ids are its chunks' ids in order.
     A new chunk of Latin-1 characters is lower-cased and split as the tokenizer does it, and only words not met
     before go through its merges; any other chunk, or one that may hold a special token, goes through it whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.pieces = _tokenizer(path), word_pattern(path)
         self.merges = self.tokenizer.model
         self.words: dict[str, bytes] = {}
 
@@ -73,7 +93,7 @@ class ChunkIds(dict):
             if c not in self:
                 text = c.decode("utf-8", "replace")
                 if _plain.fullmatch(text) and "<|" not in text:
-                    self[c] = b"".join([self.words.get(w) or self.word(w) for w in _pieces.findall(text.lower())])
+                    self[c] = b"".join([self.words.get(w) or self.word(w) for w in self.pieces.findall(text.lower())])
                 else:
                     odd.append((c, text))
         for at in range(0, len(odd), 4096):
@@ -92,21 +112,33 @@ def _chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
+def token_ids(several: list[bytes], path: str) -> Iterator[bytes]:
+    """Each text's ids as little-endian bytes, as the tokenizer gives them."""
+    if word_pattern(path) is None:
+        for at in range(0, len(several), 64):
+            for e in _tokenizer(path).encode_batch_fast([t.decode("utf-8", "replace") for t in several[at : at + 64]], add_special_tokens=False):
+                yield _little_endian(e.ids)
+        return
+    known = _chunk_ids(path)
+    for text in several:
+        chunks = text.split()
+        known.learn(chunks)
+        yield b"".join(map(known.__getitem__, chunks))
+
+
 def token_pieces(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit): each document's tokens and the end id, cut every length tokens.
 
-    A null or empty text is the end id alone. Texts are taken whole; a chunk's ids are looked up, so that repeated
-    words cost one tokenisation a worker.
+    A null or empty text is the end id alone; repeated rows give repeated pieces, a null doc_id stays null, an empty
+    table gives an empty result, and other columns are not read. Texts are taken whole; with a tokenizer that has a
+    word_pattern a chunk's ids are looked up, so that repeated words cost one tokenisation a worker.
     """
     last = np.array([end], "<u4").tobytes()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = _chunk_ids(tokenizer)
         out: list[tuple] = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch)):
-            chunks = text.split()
-            known.learn(chunks)
-            ids = b"".join(map(known.__getitem__, chunks)) + last
+        for doc, found in zip(batch.column("doc_id").to_pylist(), token_ids(text_bytes(batch), tokenizer)):
+            ids = found + last
             out += [(doc, k, at // 4, len(ids[at : at + 4 * length]) // 4, ids[at : at + 4 * length]) for k, at in enumerate(range(0, len(ids), 4 * length))]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids"])
@@ -163,28 +195,51 @@ def best_fit(lengths: list[int], top: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, top: int = 2048, shard: int = SHARD) -> DataFrame:
-    """pieces with sequence_id and offset. Columns besides length pass through; no piece is cut or dropped.
+def pack(pieces: DataFrame, top: int = 2048, shard: int = SHARD, room: int | None = None) -> DataFrame:
+    """pieces with sequence_id and offset. No piece is cut or dropped; a piece of `top` tokens is a sequence by itself.
 
-    Pieces are dealt evenly into shards of at most about `shard` rows, so that no key decides a task's size, and each
-    is packed best fit decreasing; equal lengths go in the order of their other columns, so a rerun packs alike.
+    The other pieces are dealt evenly into shards of about `shard` rows, so that no key decides a task's size, and
+    each is packed best fit decreasing; equal lengths go in the order of their other columns, so a rerun packs alike.
+    The pieces of sequences that a shard leaves with over `room` tokens free (an eighth, if not given) are dealt and
+    packed again, and so on, until one shard holds what is left or a pass saves no sequence: the result stays close to
+    that of one packing of all pieces, whatever the number of shards. Columns besides length pass through; sequence_id
+    and offset of the input give way. Pieces without a length are not placed (null). Repeated rows are placed one by
+    one; an empty table gives an empty result.
     """
-    pieces = written(pieces, "pieces")
-    shards = max(1, -(-pieces.count() // shard))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in rows.column_names if c != "length")])
-        places = best_fit(rows.column("length").to_pylist(), top)
-        first = TaskContext.get().partitionId() << 40
-        sequence, offset = zip(*places)
-        rows = rows.append_column("sequence_id", pa.array([first + s for s in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-        yield from rows.to_batches(max_chunksize=10_000)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.repartition(shards).mapInArrow(run, schema)
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = written(pieces.select(*map(quoted, own)), "pieces")
+    room = top // 8 if room is None else room
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("_free", LongType())])
+    alone = pieces.where(F.col("length").isNull() | (F.col("length") >= top))
+    done = [alone.withColumn("sequence_id", F.when(F.col("length").isNotNull(), -1 - F.monotonically_increasing_id())).withColumn("offset", F.when(F.col("length").isNotNull(), F.lit(0).cast("long")))]
+    left, turn, before = pieces.where(F.col("length") < top), 0, None
+    while True:
+        shards = max(1, -(-left.count() // shard))
+        placed = written(in_arrow(left.repartition(shards), partial(_packed, top=top, turn=turn), schema), "placed")
+        free = placed.where(F.col("_free") > room)
+        open_now = free.agg(F.count_distinct("sequence_id")).first()[0] if shards > 1 else 0
+        if shards == 1 or open_now == 0 or (before is not None and open_now >= before):
+            return reduce(DataFrame.unionByName, [*done, placed.drop("_free")])
+        done.append(placed.where(F.col("_free") <= room).drop("_free"))
+        left, turn, before = free.select(*map(quoted, own)), turn + 1, open_now
+
+
+def _packed(batches: Iterator[pa.RecordBatch], top: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """One shard's pieces with sequence_id, offset and the tokens that their sequence leaves free."""
+    if not (batches := [b for b in batches if b.num_rows]):
+        return
+    rows = pa.Table.from_batches(batches)
+    ordered = [f.name for f in rows.schema if f.name != "length" and not pa.types.is_nested(f.type)]
+    rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ordered)])
+    lengths = rows.column("length").to_pylist()
+    places = best_fit(lengths, top)
+    used: dict[int, int] = {}
+    for (s, _), n in zip(places, lengths):
+        used[s] = used.get(s, 0) + n
+    first = (turn << 56) + (TaskContext.get().partitionId() << 32)
+    for name, values in (("sequence_id", [first + s for s, _ in places]), ("offset", [o for _, o in places]), ("_free", [top - used[s] for s, _ in places])):
+        rows = rows.append_column(name, pa.array(values, pa.int64()))
+    yield from rows.to_batches(max_chunksize=10_000)
 
 
 def sequences(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER) -> DataFrame:
