@@ -161,8 +161,10 @@ def test_balls_find_every_link(spark):
             fps.add(b ^ sum(1 << i for i in r.sample(range(64), k)))
     fps = sorted(fps)
     place = {simhash._signed(f): i for i, f in enumerate(fps)}
-    links = simhash.ball_links(spark.createDataFrame([(f,) for f in place], "fp long")).collect()
-    links = [(place[x.a], place[x.b]) for x in links]
+    reps = spark.createDataFrame([(f,) for f in place], "fp long")
+    every, links = ({(place[x.a], place[x.b]) for x in simhash.ball_links(reps, screen).collect()} for screen in (False, True))
+    assert every == links  # the screen stops none that has another within the radius
+    assert simhash._screened(spark.createDataFrame([(simhash._signed(r.getrandbits(64)),) for _ in range(500)], "fp long")).count() < 10
     assert links and all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in links)
     parts = {r.node: r.component for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
     label = list(range(len(fps)))
@@ -727,3 +729,10 @@ def test_entropy_spans(docs, spark):
     got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.find_secrets(table(spark, rows)).collect()}
     assert got[1] == [(4, 3, 36)] and got[5] == [(0, 0, 38)] and got[2] == got[3] == got[4] == got[6] == []
     assert secrets.find_secrets(docs).count() == len(ODD) and secrets.find_secrets(table(spark, [])).count() == 0
+
+
+def test_secrets_of_small_letters_and_digits(spark):
+    texts = ["use k3j9x8q2m7p4w6z1v5t0 now", "use k3j9-x8q2_m7p4-w6z1-v5t0 now", "see market-report-2024-q3-covid19-2nd-edition-v2 now", "see verylongcompoundword2024 now", "see thisisaverylongordinarywordwithoutdigits"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert got == {0: [(4, 3, 24)], 1: [(4, 3, 28)], 2: [], 3: [], 4: []}
