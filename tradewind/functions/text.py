@@ -49,6 +49,13 @@ def has_phrase(c: Column, terms: Iterable[str]) -> Column:
     return let(c, lambda t: contains_any(t, terms) & t.rlike(f"(?<![a-z0-9])(?:{alternation(terms)})(?![a-z0-9])"))
 
 
+def names(text: Column, name: Column, least: int = 3) -> Column:
+    """Whether the text holds the name, case aside, with no letter a-z or digit at either side; a shorter name never counts."""
+    n = F.lower(strip(F.coalesce(name, F.lit(""))))
+    quoted_name = F.concat(F.lit("\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return (F.length(n) >= least) & F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.concat(F.lit("(?<![0-9a-z])"), quoted_name, F.lit("(?![0-9a-z])")))
+
+
 def union_distinct(*lists: Column) -> Column:
     """Stripped, non-blank values of all lists, each once, in order of first appearance."""
     every = F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists))

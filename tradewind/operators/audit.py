@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Parts of key names whose values are not stored.
 SENSITIVE = ("password", "token", "secret", "authorization", "api_key", "apikey", "credential")
@@ -21,6 +25,24 @@ def scrub_json(text: Column) -> Column:
     return F.regexp_replace(text, rf'(?i)("[^"]*(?:{key})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false)', rf'$1"{REDACTED}"')
 
 
+@F.pandas_udf(StringType())
+def scrub_detail(text: pd.Series) -> pd.Series:
+    """JSON with every value under a sensitive key replaced, whatever it is, at any depth; other text and null as they are."""
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: REDACTED if any(w in k.lower() for w in SENSITIVE) else clean(v) for k, v in value.items()}
+        return [clean(v) for v in value] if isinstance(value, list) else value
+
+    def one(x: str | None) -> str | None:
+        try:
+            return x if x is None else json.dumps(clean(json.loads(x)), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return x
+
+    return text.map(one)
+
+
 def dead_letters(failures: DataFrame, error_chars: int = 4000, payload_chars: int = 20_000) -> DataFrame:
     return failures.withColumns({"error": F.substring("error", 1, error_chars), "payload": F.substring(scrub_json(F.col("payload")), 1, payload_chars)})
 

@@ -14,11 +14,20 @@ def stable_id() -> Column:
     return F.col("provider").isin(*D.STABLE_ID_PROVIDERS) & (F.coalesce("provider_article_id", F.lit("")) != "")
 
 
-def article_fingerprint() -> Column:
-    """Hash of the provider's own id where that is authoritative, else of the canonical URL, else of the content."""
-    url = canonical(F.col("article_url"))
+def folded(c: Column) -> Column:
+    """Lower case, with the letters that case folding alone changes: sharp s, long s and final sigma."""
+    return F.replace(F.translate(F.lower(c), "\u017f\u03c2", "s\u03c3"), F.lit("\u00df"), F.lit("ss"))
+
+
+def article_fingerprint(canonical_url: str | None = None) -> Column:
+    """Hash of the provider's own id where that is authoritative, else of the canonical URL, else of the content.
+
+    canonical_url names a column that holds a feed's own canonical URL; it comes before the article's.
+    """
+    own_url = F.col("article_url") if canonical_url is None else F.coalesce(F.nullif(canonical_url, F.lit("")), "article_url")
+    url = canonical(own_url)
     own = F.concat_ws("\0", F.lit("provider"), "provider", "provider_article_id")
-    content = F.concat_ws("\0", F.lit("content"), strip(F.lower("title")), strip(F.lower(F.coalesce("description", F.lit("")))), iso_time(F.col("published_at")))
+    content = F.concat_ws("\0", F.lit("content"), strip(folded(F.col("title"))), strip(folded(F.coalesce("description", F.lit("")))), iso_time(F.col("published_at")))
     return F.sha2(F.when(stable_id(), own).when(F.coalesce(F.col("article_url"), F.lit("")) != "", F.concat(F.lit("url\0"), url)).otherwise(content), 256)
 
 

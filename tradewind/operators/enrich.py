@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
-from tradewind.functions.signals import canonical_tags, classify, inferred_category, regions, suppliers
-from tradewind.functions.text import extractive_summary, strip
+from tradewind.functions.signals import canonical_category, canonical_tag, canonical_tags, classify, inferred_category, regions, suppliers
+from tradewind.functions.text import extractive_summary, strip, union_distinct
 
 
 def _filled(c: Column) -> Column:
@@ -76,6 +81,52 @@ def reserve(candidates: DataFrame, run: str, place: str, tokens: str, max_calls:
     return found.withColumn("reserved", F.coalesce("reserved", F.lit(False)))
 
 
+def content_fingerprint(policy: str, taxonomy: str, columns: tuple[str, ...] = ("language", "title", "description", "content_snippet")) -> Column:
+    """SHA-256 of versions and content as a JSON list: compatibility-composed, lower case, white space as one space, ASCII-escaped.
+
+    Spark has no Unicode normalisation and JSON writer that escapes, so the exact bytes are made in Arrow batches.
+    """
+
+    @F.pandas_udf("string")
+    def hashed(fields: pd.DataFrame) -> pd.Series:
+        plain = lambda v: "" if v is None else " ".join(unicodedata.normalize("NFKC", v).lower().split())
+        return pd.Series([hashlib.sha256(json.dumps([plain(v) for v in (policy, taxonomy, *row)], separators=(",", ":")).encode()).hexdigest() for row in fields.itertuples(index=False, name=None)])
+
+    return hashed(F.struct(*columns))
+
+
+def translation_key(language: Column, text: Column) -> Column:
+    return F.sha2(F.concat_ws("|", language, text), 256)
+
+
+
+def parsed_answer(answer: Column) -> Column:
+    """A model's answer as a struct of checked fields, or null: the outermost {...} must be JSON with a fit summary.
+
+    The summary must be text of 10 to 1,000 characters and a category must be there; one that is no text or no known
+    category is general. Tags, if given, must be a list of texts, of which the known ones stay; entity lists keep
+    their texts, stripped, each once, and anything else counts as an empty list.
+    """
+    first, last = F.instr(answer, "{"), F.length(answer) - F.instr(F.reverse(answer), "}") + 1
+    read = F.try_parse_json(F.when((first > 0) & F.contains(answer, F.lit("}")) & (last > first), F.substring(answer, first, last - first + 1)))
+    got = lambda path, kind: F.try_variant_get(read, path, kind)
+    kind = lambda path: F.schema_of_variant(got(path, "variant"))
+    is_text = lambda path: F.coalesce(kind(path) == "STRING", F.lit(False))
+    listed = lambda path: F.coalesce(F.when(F.coalesce(kind(path).startswith("ARRAY"), F.lit(False)), got(path, "array<variant>")), F.expr("cast(array() as array<variant>)"))
+    of_text = lambda path: F.transform(F.filter(listed(path), lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))), lambda v: F.try_variant_get(v, "$", "string"))
+    summary, category = got("$.summary", "string"), F.lower(got("$.category", "string"))
+    known = canonical_category(category)
+    tags = of_text("$.signal_tags")
+    fit = is_text("$.summary") & F.length(summary).between(10, 1000) & kind("$.category").isNotNull()
+    fit = fit & (kind("$.signal_tags").isNull() | (kind("$.signal_tags").startswith("ARRAY") & (F.size(tags) == F.size(listed("$.signal_tags")))))
+    fields = F.struct(
+        summary.alias("summary"), F.when(is_text("$.category") & known.isin(*D.CATEGORIES), known).otherwise("general").alias("category"), canonical_tags(tags).alias("signal_tags"),
+        F.when(is_text("$.priority_signal"), canonical_tag(got("$.priority_signal", "string"))).alias("priority_signal"),
+        *(union_distinct(of_text(f"$.detected_{k}")).alias(f"detected_{k}") for k in ("suppliers", "regions", "categories")),
+    )
+    return F.when(F.coalesce(fit, F.lit(False)), fields)
+
+
 def later_copies(articles: DataFrame, fingerprint: str, place: str) -> Column:
     """Whether an earlier row of the batch has the same fingerprint: it is served from the cache."""
     return F.row_number().over(Window.partitionBy(fingerprint).orderBy(place)) > 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RETRYABLE = ("normalization_retry", "enrichment_retry", "deferred", "processing")
@@ -35,16 +35,26 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
 
 
 def circuit_fold(outcomes: DataFrame, source: str = "source_id", at: str = "ts", ok: str = "ok", order: str = "event_id") -> DataFrame:
-    """source, failures, opened_at: the breaker after all outcomes. A success while closed, or the first after the
-
-    cooldown, resets; at five failures and at each later one the circuit opens anew. Failures since the last
-    success are all that counts, so a window replaces the fold over a gathered list."""
-    last_ok = outcomes.where(ok).groupBy(source).agg(F.max(F.struct(at, order)).alias("_last"))
-    since = outcomes.where(~F.col(ok)).join(last_ok, source, "left").where(F.col("_last").isNull() | (F.struct(at, order) > F.col("_last")))
-    counted = since.groupBy(source).agg(F.count("*").alias("failures"), F.max(at).alias("_at"))
-    every = outcomes.select(source).distinct()
-    out = every.join(counted, source, "left")
-    return out.select(source, F.coalesce("failures", F.lit(0)).alias("failures"), F.when(F.col("failures") >= FAILURES_TO_OPEN, F.col("_at")).alias("opened_at"))
+    """source, failures, opened_at: the breaker after all outcomes.
+
+    A failure counts; from the fifth on each opens the circuit anew for OPEN_MINUTES. A success resets it while fewer
+    than five have failed, and once the time since the last failure is over; while it is open a success changes
+    nothing. One that comes so late after the last failure resets in any case: after the last such, successes reset
+    until five failures have come with none between, and none does from there on. So windows and counts replace the
+    fold, and no source's outcomes are gathered.
+    """
+    w = Window.partitionBy(source).orderBy(at, order)
+    last_failure = F.max(F.when(~F.col(ok), F.col(at))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    free = F.col(ok) & (last_failure.isNull() | (F.col(at) >= last_failure + F.expr(f"interval {OPEN_MINUTES} minutes")))
+    seen = outcomes.select(source, at, ok, order, free.alias("_free"))
+    seen = seen.withColumn("_part", F.count_if("_free").over(w)).withColumn("_run", F.count_if(ok).over(w))
+    runs = seen.groupBy(source, "_part", "_run").agg(F.count_if(~F.col(ok)).alias("_failed"), F.max(F.when(~F.col(ok), F.col(at))).alias("_at"))
+    last = runs.groupBy(source).agg(F.max("_part").alias("_part"))
+    runs = runs.join(last, [source, "_part"])
+    locked = runs.groupBy(source).agg(F.min(F.when(F.col("_failed") >= FAILURES_TO_OPEN, F.col("_run"))).alias("_locked"), F.max("_run").alias("_end"))
+    counted = runs.join(locked, source).where(F.col("_run") >= F.coalesce("_locked", "_end"))
+    failures = F.sum("_failed")
+    return counted.groupBy(source).agg(failures.alias("failures"), F.when(failures >= FAILURES_TO_OPEN, F.max("_at")).alias("opened_at"))
 
 
 def expired(rows: DataFrame, at: str, now: Column, days: int) -> Column:

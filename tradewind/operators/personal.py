@@ -36,12 +36,6 @@ def score(wanted: Column, excluded: Column, had: Column, exact: bool = False) ->
     return F.when(F.arrays_overlap(had, excluded), 0.0).when(none, 0.5).otherwise(hit)
 
 
-def included(categories: Column, suppliers: Column, regions: Column, signals: Column, wanted: dict[str, Column], excluded: Column) -> Column:
-    """Category or supplier interest decides where there is any, else region, else signal; an exclusion always wins."""
-    focus = (F.size(wanted["categories"]) > 0) | (F.size(wanted["suppliers"]) > 0)
-    return ~excluded & F.when(focus, F.arrays_overlap(categories, wanted["categories"]) | F.arrays_overlap(suppliers, wanted["suppliers"])).when(F.size(wanted["regions"]) > 0, F.arrays_overlap(regions, wanted["regions"])).when(F.size(wanted["signals"]) > 0, F.arrays_overlap(signals, wanted["signals"])).otherwise(True)
-
-
 def overall(category: Column, supplier: Column, region: Column, signal: Column) -> Column:
     w = D.MATCH_WEIGHTS
     return category * w["category"] + supplier * w["supplier"] + region * w["region"] + signal * w["signal"]
@@ -68,27 +62,71 @@ def candidates(articles: DataFrame, users: DataFrame, key: str = "user_id") -> D
     return offer.join(want, ["kind", "value"]).select(key, "id").distinct()
 
 
-def feed(scored: DataFrame, limit: int = 50, least: float = 0.3, key: str = "user_id") -> DataFrame:
-    """The best articles of each user (or profile), ranked by score, then time, then id."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("rank_score"), F.desc("processed_at"), F.asc("id")))
-    return scored.where(F.col("rank_score") >= least).withColumn("rank", rank).where(F.col("rank") <= limit)
-
-
+#: Scores below this are no match.
+LEAST_SCORE = 0.3
 WANTED = ("wanted_categories", "wanted_suppliers", "wanted_regions", "wanted_signals", "excluded_suppliers")
 
 
-def feeds(articles: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
-    """user_id, id, rank_score, rank: the feed of every user.
+def ranked_by_profile(articles: DataFrame, users: DataFrame, limit: int | Column = 50) -> tuple[DataFrame, DataFrame]:
+    """(user_id, profile) and (profile, id, processed_at, rank_score, rank), the best of each profile.
 
-    Users who want and exclude the same form one profile. Articles are scored and ranked once a profile, and the users
-    take their profile's list by equality, so the pairs scored grow with profiles and articles, not with users.
+    Users who want and exclude the same form one profile. Articles are scored and ranked once a profile, so the pairs
+    scored grow with profiles and articles, not with users. limit may name a column of users, the greatest of which
+    holds for a profile.
     """
     placed = users.withColumn("profile", F.to_json(F.struct(*(F.sort_array(c).alias(c) for c in WANTED))))
-    profiles = placed.select("profile", *WANTED).dropDuplicates(["profile"])
+    most = F.lit(limit) if isinstance(limit, int) else limit
+    profiles = placed.groupBy("profile").agg(*(F.any_value(c).alias(c) for c in WANTED), F.max(most).alias("_most"))
     pairs = candidates(articles, profiles, "profile").join(articles, "id").join(profiles, "profile")
     none = F.expr(EMPTY)
     scored = pairs.where(~F.arrays_overlap("suppliers", "excluded_suppliers")).withColumn("rank_score", overall(
         score(F.col("wanted_categories"), none, F.col("categories"), exact=True), score(F.col("wanted_suppliers"), F.col("excluded_suppliers"), F.col("suppliers")),
         score(F.col("wanted_regions"), none, F.col("regions")), score(F.col("wanted_signals"), none, F.col("signals"))))
-    best = feed(scored, limit, key="profile").select("profile", "id", "rank_score", "rank")
-    return placed.select("user_id", "profile").join(best, "profile").select("user_id", "id", "rank_score", "rank")
+    rank = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("rank_score"), F.desc("processed_at"), F.asc("id")))
+    best = scored.where(F.col("rank_score") >= LEAST_SCORE).withColumn("rank", rank).where(F.col("rank") <= F.col("_most"))
+    return placed.select("user_id", "profile"), best.select("profile", "id", "processed_at", "rank_score", "rank")
+
+
+def feeds(articles: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
+    """user_id, id, rank_score, rank: the feed of every user, taken from their profile's list by equality."""
+    placed, best = ranked_by_profile(articles, users, limit)
+    return placed.join(best, "profile").select("user_id", "id", "rank_score", "rank")
+
+
+def generate(articles: DataFrame, users: DataFrame, existing: DataFrame, limit: int = 50) -> DataFrame:
+    """user_id, id, rank_score, rank of the rows to append to feeds that hold existing (user_id, id) already.
+
+    A profile's list is as much longer than the limit as any of its users has rows, so what a user has can be taken
+    out and the limit still be filled. A user for whom nothing is left gets the baseline: their exclusions stay, what
+    they want is dropped.
+    """
+    had = existing.distinct()
+    held = had.groupBy("user_id").agg(F.count("*").alias("_had"))
+    with_room = users.join(held, "user_id", "left").withColumn("_room", limit + F.coalesce("_had", F.lit(0)))
+
+    def fresh(of: DataFrame) -> DataFrame:
+        placed, best = ranked_by_profile(articles, of, F.col("_room"))
+        return placed.join(best, "profile").join(had, ["user_id", "id"], "left_anti")
+
+    own = fresh(with_room)
+    empty = F.expr(EMPTY)
+    rest = with_room.join(own.select("user_id"), "user_id", "left_anti").withColumns({c: empty for c in WANTED if c.startswith("wanted")})
+    both = own.unionByName(fresh(rest))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("rank_score"), F.desc("processed_at"), F.asc("id")))
+    return both.withColumn("rank", rank).where(F.col("rank") <= limit).select("user_id", "id", "rank_score", "rank")
+
+
+def topped_up(stored: DataFrame, new: DataFrame, limit: int) -> DataFrame:
+    """user_id, id, turn (0 stored, 1 new), place: the best stored rows of each user, then new ones up to the limit."""
+    best = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("rank_score"), F.desc("surfaced_at"), "id"))
+    old = stored.select("user_id", "id", F.lit(0).alias("turn"), best.alias("_r")).where(F.col("_r") <= limit)
+    both = old.unionByName(new.select("user_id", "id", F.lit(1).alias("turn"), F.col("rank").alias("_r")))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("turn", "_r")).cast("long")
+    return both.withColumn("place", place).where(F.col("place") <= limit)
+
+
+def focus_line() -> Column:
+    """What a user follows, as the chat's prompt says it; empty for one who follows nothing."""
+    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+    parts = F.concat_ws("; ", listed("Suppliers: ", "wanted_suppliers"), listed("Regions: ", "wanted_regions"), listed("Categories: ", "wanted_categories"), listed("Signals: ", "wanted_signals"))
+    return F.when(parts != "", F.concat(F.lit("The user follows \u2014 "), parts, F.lit("."))).otherwise("")

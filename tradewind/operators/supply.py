@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.names import alias_forms, normal_name
@@ -51,6 +51,66 @@ def merge(rows: DataFrame, merged: DataFrame, column: str = "supplier_id") -> Da
     return rows.join(merged, rows[column] == merged.drop_id, "left").withColumn(column, F.coalesce("keep_id", column)).drop("drop_id", "keep_id")
 
 
+def final_keepers(merges: DataFrame, most: int = 20) -> DataFrame:
+    """drop_id, keep_id of merges with chains followed to their ends; a merge into itself is left out.
+
+    Each round doubles the length of the chains followed; a map of merges is small beside what it is applied to.
+    """
+    now = merges.where("drop_id <> keep_id").select("drop_id", "keep_id")
+    for _ in range(most):
+        following = now.select(F.col("drop_id").alias("_at"), F.col("keep_id").alias("_next"))
+        step = now.join(following, F.col("keep_id") == F.col("_at"), "left")
+        if step.where("_next is not null").isEmpty():
+            return now
+        now = step.select("drop_id", F.coalesce("_next", "keep_id").alias("keep_id"))
+    raise ValueError("merges form a circle")
+
+
+def merge_suppliers(suppliers: DataFrame, aliases: DataFrame, mentions: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(suppliers, aliases, mentions) after merges (drop_id, keep_id): what named the loser names the keeper, the loser is inactive.
+
+    Merges of which either side is no supplier are left out.
+    """
+    known = suppliers.select("id").distinct()
+    sound = merges.join(known.withColumnRenamed("id", "drop_id"), "drop_id", "left_semi").join(known.withColumnRenamed("id", "keep_id"), "keep_id", "left_semi")
+    final = final_keepers(sound)
+    lost = final.select(F.col("drop_id").alias("id"), F.lit(True).alias("_lost"))
+    left = suppliers.join(lost, "id", "left").withColumn("is_active", F.col("is_active") & F.col("_lost").isNull()).select(suppliers.columns)
+    return left, merge(aliases, final), merge(mentions, final)
+
+
+def claims_of_aliases(requests: DataFrame, aliases: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """requests (request_id, supplier_id, name) with outcome: empty, own (already held), conflict (another's), or added.
+
+    Of several suppliers that ask for one free alias in a batch, the first request gets it; later ones are own or conflict.
+    """
+    r = requests.withColumn("alias", normal_name(F.col("name"), ascii_only)).join(aliases.select("alias", F.col("supplier_id").alias("_held")), "alias", "left")
+    w = Window.partitionBy("alias").orderBy("request_id")
+    holder = F.coalesce("_held", F.first("supplier_id").over(w))
+    new = F.col("_held").isNull() & (F.row_number().over(w) == 1)
+    outcome = F.when(F.coalesce("alias", F.lit("")) == "", "empty").when(new, "added").when(holder == F.col("supplier_id"), "own").otherwise("conflict")
+    return r.select("request_id", "supplier_id", "alias", outcome.alias("outcome"))
+
+
+def seeded(names: DataFrame, aliases: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """name, created: which names of a starting catalogue become suppliers; one whose spellings anyone holds is skipped.
+
+    names has name and place, its order; of two names that share a spelling the first is created.
+    """
+    forms = names.select("name", "place", F.explode(alias_forms(F.col("name"), ascii_only)).alias("alias"))
+    first = F.min("place").over(Window.partitionBy("alias"))
+    held = forms.withColumn("_first", first).join(aliases.select("alias").distinct().withColumn("_held", F.lit(True)), "alias", "left")
+    blocked = F.bool_or(F.col("_held").isNotNull() | (F.col("_first") < F.col("place")))
+    return held.groupBy("name").agg((~blocked).alias("created"))
+
+
+def re_resolved(mentions: DataFrame, aliases: DataFrame, suppliers: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Unresolved mentions resolved anew, those resolved left alone; changed tells which rows the backfill updates."""
+    found = resolve(mentions.drop("confidence").withColumnRenamed("supplier_id", "_old"), aliases, suppliers, ascii_only=ascii_only)
+    now = F.coalesce("_old", "supplier_id")
+    return found.select("processed_article_id", "surface_form", now.alias("supplier_id"), F.when(now.isNotNull(), 1.0).otherwise(0.0).alias("confidence"), (~now.eqNullSafe(F.col("_old"))).alias("changed"))
+
+
 def screen(designations: DataFrame, aliases: DataFrame, suppliers: DataFrame, ascii_only: bool = False) -> DataFrame:
     """designation_id, hits (array of supplier_id, public_id, matched_name) and unmatched names, both in name order.
 
@@ -69,7 +129,3 @@ def supplier_ids_of(mentions: DataFrame, suppliers: DataFrame) -> DataFrame:
     """processed_article_id, supplier_ids: sorted distinct public ids of active suppliers that an article names."""
     active = suppliers.where("is_active").select(F.col("id").alias("supplier_id"), "public_id")
     return mentions.join(active, "supplier_id").groupBy("processed_article_id").agg(F.array_sort(F.collect_set("public_id")).alias("supplier_ids"))
-
-
-def rank_of(role: Column, order: tuple[str, ...]) -> Column:
-    return F.array_position(F.array(*map(F.lit, order)), role)

@@ -50,9 +50,8 @@ def source_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Currencies by distance from mid-range; a handful of rows, so one window over all is fine."""
     m = fx_monitor(spark, sf_dir).select("currency", "range_position")
-    best = m.agg(F.max("range_position").alias("_best"))
-    placed = m.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs(F.col("range_position") - 0.5)), "currency")).cast("long"))
-    return placed.join(F.broadcast(best)).select("currency", "range_position", "place", (F.col("range_position") == F.col("_best")).alias("strongest"))
+    place = F.row_number().over(Window.orderBy(F.desc(F.abs(F.col("range_position") - 0.5)), "currency")).cast("long")
+    return m.select("currency", "range_position", place.alias("place"), (F.col("range_position") == F.max("range_position").over(Window.partitionBy())).alias("strongest"))
 
 
 @query(FX_TICKS, sql="SELECT currency, count(*) AS n FROM fx_ticks WHERE length(currency) = 3 AND currency <> 'EUR' GROUP BY 1")

@@ -79,22 +79,17 @@ def supplier_alias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(hit, "id", "left_semi").select("id", "canonical_name")
 
 
-@query(SUPPLIERS, ALIASES, f"d AS (SELECT id, ['Supplier#' || lpad(CAST(id AS VARCHAR), 9, '0'), 'Nobody ' || CAST(id AS VARCHAR), canonical_name] AS names FROM suppliers WHERE id % 3 = 0)", f"n AS (SELECT id AS designation_id, unnest(names) AS surface_form, generate_subscripts(names, 1) AS place FROM d)", f"r AS (SELECT n.*, s.id AS supplier_id, s.public_id, row_number() OVER (PARTITION BY designation_id, s.id ORDER BY place) AS rk FROM n LEFT JOIN aliases a ON a.alias = {_norm('surface_form')} LEFT JOIN suppliers s ON s.id = a.supplier_id AND s.is_active)", sql="SELECT designation_id, coalesce(string_agg(public_id || '=' || surface_form, '|' ORDER BY place) FILTER (supplier_id IS NOT NULL AND rk = 1), '') AS hits, coalesce(string_agg(surface_form, '|' ORDER BY place) FILTER (supplier_id IS NULL), '') AS unmatched FROM r GROUP BY 1")
-def designation_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third designation; designation_screening_all screens all."""
-    return screened(spark, sf_dir, "id % 3 = 0")
-
-
 @query(SUPPLIERS, ALIASES, f"d AS (SELECT id, ['Supplier#' || lpad(CAST(id AS VARCHAR), 9, '0'), 'Nobody ' || CAST(id AS VARCHAR), canonical_name] AS names FROM suppliers)", f"n AS (SELECT id AS designation_id, unnest(names) AS surface_form, generate_subscripts(names, 1) AS place FROM d)", f"r AS (SELECT n.*, s.id AS supplier_id, s.public_id, row_number() OVER (PARTITION BY designation_id, s.id ORDER BY place) AS rk FROM n LEFT JOIN aliases a ON a.alias = {_norm('surface_form')} LEFT JOIN suppliers s ON s.id = a.supplier_id AND s.is_active)", sql="SELECT designation_id, coalesce(string_agg(public_id || '=' || surface_form, '|' ORDER BY place) FILTER (supplier_id IS NOT NULL AND rk = 1), '') AS hits, coalesce(string_agg(surface_form, '|' ORDER BY place) FILTER (supplier_id IS NULL), '') AS unmatched FROM r GROUP BY 1")
-def designation_screening_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screened(spark, sf_dir, "true")
+def designation_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a designation under three spellings."""
+    found = screened(spark, sf_dir)
+    return found.select("designation_id", F.array_join(F.transform("hits", lambda h: F.concat(h["public_id"], F.lit("="), h["matched_name"])), "|").alias("hits"), F.array_join("unmatched", "|").alias("unmatched"))
 
 
-def screened(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = suppliers(spark, sf_dir)
     names = F.array(F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")), F.concat(F.lit("Nobody "), F.col("id").cast("string")), F.col("canonical_name"))
-    found = supply.screen(s.where(which).select("id", names.alias("names")), supply.register(s, ascii_only=True), s, ascii_only=True)
-    return found.select("designation_id", F.array_join(F.transform("hits", lambda h: F.concat(h["public_id"], F.lit("="), h["matched_name"])), "|").alias("hits"), F.array_join("unmatched", "|").alias("unmatched"))
+    return supply.screen(s.select("id", names.alias("names")), supply.register(s, ascii_only=True), s, ascii_only=True)
 
 
 @query(PROCESSED, MENTIONS, sql="SELECT count(*) AS unscreened FROM processed WHERE id NOT IN (SELECT DISTINCT processed_article_id FROM mentions WHERE supplier_id IS NULL)")
@@ -106,75 +101,50 @@ def unscreened_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- watchlists and alerts ----
 
 WATCH = """watchlists AS (SELECT c_custkey AS watchlist_id, c_nationkey AS organization_id, c_name AS name FROM customer),
-entries AS (SELECT DISTINCT o_custkey AS watchlist_id, o_orderkey % 100 + 1 AS supplier_id FROM orders WHERE o_orderkey % 11 = 0),
+entries AS (SELECT DISTINCT o_custkey AS watchlist_id, o_orderkey % 100 + 1 AS supplier_id FROM orders),
 watched AS (SELECT DISTINCT organization_id, public_id FROM entries JOIN watchlists USING (watchlist_id) JOIN suppliers s ON s.id = supplier_id AND s.is_active),
 rules AS (SELECT n_nationkey AS rule_id, n_nationkey AS organization_id, n_nationkey % 5 <> 4 AS is_enabled, CASE n_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS min_severity, CASE WHEN n_nationkey % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['tariff', 'sanctions'] END AS risk_types FROM nation)"""
-WATCH_ALL = WATCH.replace(" WHERE o_orderkey % 11 = 0)", ")")
 
 
-def watch_tables(spark: SparkSession, sf_dir: str, which: str = "o_orderkey % 11 = 0") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(watchlists, entries, rules); entries come from the orders that `which` takes."""
+def watch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(watchlists, entries, rules); entries come from all orders."""
     lists = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("watchlist_id"), F.col("c_nationkey").alias("organization_id"), F.col("c_name").alias("name"))
-    entries = table(spark, sf_dir, "orders").where(which).select(F.col("o_custkey").alias("watchlist_id"), (F.col("o_orderkey") % 100 + 1).alias("supplier_id")).distinct()
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("watchlist_id"), (F.col("o_orderkey") % 100 + 1).alias("supplier_id")).distinct()
     k = F.col("n_nationkey")
     rules = table(spark, sf_dir, "nation").select(k.alias("rule_id"), k.alias("organization_id"), (k % 5 != 4).alias("is_enabled"), F.when(k % 4 == 0, "low").when(k % 4 == 1, "medium").when(k % 4 == 2, "high").otherwise("critical").alias("min_severity"), F.when(k % 3 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("tariff"), F.lit("sanctions"))).alias("risk_types"))
     return lists, entries, rules
 
 
 @query(SUPPLIERS, WATCH, sql="SELECT organization_id, count(*) AS n FROM watched GROUP BY 1")
-def watched_suppliers(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    lists, entries, _ = watch_tables(spark, sf_dir, *which)
+def watched_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists, entries, _ = watch_tables(spark, sf_dir)
     return alerts.watched(entries, lists, suppliers(spark, sf_dir)).groupBy("organization_id").agg(F.count("*").alias("n"))
 
 
-@query(SUPPLIERS, WATCH_ALL, sql="SELECT organization_id, count(*) AS n FROM watched GROUP BY 1")
-def watched_suppliers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return watched_suppliers(spark, sf_dir, "true")
-
-
 @query(SUPPLIERS, WATCH, sql="SELECT w.watchlist_id, w.name, count(e.supplier_id) AS members FROM watchlists w LEFT JOIN entries e USING (watchlist_id) GROUP BY ALL")
-def watchlist_sizes(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    lists, entries, _ = watch_tables(spark, sf_dir, *which)
+def watchlist_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists, entries, _ = watch_tables(spark, sf_dir)
     return lists.join(entries, "watchlist_id", "left").groupBy("watchlist_id", "name").agg(F.count("supplier_id").alias("members"))
 
 
-@query(SUPPLIERS, WATCH_ALL, sql="SELECT w.watchlist_id, w.name, count(e.supplier_id) AS members FROM watchlists w LEFT JOIN entries e USING (watchlist_id) GROUP BY ALL")
-def watchlist_sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return watchlist_sizes(spark, sf_dir, "true")
-
-
 @query(SUPPLIERS, WATCH, sql="SELECT watchlist_id, s.canonical_name, row_number() OVER (PARTITION BY watchlist_id ORDER BY s.canonical_name, s.id) AS place FROM entries JOIN suppliers s ON s.id = supplier_id")
-def watchlist_detail(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    _, entries, _ = watch_tables(spark, sf_dir, *which)
+def watchlist_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, entries, _ = watch_tables(spark, sf_dir)
     joined = entries.join(suppliers(spark, sf_dir), F.col("supplier_id") == F.col("id"))
     return joined.select("watchlist_id", "canonical_name", F.row_number().over(Window.partitionBy("watchlist_id").orderBy("canonical_name", "id")).cast("long").alias("place"))
 
 
-@query(SUPPLIERS, WATCH_ALL, sql="SELECT watchlist_id, s.canonical_name, row_number() OVER (PARTITION BY watchlist_id ORDER BY s.canonical_name, s.id) AS place FROM entries JOIN suppliers s ON s.id = supplier_id")
-def watchlist_detail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return watchlist_detail(spark, sf_dir, "true")
-
-
 @query(SUPPLIERS, RISK_EVENTS, WATCH, f"one AS (SELECT id AS event_id, risk_type, severity, unnest(list_distinct(affected_supplier_ids)) AS public_id FROM risk_events)", sql="""
 SELECT rule_id, event_id, string_agg(DISTINCT public_id, '|' ORDER BY public_id) AS suppliers FROM one JOIN watched USING (public_id) JOIN rules r USING (organization_id)
 WHERE r.is_enabled AND (len(r.risk_types) = 0 OR list_contains(r.risk_types, one.risk_type))
   AND list_position(['low', 'medium', 'high', 'critical'], one.severity) >= list_position(['low', 'medium', 'high', 'critical'], r.min_severity)
 GROUP BY ALL""")
-def alert_matches(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    lists, entries, rules = watch_tables(spark, sf_dir, *which)
+def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists, entries, rules = watch_tables(spark, sf_dir)
     found = alerts.evaluate(risk_events(spark, sf_dir), rules, alerts.watched(entries, lists, suppliers(spark, sf_dir)))
     return found.withColumn("suppliers", F.array_join("suppliers", "|"))
 
 
-@query(SUPPLIERS, RISK_EVENTS, WATCH_ALL, f"one AS (SELECT id AS event_id, risk_type, severity, unnest(list_distinct(affected_supplier_ids)) AS public_id FROM risk_events)", sql="""
-SELECT rule_id, event_id, string_agg(DISTINCT public_id, '|' ORDER BY public_id) AS suppliers FROM one JOIN watched USING (public_id) JOIN rules r USING (organization_id)
-WHERE r.is_enabled AND (len(r.risk_types) = 0 OR list_contains(r.risk_types, one.risk_type))
-  AND list_position(['low', 'medium', 'high', 'critical'], one.severity) >= list_position(['low', 'medium', 'high', 'critical'], r.min_severity)
-GROUP BY ALL""")
-def alert_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alert_matches(spark, sf_dir, "true")
-
-
 # ---- risk events ----
 
 
@@ -196,16 +166,9 @@ def risk_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_events(spark, sf_dir).where(F.col("severity").isin("critical", "high") & hit).groupBy("risk_type", "severity", "status").agg(F.count("*").alias("n"))
 
 
-@query(RISK_EVENTS, sql="""SELECT coalesce(n.id, o.id) AS event_key, CASE WHEN n.id IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence, coalesce(o.status, n.status) AS status
-FROM (SELECT id, confidence, status FROM risk_events WHERE id % 3 <> 0) o FULL OUTER JOIN (SELECT id, round(confidence / 2, 4) AS confidence, 'new' AS status FROM risk_events WHERE id % 2 = 0) n ON n.id = o.id""")
-def risk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with id % 6 = 3 are on neither side; risk_upsert_all has each event."""
-    return upserted(spark, sf_dir, "id % 2 = 0")
-
-
 @query(RISK_EVENTS, sql="""SELECT coalesce(n.id, o.id) AS event_key, CASE WHEN n.id IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence, coalesce(o.status, n.status) AS status
 FROM (SELECT id, confidence, status FROM risk_events WHERE id % 3 <> 0) o FULL OUTER JOIN (SELECT id, round(confidence / 2, 4) AS confidence, 'new' AS status FROM risk_events WHERE id % 2 = 0 OR id % 3 = 0) n ON n.id = o.id""")
-def risk_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that are only held, held and detected anew, or only new; each is of one kind."""
     return upserted(spark, sf_dir, "id % 2 = 0 or id % 3 = 0")
 
@@ -229,9 +192,9 @@ def risk_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RAW_ARTICLES, f"hit AS (SELECT id, title, description, content_snippet, published_at, lower(concat_ws(' ', title, nullif(description, ''), nullif(content_snippet, ''))) AS hay FROM raw_articles WHERE (title ILIKE '%port strike%' OR description ILIKE '%port strike%' OR content_snippet ILIKE '%port strike%') AND published_at >= TIMESTAMP '2024-01-03 00:00:00')", "top AS (SELECT * FROM hit ORDER BY published_at DESC, id LIMIT 60)", sql="SELECT id, least(CASE WHEN contains(hay, 'port strike') THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END + least(CAST(0.3 AS DOUBLE), CAST(0.1 AS DOUBLE) * (CAST(contains(hay, 'port') AS INT) + CAST(contains(hay, 'strike') AS INT))) + CASE WHEN contains(lower(title), 'port strike') THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END, CAST(1.0 AS DOUBLE)) AS relevance FROM top ORDER BY relevance DESC, published_at DESC, id LIMIT 20")
-def search(spark: SparkSession, sf_dir: str, articles=raw_articles) -> DataFrame:
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 of the latest 60 matches; a null column drops out of the test."""
-    return search_articles(articles(spark, sf_dir), "port strike", F.expr("timestamp_ntz'2024-01-03 00:00:00'"), 20).select("id", "relevance")
+    return search_articles(raw_articles(spark, sf_dir), "port strike", F.expr("timestamp_ntz'2024-01-03 00:00:00'"), 20).select("id", "relevance")
 
 
 def search_articles(articles: DataFrame, text: str, since, limit: int) -> DataFrame:
@@ -263,7 +226,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 USERS = f"""users AS (SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'automotive' WHEN 'BUILDING' THEN 'construction' END AS want_category,
     CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN lower(r_name) ELSE 'germany' END AS want_region, CASE WHEN c_custkey % 5 = 0 THEN 'bosch' END AS want_supplier, CASE WHEN c_custkey % 6 = 0 THEN 'toyota' END AS no_supplier
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 10 = 0),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 arts AS (SELECT id, processed_at, {category_sql('top_level_category')} AS category, lower(supplier) AS supplier,
     CASE lower(region) {' '.join(f'WHEN {q(a)} THEN {q(c.lower())}' for a, c in D.REGION_ALIASES.items())} ELSE lower(region) END AS region
   FROM processed WHERE processed_at >= {NOW_SQL} - INTERVAL 7 DAY AND processed_at <= {NOW_SQL})"""
@@ -289,40 +252,21 @@ _focus = "(want_category IS NOT NULL OR want_supplier IS NOT NULL)"
     CASE WHEN want_category IS NULL THEN CAST(0.5 AS DOUBLE) WHEN category = want_category THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.3 AS DOUBLE)
     + CASE WHEN supplier IS NULL OR want_supplier IS NULL THEN CAST(0.5 AS DOUBLE) WHEN supplier = want_supplier THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.3 AS DOUBLE)
     + CASE WHEN want_region IS NULL THEN CAST(0.5 AS DOUBLE) WHEN region = want_region THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(0.2 AS DOUBLE) AS rank_score
-  FROM users JOIN arts ON CASE WHEN {_focus} THEN coalesce(category = want_category, false) OR coalesce(supplier = want_supplier, false) ELSE coalesce(region = want_region, false) END
-  WHERE NOT coalesce(supplier = no_supplier, false))""", sql="SELECT user_id, id, round(rank_score, 6) AS rank_score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, processed_at DESC, id) AS r FROM scored WHERE rank_score >= 0.3) WHERE r <= 10")
+  FROM users JOIN arts ON CASE WHEN {_focus} THEN coalesce(category = want_category, false) OR coalesce(supplier = want_supplier, false) WHEN want_region IS NOT NULL THEN coalesce(region = want_region, false) ELSE true END
+  WHERE NOT coalesce(supplier = no_supplier, false))""", sql="SELECT user_id, id, round(rank_score, 6) AS rank_score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, processed_at DESC, id) AS r FROM scored WHERE rank_score >= 0.3) WHERE r <= 50")
 def personal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best ten of every tenth customer; personal_feed_all has the whole feeds of all."""
-    arts, users = feed_tables(spark, sf_dir)
-    return shown_feed(personal.feeds(arts, users.where(TENTH), limit=10))
+    """The best 50 of every customer, those without any interest too."""
+    return shown_feed(personal.feeds(*feed_tables(spark, sf_dir)))
 
 
 def shown_feed(f: DataFrame) -> DataFrame:
     return f.select("user_id", "id", F.round("rank_score", 6).alias("rank_score"), F.col("rank").cast("long").alias("rank"))
 
 
-TENTH = "user_id % 10 = 0"
-USERS_ALL = USERS.replace(" WHERE c_custkey % 10 = 0)", ")")
-
-
-@query(PROCESSED, USERS_ALL, f"""scored AS (SELECT user_id, id, processed_at,
-    CASE WHEN want_category IS NULL THEN CAST(0.5 AS DOUBLE) WHEN category = want_category THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.3 AS DOUBLE)
-    + CASE WHEN supplier IS NULL OR want_supplier IS NULL THEN CAST(0.5 AS DOUBLE) WHEN supplier = want_supplier THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.3 AS DOUBLE)
-    + CASE WHEN want_region IS NULL THEN CAST(0.5 AS DOUBLE) WHEN region = want_region THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(0.2 AS DOUBLE) AS rank_score
-  FROM users JOIN arts ON CASE WHEN {_focus} THEN coalesce(category = want_category, false) OR coalesce(supplier = want_supplier, false) WHEN want_region IS NOT NULL THEN coalesce(region = want_region, false) ELSE true END
-  WHERE NOT coalesce(supplier = no_supplier, false))""", sql="SELECT user_id, id, round(rank_score, 6) AS rank_score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, processed_at DESC, id) AS r FROM scored WHERE rank_score >= 0.3) WHERE r <= 50")
-def personal_feed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 50 of every customer, those without any interest too."""
-    return shown_feed(personal.feeds(*feed_tables(spark, sf_dir)))
 
 
 @query(PROCESSED, USERS, sql=f"SELECT CASE WHEN {_focus} THEN 'focus' WHEN want_region IS NOT NULL THEN 'region' ELSE 'all' END AS kind, count(DISTINCT user_id) AS users FROM users GROUP BY 1")
 def preference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kinds_of(feed_tables(spark, sf_dir)[1].where(TENTH))
-
-
-@query(PROCESSED, USERS_ALL, sql=f"SELECT CASE WHEN {_focus} THEN 'focus' WHEN want_region IS NOT NULL THEN 'region' ELSE 'all' END AS kind, count(DISTINCT user_id) AS users FROM users GROUP BY 1")
-def preference_kinds_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds_of(feed_tables(spark, sf_dir)[1])
 
 
@@ -398,13 +342,16 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql="SELECT event_id, user_id, n, CASE WHEN n >= 3 THEN greatest(1, 7200 - CAST(epoch(ts) - epoch(oldest) AS BIGINT)) END AS wait_s FROM (SELECT event_id, user_id, ts, count(*) OVER w AS n, min(ts) OVER w AS oldest FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW))")
 def failure_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures of the last two hours at each failure, and the seconds to wait from the third on."""
-    table(spark, sf_dir, "events").where("event_type = 'error'").createOrReplaceTempView("_failures")
-    return spark.sql("select event_id, user_id, n, case when n >= 3 then greatest(1, 7200 - cast(timestampdiff(second, oldest, ts) as bigint)) end as wait_s from (select event_id, user_id, ts, count(*) over w as n, min(ts) over w as oldest from _failures window w as (partition by user_id order by ts range between interval 2 hours preceding and current row))")
+    failures = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return spark.sql("select event_id, user_id, n, case when n >= 3 then greatest(1, 7200 - cast(timestampdiff(second, oldest, ts) as bigint)) end as wait_s from (select event_id, user_id, ts, count(*) over w as n, min(ts) over w as oldest from {failures} window w as (partition by user_id order by ts range between interval 2 hours preceding and current row))", failures=failures)
 
 
-@query(sql="""WITH e AS (SELECT user_id AS source_id, event_id, ts, event_type <> 'error' AS ok FROM events), last_ok AS (SELECT source_id, max((ts, event_id)) AS l FROM e WHERE ok GROUP BY 1),
-since AS (SELECT e.source_id, count(*) AS failures, max(ts) AS last_at FROM e LEFT JOIN last_ok USING (source_id) WHERE NOT ok AND (l IS NULL OR (e.ts, e.event_id) > l) GROUP BY 1)
-SELECT source_id, coalesce(failures, 0) AS failures, CASE WHEN failures >= 5 THEN last_at END AS opened_at FROM (SELECT DISTINCT source_id FROM e) LEFT JOIN since USING (source_id)""")
+@query(sql="""WITH RECURSIVE e AS (SELECT user_id AS source_id, ts, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT source_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS failures, CAST(NULL AS TIMESTAMP) AS last_at FROM (SELECT DISTINCT source_id FROM e)
+  UNION ALL SELECT e.source_id, e.k,
+    CASE WHEN NOT ok THEN failures + 1 WHEN failures < 5 OR e.ts >= last_at + INTERVAL 30 MINUTE THEN 0 ELSE failures END, CASE WHEN NOT ok THEN e.ts ELSE last_at END
+  FROM f JOIN e ON e.source_id = f.source_id AND e.k = f.k + 1)
+SELECT source_id, arg_max(failures, k) AS failures, CASE WHEN arg_max(failures, k) >= 5 THEN arg_max(last_at, k) END AS opened_at FROM f GROUP BY 1""")
 def circuit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), "event_id", "ts", (F.col("event_type") != "error").alias("ok"))
     return lifecycle.circuit_fold(e)

@@ -27,15 +27,15 @@ def phrase_sql() -> str:
     return " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
 
 
-def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw articles with the whole text of each document as their content."""
+def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw articles: a phrase and the text's first line as title, its second line as description, the whole text as content."""
     docs = table(spark, sf_dir, "documents")
     n = len(PHRASES)
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % n).cast("int") + 1)
     line = lambda k: F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(k)), F.lit(""))
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.concat(phrase, F.lit(" "), F.substring(line(1), 1, 80)).alias("title"),
+        F.concat(phrase, F.lit(" "), line(1)).alias("title"),
         F.nullif(line(2), F.lit("")).alias("description"),
         F.coalesce("text", F.lit("")).alias("content_snippet"),
         F.concat(F.lit("https://"), F.when(F.col("doc_id") % 41 == 0, "www.content-farm.com").when(F.col("doc_id") % 7 == 0, "www.reuters.com").otherwise(F.concat("source", F.lit(".example.com"))), F.lit("/a/"), (F.col("doc_id") % 500).cast("string"), F.lit("?utm_source=x&id="), (F.col("doc_id") % 300).cast("string")).alias("article_url"),
@@ -49,16 +49,11 @@ def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the first 2,000 characters of the text, as RAW_ARTICLES defines them."""
-    return whole_articles(spark, sf_dir).withColumn("content_snippet", F.substring("content_snippet", 1, 2000))
-
-
 RAW_ARTICLES = f"""raw_articles AS (
   SELECT doc_id AS id,
-    (CASE doc_id % {len(PHRASES)} {phrase_sql()} END) || ' ' || substr(coalesce(string_split(text, chr(10))[1], ''), 1, 80) AS title,
+    (CASE doc_id % {len(PHRASES)} {phrase_sql()} END) || ' ' || coalesce(string_split(text, chr(10))[1], '') AS title,
     nullif(coalesce(string_split(text, chr(10))[2], ''), '') AS description,
-    substr(coalesce(text, ''), 1, 2000) AS content_snippet,
+    coalesce(text, '') AS content_snippet,
     'https://' || CASE WHEN doc_id % 41 = 0 THEN 'www.content-farm.com' WHEN doc_id % 7 = 0 THEN 'www.reuters.com' ELSE source || '.example.com' END
       || '/a/' || CAST(doc_id % 500 AS VARCHAR) || '?utm_source=x&id=' || CAST(doc_id % 300 AS VARCHAR) AS article_url,
     CASE doc_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'gdelt' ELSE 'eu_sanctions' END AS provider,
@@ -69,7 +64,6 @@ RAW_ARTICLES = f"""raw_articles AS (
     coalesce(lang, 'en') AS language,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id * 37 % 720 AS BIGINT)) AS published_at
   FROM documents)"""
-WHOLE_ARTICLES = RAW_ARTICLES.replace("substr(coalesce(text, ''), 1, 2000)", "coalesce(text, '')")
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
