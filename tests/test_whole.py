@@ -1,15 +1,13 @@
-"""Queries over all of their input: whole counterparts of the ones whose SQL takes a part, and operators without a cut."""
+"""Queries read all of their input: whole texts, every customer, order and supplier."""
 
 import random
 
-import corpus_pipeline
-from tradewind.llm import secrets
 from tradewind.operators import enrich, personal
 from tradewind.plans import QUERIES
 
 
 def test_every_customer_has_preferences(spark, sf):
-    kinds = {r.kind: r.users for r in QUERIES["preference_kinds_all"](spark, sf).collect()}
+    kinds = {r.kind: r.users for r in QUERIES["preference_kinds"](spark, sf).collect()}
     assert sum(kinds.values()) == spark.read.parquet(f"{sf}/customer.parquet").count() and kinds["all"] > 0
 
 
@@ -30,35 +28,24 @@ def test_texts_past_two_thousand_characters(spark, tmp_path):
     text = "Quiet first line\nQuiet second line\n" + "filler words here and " * 200 + "a port strike in Poland by Nexans"
     spark.createDataFrame([(24, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "u", "<p>" + "word " * 1000 + "end</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("signal_classifier_whole", "region_extraction_whole", "bounded_phrases_whole", "search_whole", "token_estimates_whole", "deterministic_analysis_whole", "risk_events_detected", "page_plain_text")}
-    assert {r.signal_type for r in got["signal_classifier_whole"]} and [r.regions for r in got["region_extraction_whole"]] != [""]
-    assert [r.id for r in got["bounded_phrases_whole"]] == [r.id for r in got["search_whole"]] == [24]
-    assert got["token_estimates_whole"][0].tokens > 400 + len(text) // 4
-    assert got["deterministic_analysis_whole"][0].n_suppliers >= 1 and "strike" in {r.risk_type for r in got["risk_events_detected"]}
+    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("signal_classifier", "region_extraction", "bounded_phrases", "search", "token_estimates", "deterministic_analysis", "risk_events_detected", "page_plain_text")}
+    assert {r.signal_type for r in got["signal_classifier"]} and [r.regions for r in got["region_extraction"]] != [""]
+    assert [r.id for r in got["bounded_phrases"]] == [r.id for r in got["search"]] == [24]
+    assert got["token_estimates"][0].tokens > 400 + len(text) // 4
+    assert got["deterministic_analysis"][0].n_suppliers >= 1 and "strike" in {r.risk_type for r in got["risk_events_detected"]}
     assert got["page_plain_text"][0].text.endswith("word end")
-    part = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("signal_classifier", "bounded_phrases", "search")}
-    assert not any(part.values())
 
 
 def test_every_designation_is_screened_and_every_event_kept(spark, sf):
-    screened = {r.designation_id for r in QUERIES["designation_screening_all"](spark, sf).collect()}
+    screened = {r.designation_id for r in QUERIES["designation_screening"](spark, sf).collect()}
     assert screened == {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
-    kept = sorted(r.event_key for r in QUERIES["risk_upsert_all"](spark, sf).collect())
+    kept = sorted(r.event_key for r in QUERIES["risk_upsert"](spark, sf).collect())
     assert kept == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect())
 
 
 def test_watchlists_hold_the_entries_of_all_orders(spark, sf):
     want = {(r.o_custkey, r.o_orderkey % 100 + 1) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
-    assert sum(r.members for r in QUERIES["watchlist_sizes_all"](spark, sf).collect()) == len(want)
-
-
-def test_pipeline_drops_contaminated_texts_without_an_id(spark, tmp_path):
-    r = random.Random(3)
-    leak, clean = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(2))
-    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame([(None, f"start {leak} end"), (None, clean), (None, None), (1, leak), (2, clean)], "doc_id long, text string")
-    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
-    assert sorted((str(x.doc_id), str(x.text)) for x in left.collect()) == sorted([("None", clean), ("None", "None"), ("2", clean)])
+    assert sum(r.members for r in QUERIES["watchlist_sizes"](spark, sf).collect()) == len(want)
 
 
 def test_reservation_by_brute_force_without_gathering(spark):
@@ -77,10 +64,3 @@ def test_reservation_by_brute_force_without_gathering(spark):
     found = got.collect()
     assert len(found) == len(rows) and {(x.run, x.place) for x in found if x.reserved} == want
     assert all(x.reserved == ((x.run, x.place) in want) for x in found)
-
-
-def test_secrets_of_small_letters_and_digits(spark):
-    texts = ["use k3j9x8q2m7p4w6z1v5t0 now", "use k3j9-x8q2_m7p4-w6z1-v5t0 now", "see market-report-2024-q3-covid19-2nd-edition-v2 now", "see verylongcompoundword2024 now", "see thisisaverylongordinarywordwithoutdigits"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
-    assert got == {0: [(4, 3, 24)], 1: [(4, 3, 28)], 2: [], 3: [], 4: []}
