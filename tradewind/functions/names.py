@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,27 +12,20 @@ from tradewind.dictionaries import LEAST_DERIVED_ALIAS, LEGAL_FORMS, UNDECOMPOSA
 
 @F.pandas_udf(StringType())
 def _compatible_folded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+    return s.str.normalize("NFKC").str.casefold()
 
 
 @F.pandas_udf(StringType())
 def _without_accents(s: pd.Series) -> pd.Series:
-    table = str.maketrans(UNDECOMPOSABLE)
-
-    def bare(x: str | None) -> str | None:
-        if x is None:
-            return None
-        letters = "".join(c for c in unicodedata.normalize("NFD", x.translate(table)) if not unicodedata.combining(c))
-        return " ".join(unicodedata.normalize("NFC", letters).split())
-
-    return s.map(bare)
+    bare = s.str.translate(str.maketrans(UNDECOMPOSABLE)).str.normalize("NFD").str.replace(r"[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]", "", regex=True)
+    return bare.str.normalize("NFC").str.split().str.join(" ")
 
 
 def normal_name(name: Column, ascii_only: bool = False) -> Column:
     """Compatibility-composed, case-folded, all but letters and digits as one space, stripped.
 
-    Spark has no Unicode normalisation, so names beyond ASCII go through an Arrow function; with ascii_only the
-    plan stays free of Python.
+    Spark has no Unicode normalisation, so names beyond ASCII need an Arrow function, which Spark runs for every row of
+    the column it is in; with ascii_only the plan stays free of Python. supply.keyed runs it for distinct names alone.
     """
     folded = F.lower(F.coalesce(name, F.lit("")))
     if not ascii_only:

@@ -43,9 +43,11 @@ def _overlaps(terms: Column, wanted: frozenset[str]) -> Column:
     return F.arrays_overlap(terms, F.array(*map(F.lit, sorted(wanted))))
 
 
-def evidence(text: Column, terms: frozenset[str]) -> Column:
-    """The text from 90 characters before the first term to 170 after it, stripped; its first 260 if no term stands in it."""
-    low = F.lower(text)
+def evidence(text: Column, low: Column, terms: frozenset[str]) -> Column:
+    """The text from 90 characters before the first term to 170 after it, stripped; its first 260 if no term stands in it.
+
+    low is the text in lower case, which every term is looked up in.
+    """
     at = F.array_min(F.filter(F.array(*(F.instr(low, t) for t in sorted(terms))), lambda p: p > 0))
     start = F.greatest(at - 90, F.lit(1))
     return strip(F.when(at.isNull(), F.substring(text, 1, 260)).otherwise(F.substring(text, start, at + 170 - start)))
@@ -73,7 +75,7 @@ def detect(articles: DataFrame) -> DataFrame:
             hit = hit & F.col("_action")
         score = F.least(F.lit(0.5) + F.when(meta, 0.25).otherwise(0.0) + F.when(in_text, 0.25).otherwise(0.0) + extra[0] + extra[1] + extra[2], F.lit(0.95))
         severity = F.when(F.col("_override"), "critical" if kind in D.SEVERITY_OVERRIDE_CRITICAL else "high").otherwise(D.RISK_SEVERITY[kind])
-        found.append(F.when(hit & (score >= 0.55), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("risk_type"), severity.alias("severity"), F.round(score, 6).alias("confidence"), evidence(F.col("text"), terms).alias("evidence_snippet"), F.lit(D.RISK_RECOMMENDATION[kind]).alias("recommendation"))))
+        found.append(F.when(hit & (score >= 0.55), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("risk_type"), severity.alias("severity"), F.round(score, 6).alias("confidence"), evidence(F.col("text"), F.col("_low"), terms).alias("evidence_snippet"), F.lit(D.RISK_RECOMMENDATION[kind]).alias("recommendation"))))
     n = n.withColumn("_events", F.array_compact(F.array(*found)))
     pair = F.filter("_events", lambda e: e["place"] < 2)
     weaker = F.when(F.size(pair) == 2, F.when(F.element_at(pair, 2)["confidence"] > F.element_at(pair, 1)["confidence"], 0).otherwise(1)).otherwise(-1)

@@ -24,18 +24,26 @@ def conflicts(suppliers: DataFrame, aliases: DataFrame, ascii_only: bool = False
     return forms.join(aliases.select("alias", F.col("supplier_id").alias("holder_id")), "alias").where("holder_id <> supplier_id")
 
 
+def keyed(rows: DataFrame, name: str, out: str, ascii_only: bool = False) -> DataFrame:
+    """rows with the normal form of a name; only the distinct names beyond ASCII go through Python, and are joined back."""
+    plain = normal_name(F.col(name), ascii_only=True)
+    if ascii_only:
+        return rows.withColumn(out, plain)
+    beyond = rows.where(~F.col(name).rlike(r"^[\x00-\x7F]*$")).select(F.col(name).alias("_name")).distinct().select("_name", normal_name(F.col("_name")).alias("_normal"))
+    return rows.join(beyond, F.col(name) == F.col("_name"), "left").withColumn(out, F.coalesce("_normal", plain)).drop("_name", "_normal")
+
+
 def resolve(names: DataFrame, aliases: DataFrame, suppliers: DataFrame, name: str = "surface_form", ascii_only: bool = False) -> DataFrame:
     """names with supplier_id, public_id and confidence 1, or nulls and 0 where no active supplier answers to the name."""
     active = aliases.join(suppliers.where("is_active").select(F.col("id").alias("supplier_id"), "public_id"), "supplier_id").select("alias", "supplier_id", "public_id")
-    keyed = names.withColumn("_key", normal_name(F.col(name), ascii_only))
-    out = keyed.join(active, F.col("_key") == F.col("alias"), "left").drop("_key", "alias")
+    out = keyed(names, name, "_key", ascii_only).join(active, F.col("_key") == F.col("alias"), "left").drop("_key", "alias")
     return out.withColumn("confidence", F.when(F.col("supplier_id").isNotNull(), 1.0).otherwise(0.0))
 
 
 def record_mentions(articles: DataFrame, recorded: DataFrame, aliases: DataFrame, suppliers: DataFrame, ascii_only: bool = False) -> DataFrame:
     """New mentions (processed_article_id, surface_form, supplier_id, confidence): distinct forms by normal name, none already recorded."""
     forms = articles.select(F.col("id").alias("processed_article_id"), F.posexplode("detected_suppliers").alias("place", "surface_form"))
-    forms = forms.withColumn("_key", normal_name(F.col("surface_form"), ascii_only)).where("_key <> ''")
+    forms = keyed(forms, "surface_form", "_key", ascii_only).where("_key <> ''")
     first = F.row_number().over(Window.partitionBy("processed_article_id", "_key").orderBy("place"))
     fresh = forms.withColumn("_first", first).where("_first = 1").select("processed_article_id", "surface_form").join(recorded.select("processed_article_id", "surface_form"), ["processed_article_id", "surface_form"], "left_anti")
     return resolve(fresh, aliases, suppliers, ascii_only=ascii_only).select("processed_article_id", "surface_form", "supplier_id", "confidence")
@@ -84,7 +92,7 @@ def claims_of_aliases(requests: DataFrame, aliases: DataFrame, ascii_only: bool
 
     Of several suppliers that ask for one free alias in a batch, the first request gets it; later ones are own or conflict.
     """
-    r = requests.withColumn("alias", normal_name(F.col("name"), ascii_only)).join(aliases.select("alias", F.col("supplier_id").alias("_held")), "alias", "left")
+    r = keyed(requests, "name", "alias", ascii_only).join(aliases.select("alias", F.col("supplier_id").alias("_held")), "alias", "left")
     w = Window.partitionBy("alias").orderBy("request_id")
     holder = F.coalesce("_held", F.first("supplier_id").over(w))
     new = F.col("_held").isNull() & (F.row_number().over(w) == 1)

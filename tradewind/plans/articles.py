@@ -11,7 +11,7 @@ from tradewind.functions import text as T
 from tradewind.functions import url as U
 from tradewind.operators import dedup, enrich, quality, risk
 from tradewind.plans.registry import query
-from tradewind.session import table
+from tradewind.session import spread, table
 from tradewind.sources.adapters import PROCESSED, RAW_ARTICLES, processed, raw_articles
 
 
@@ -268,7 +268,7 @@ def budget_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = processed(spark, sf_dir)
+    p = spread(processed(spark, sf_dir))
     text = risk.article_text(F.col("normalized_title"), F.col("summary"))
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.expr("cast(array() as array<string>)"))
     return p.select("id", text.alias("text"), F.array("priority_signal").alias("signal_values"), "priority_signal", one("supplier").alias("detected_suppliers"), one("region").alias("detected_regions"), one("top_level_category").alias("categories"))

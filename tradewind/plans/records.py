@@ -10,7 +10,7 @@ from tradewind.operators import audit
 from tradewind.plans.articles import q
 from tradewind.plans.registry import query
 from tradewind.plans.relations import fx_monitor
-from tradewind.session import table
+from tradewind.session import spread, table
 from tradewind.sources import registry
 from tradewind.sources.adapters import FX_TICKS, PROCESSED, RAW_ARTICLES, RISK_EVENTS, processed, raw_articles, risk_events
 from tradewind.sources.feeds import clean_quotes
@@ -127,7 +127,7 @@ def preference_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", plain_text(F.col("html")).alias("text"))
 
 
 @query(RISK_EVENTS, sql="SELECT id, list_has_any(list_transform(affected_suppliers, lambda x: lower(x)), ['bosch', 'toyota']) AS hit FROM risk_events WHERE status <> 'dismissed'")

@@ -16,3 +16,12 @@ def session(app: str = "tradewind", master: str | None = None, **conf: str) -> S
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, below: int = 64_000_000) -> DataFrame:
+    """df dealt over all cores if Spark reckons it under so many bytes: a small table is often one file of one row
+
+    group and so one task's, whatever is computed on it. A larger one has its own splits and is left as it is."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < below else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.session import table
+from tradewind.session import spread, table
 
 #: Phrases that give the invented prose something to find: one or more for each rule, and some that must not match.
 PHRASES = (
@@ -29,7 +29,7 @@ def phrase_sql() -> str:
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw articles: a phrase and the text's first line as title, its second line as description, the whole text as content."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     n = len(PHRASES)
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % n).cast("int") + 1)
     line = lambda k: F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(k)), F.lit(""))

@@ -25,18 +25,24 @@ def _clean(c: Column, most: int = TEXT_LIMIT) -> Column:
 
 
 def unsafe_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, reason of XML files not to be read: a document type or entity declaration, NUL bytes, or an encoding but UTF-8."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.hex("content").alias("h"), F.decode("content", "ISO-8859-1").alias("t"))
-    reason = F.when(F.col("t").rlike(r"(?i)<!(DOCTYPE|ENTITY)"), "document type declaration").when(F.contains("t", F.lit("\0")), "NUL byte").when(F.col("h").rlike("^(FEFF|FFFE)"), "byte order mark").when(F.col("t").rlike(r"""(?i)^\s*<\?xml[^>]*encoding=["'](?!utf-8)"""), "encoding")
-    return files.select("path", reason.alias("reason")).where("reason is not null")
+    """path, reason of XML files not to be read: a document type or entity declaration, NUL bytes, or an encoding but UTF-8.
+
+    Files are read line by line in splits, so none is held whole.
+    """
+    line = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("t"), F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("h"))
+    reason = F.when(F.col("t").rlike(r"(?i)<!(DOCTYPE|ENTITY)"), "document type declaration").when(F.contains("t", F.lit("\0")), "NUL byte").when(F.col("h").isin("FEFF", "FFFE"), "byte order mark").when(F.col("t").rlike(r"""(?i)^\s*<\?xml[^>]*encoding=["'](?!utf-8)"""), "encoding")
+    return line.select("path", reason.alias("reason")).where("reason is not null").groupBy("path").agg(F.min("reason").alias("reason"))
 
 
 def designations(spark: SparkSession, path: str) -> DataFrame:
     """designation_id, reference, revision, is_update, is_entity, names (primary first), description: a row an element.
 
     The primary name is the last marked strong, else the first; the earliest revision of a reference is its
-    designation, every other an update. The reader splits files at the row tag, so no task holds a whole list.
+    designation, every other an update. The reader splits files at the row tag, so no task holds a whole list. Files
+    that unsafe_files names are an error.
     """
+    if bad := unsafe_files(spark, path).limit(3).collect():
+        raise ValueError("unsafe XML: " + ", ".join(f"{x.path} ({x.reason})" for x in bad))
     rows = spark.read.format("xml").option("rowTag", "sanctionEntity").option("ignoreNamespace", "true").schema(SCHEMA).load(path)
     names = lambda c, of: F.array_distinct(F.array_compact(F.transform(F.coalesce(c, F.array()), of)))
     alias = lambda a: _clean(F.coalesce(F.nullif(a["_wholeName"], F.lit("")), a["_VALUE"]), 500)

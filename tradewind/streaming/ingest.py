@@ -18,19 +18,27 @@ def new_articles(stream: DataFrame, lateness: str = "14 days") -> DataFrame:
     return stream.withColumn("ingest_hash", ingest_hash()).withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["ingest_hash"])
 
 
-def append_absent(stream: DataFrame, path: str, checkpoint: str, key: str = "ingest_hash"):
+def append_absent(stream: DataFrame, path: str, checkpoint: str, key: str = "ingest_hash", at: str | None = None):
     """Writes each micro-batch's rows whose key the table at path lacks; a batch run again adds nothing.
 
-    Batches are idempotent through the anti-join, the trigger takes what has arrived and ends.
+    at names the time that the key holds, as the ingest hash does that of publication. The table is then partitioned
+    by its day, and a batch is compared with its own days' partitions only; without it, with the key column of the
+    whole table. Batches are idempotent through the anti-join, the trigger takes what has arrived and ends.
     """
+    days = [] if at is None else ["day"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
+        fresh = fresh.withColumns({d: F.to_date(at) for d in days})
         jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(batch.columns)
-        fresh.write.mode("append").parquet(path)
+            held = spark.read.parquet(path)
+            if days:
+                first, last = fresh.agg(F.min("day"), F.max("day")).first()
+                held = held.where(F.col("day").between(first, last))
+            fresh = fresh.join(held.select(key), key, "left_anti").select(fresh.columns)
+        fresh.write.mode("append").partitionBy(*days).parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
