@@ -153,16 +153,21 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def colliding_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b) whose fingerprints of one band lie within two bits, b the least id at a variant, for (id, prints).
+    """Distinct (a, b, apart) whose fingerprints of one band lie within two bits, for (id, prints); apart counts the bits of all bands.
 
     Half of the radius is one bit: every fingerprint emits itself and its WIDTH variants at one bit. At a variant all
-    go to the least id there, so a group of any size makes one pair a row and variant.
+    go to the least id whose own fingerprint it is, or else to the least id there, so a group of any size makes one
+    pair a row and variant; an original and its copies, which surround it, are paired with each other.
     """
     masks = _masks([0, *(1 << i for i in range(WIDTH))])
-    bands = reps.select("id", F.posexplode("prints").alias("band", "fp"))
-    met = bands.select("id", F.explode(F.transform(masks, lambda m: F.shiftleft(F.col("band").cast("long"), WIDTH).bitwiseOR(F.col("fp").bitwiseXOR(m)))).alias("variant"))
-    least = F.min("id").over(Window.partitionBy("variant"))
-    return met.withColumn("b", least).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    bands = reps.select("id", F.posexplode("prints").alias("band", "fp")).select("id", "fp", F.shiftleft(F.col("band").cast("long"), WIDTH).alias("band"), F.explode(masks).alias("mask"))
+    met = bands.select("id", F.col("band").bitwiseOR(F.col("fp").bitwiseXOR(F.col("mask"))).alias("variant"), (F.col("mask") == 0).alias("own"))
+    w = Window.partitionBy("variant")
+    centre = F.coalesce(F.min(F.when(F.col("own"), F.col("id"))).over(w), F.min("id").over(w))
+    pairs = met.withColumn("b", centre).where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    of = lambda end: reps.select(F.col("id").alias(end), F.col("prints").alias(f"of_{end}"))
+    bits = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", bits.alias("apart"))
 
 
 def shingles(text: str, words: int = SHINGLE) -> frozenset[int]:
@@ -171,19 +176,24 @@ def shingles(text: str, words: int = SHINGLE) -> frozenset[int]:
     return frozenset(hash(tuple(found[i : i + words])) for i in range(max(1, len(found) - words + 1)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, rows_a_part: int = 1000) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of five-word shingles have a Jaccard coefficient of `similarity` or more.
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, text of every row that a pair names: whole texts shuffled once by id, alike at every size."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    return held.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+
 
-    Texts of the ids named are shuffled, others only tested for their id. A text that many pairs name as b is sent
-    once to each of the parts that its pairs are dealt into, so no text's pairs gather in one task.
+def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY, rows_a_part: int = 1000) -> DataFrame:
+    """The pairs (a, b) whose texts in held (id, text) have sets of five-word shingles of this Jaccard coefficient or more.
+
+    A text that many pairs name as b is sent once to each of the parts that its pairs are dealt into, so no text's
+    pairs gather in one task.
     """
+    pairs = pairs.select("a", "b")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_a_part).cast("int").alias("parts"))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    held = written(held, "compared")
-    right = held.join(parts, F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("right"))
+    right = held.hint("merge").join(parts, F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("right"))
     dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
-    left = dealt.join(held, F.col("a") == F.col("id")).select("a", "b", "part", F.col("text").alias("left"))
+    left = held.hint("merge").join(dealt, F.col("id") == F.col("a")).select("a", "b", "part", F.col("text").alias("left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, two = None, frozenset()  # pairs of one b come one after another
@@ -197,26 +207,28 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
                 kept.append(both >= similarity * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return left.join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return left.join(right.hint("merge"), ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row that has an id: groups of texts at a five-word similarity of 0.8 or more.
 
     Texts of the same words are one node, named by its least doc_id; so are texts without words. Colliding pairs are
-    verified on their whole texts in two passes: each node's pair with its least partner, then all the pairs that the
-    first pass has not already put in one group. Ids are taken to be distinct, as keep_one makes them; of rows that
+    verified on their whole texts in two passes: each node's pair with its closest partner, then all the pairs that
+    the first pass has not already put in one group. Ids are taken to be distinct, as keep_one makes them; of rows that
     repeat one, any may speak for it. Rows without an id are left out; an empty table gives an empty result.
     """
     marked = _marked(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("own", "prints")).alias("m"))
     marked = written(marked.select("doc_id", "m.own", "m.prints"), "marked")
     reps = written(marked.groupBy("own").agg(F.min("doc_id").alias("id"), F.any_value("prints").alias("prints")), "alike")
     pairs = written(colliding_pairs(reps.select("id", "prints")), "colliding")
-    first = written(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), docs), "verified")
+    held = written(texts_of(docs, pairs), "compared")
+    closest = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b")
+    first = written(verified(closest, held), "verified")
     part = written(components(first), "parts")
     of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    more = verified(written(apart, "apart"), docs)
+    more = verified(written(apart, "apart"), held)
     whole = components(first.unionByName(more))
     named = reps.select("own", "id").join(whole, F.col("id") == F.col("node"), "left").select("own", F.coalesce("component", "id").alias("component_id"))
     return marked.join(named, "own").select("doc_id", "component_id")
