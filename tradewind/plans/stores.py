@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
+from tradewind.functions import language as L
 from tradewind.functions import signals as S
 from tradewind.functions import text as T
 from tradewind.functions import url as U
@@ -196,6 +197,17 @@ def supplier_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", T.names(text, F.col("supplier")).alias("own"), T.names(text, F.substring("region", 1, 3)).alias("part"))
 
 
+_counts = ", ".join(f"{{'n': len(list_filter(words, lambda w: w IN ({', '.join(map(q, own))}))), 'place': {-k}, 'code': {q(code)}}}" for k, (code, own) in enumerate(L.FUNCTION_WORDS.items()))
+
+
+@query(RAW_ARTICLES, f"w AS (SELECT id, language, title, coalesce(description, '') <> '' OR coalesce(content_snippet, '') <> '' AS has_text, string_split_regex(lower(title), {q(L.SPLIT)}) AS words FROM raw_articles)", f"b AS (SELECT *, list_max([{_counts}]) AS best FROM w)", "d AS (SELECT *, CASE WHEN length(title) >= 10 AND best.n > 0 THEN best.code END AS found FROM b)", sql=f"SELECT id, CASE WHEN has_text THEN CASE WHEN found IS NULL THEN 'Language not detected' WHEN found <> language THEN 'Language mismatch' WHEN language NOT IN ({', '.join(map(q, L.FUNCTION_WORDS))}) THEN 'Unsupported language' END END AS reason FROM d")
+def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose title is not in the language they state."""
+    a = raw_articles(spark, sf_dir)
+    some = (F.coalesce("description", F.lit("")) != "") | (F.coalesce("content_snippet", F.lit("")) != "")
+    return a.select("id", L.gate(F.col("language"), F.col("title"), some).alias("reason"))
+
+
 # ---- signals ----
 
 
