@@ -259,9 +259,13 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", "published_at", enrich.estimated_tokens(F.col("title"), F.col("description"), F.col("content_snippet")).alias("tokens"), enrich.later_copies(a, "k", "id").alias("from_cache"))
 
 
-@query()
+@query(RAW_ARTICLES, sql="""WITH RECURSIVE c AS (SELECT id, CAST(published_at AS DATE) AS day, greatest(1, CAST(floor((length(title) + length(coalesce(description, '')) + length(coalesce(content_snippet, ''))) / 4) AS INT) + 400) * (id % 4 + 1) AS tokens FROM raw_articles),
+k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY id, tokens) AS k FROM c),
+f AS (SELECT day, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS calls, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS tokens, false AS reserved FROM (SELECT DISTINCT day FROM c)
+  UNION ALL SELECT k.day, k.k, calls + CAST(calls < 5 AND used + k.tokens <= 6000 AS BIGINT), used + CASE WHEN calls < 5 AND used + k.tokens <= 6000 THEN k.tokens ELSE 0 END, k.id, k.tokens, calls < 5 AND used + k.tokens <= 6000 FROM f JOIN k ON k.day = f.day AND k.k = f.k + 1)
+SELECT id, day, tokens, reserved FROM f WHERE k > 0""")
 def budget_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by day of publication against five calls and 6,000 tokens each day; a fold that SQL can't express."""
+    """Candidates by day of publication against five calls and 6,000 tokens each day."""
     a = raw_articles(spark, sf_dir)
     c = a.select("id", F.to_date("published_at").alias("day"), (enrich.estimated_tokens(F.col("title"), F.col("description"), F.col("content_snippet")) * (F.col("id") % 4 + 1)).alias("tokens"))
     return enrich.reserve(c, "day", "id", "tokens")

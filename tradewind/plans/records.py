@@ -125,7 +125,8 @@ def preference_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buyers.join(table(spark, sf_dir, "events").select("user_id"), "user_id", "left_anti").select("user_id", F.when(F.col("user_id") % 2 == 0, "de").otherwise("en").alias("language"))
 
 
-@query()
+@query(sql=r"""SELECT page_id, nullif(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '\s+([.,;:!?])', '\1', 'g'), '') AS text FROM (SELECT page_id,
+  replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS t FROM pages)""")
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", plain_text(F.col("html")).alias("text"))
 

@@ -16,8 +16,9 @@ def query(*views: str, sql: str | None = None):
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql is not None:
-            head = "WITH " + ", ".join(views) if views else ""
-            ORACLE_SQL[f.__name__] = f"{head}, {sql.strip()[5:]}" if views and sql.strip().upper().startswith("WITH ") else f"{head} {sql}"
+            start = next((w for w in ("WITH RECURSIVE ", "WITH ") if sql.strip().startswith(w)), "")
+            head = (start or "WITH ") + ", ".join(views) + ("," if start else "") if views else start
+            ORACLE_SQL[f.__name__] = f"{head} {sql.strip()[len(start):]}"
         return f
 
     return keep
