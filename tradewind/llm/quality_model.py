@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.quality_rules import SAMPLE, labelled_sample
+from tradewind.llm.quality_rules import SAMPLE, labelled_features
 from tradewind.llm.shared import crc_remainder, map_batches, text_bytes
 from tradewind.llm.textstats import FEATURES, statistics
 
@@ -39,12 +39,12 @@ class Machine:
 
     def rows(self, several: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Indices and values; the statistics follow the word buckets, standardised and bounded."""
-        out, first = [], len(self.w) - len(self.mean)
-        dense_at = np.arange(first, len(self.w))
-        for text in several:
-            found, weight, dense = features(text, first)
-            out.append((np.concatenate([found, dense_at]), np.concatenate([weight, np.clip((np.array(dense) - self.mean) / self.scale, -4, 4)])))
-        return out
+        first = len(self.w) - len(self.mean)
+        return [self.row(*features(text, first)) for text in several]
+
+    def row(self, found: np.ndarray, weight: np.ndarray, dense: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        dense_at = np.arange(len(self.w) - len(self.mean), len(self.w))
+        return np.concatenate([found, dense_at]), np.concatenate([weight, np.clip((np.array(dense) - self.mean) / self.scale, -4, 4)])
 
     def logits(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not rows:
@@ -61,14 +61,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, epochs: int = 12
 
     None without labels of both kinds. Only texts and qualities are used.
     """
-    several, quality = labelled_sample(docs, labels, held_out=2, rows=rows)
+    got = labelled_features(docs, labels, 2, "found array<bigint>, weight array<double>, dense array<double>", features, rows=rows)
+    quality = got["quality"].to_numpy(float)
     if len(set(quality.tolist())) < 2:
         return None
-    dense = np.array([statistics(t)[1] for t in several])
+    dense = np.array(got["dense"].tolist())
     r = np.random.default_rng(seed)
     size = WORD_BUCKETS + len(FEATURES)
     machine = Machine(0.0, np.zeros(size), r.standard_normal((size, RANK)) * 0.02, dense.mean(0), dense.std(0) + 0.05 * np.abs(dense.mean(0)) + 0.01)
-    data = machine.rows(several)
+    data = [machine.row(np.asarray(f, np.int64), np.asarray(w, float), d) for f, w, d in zip(got["found"], got["weight"], got["dense"])]
     seen_w, seen_v, seen_0 = np.full(size, 1e-2), np.full((size, RANK), 1e-2), 1e-2
     even = np.where(quality == 1, 0.5 / max(quality.mean(), 1e-3), 0.5 / max(1 - quality.mean(), 1e-3))
     for _ in range(epochs):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tradewind.llm import gbt
 from tradewind.llm.shared import crc_remainder, map_batches, text_bytes
@@ -19,24 +24,35 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 KEEP = 0.5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: int, modulus: int = 4, rows: int = SAMPLE):
-    """(texts, qualities) of at most `rows` labelled documents whose id is not held out; the same ones on any cluster.
+def labelled_features(docs: DataFrame, labels: DataFrame, held_out: int, schema: str, features: Callable[[bytes], tuple], modulus: int = 4, rows: int = SAMPLE) -> pd.DataFrame:
+    """quality and features of at most `rows` labelled documents whose id is not held out; the same ones on any cluster.
 
-    The ids are chosen first, from the label table alone; only their texts then reach the driver.
+    The ids are chosen first, from the label table alone, where conflicting labels of an id count as the highest and
+    null ones not at all. Features are made on the executors, so that no text reaches the driver, however long; null
+    texts are empty, and of rows that share an id the least features stand for it.
     """
     known = labels.where("quality is not null and doc_id is not null").where(crc_remainder("doc_id", modulus) != held_out)
-    chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * rows).toPandas()
-    return [(t or "").encode("utf-8", "surrogatepass") for t in got["text"]], got["quality"].to_numpy(float)
+    chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    names = [x.split()[0] for x in schema.split(", ")]
+    whole = StructType.fromDDL(f"doc_id long, quality int, {schema}")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = list(zip(*(features(t) for t in text_bytes(batch))))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array(c, k) for c, k in zip(found, kinds))], names=["doc_id", "quality", *names])
+
+    kinds = [to_arrow_type(f.dataType) for f in whole.fields[2:]]
+    marked = map_batches(got, ["doc_id", "text", "quality"], whole, step)
+    return marked.groupBy("doc_id").agg(F.min(F.struct("quality", *names)).alias("m")).select("doc_id", "m.*").toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> gbt.Trees | None:
     """Trees for quality 1; None without labels of both kinds (then only the base rules judge)."""
-    several, quality = labelled_sample(docs, labels, held_out=2, rows=rows)
+    got = labelled_features(docs, labels, 2, "dense array<double>", lambda t: (statistics(t)[1],), rows=rows)
+    quality = got["quality"].to_numpy(float)
     if len(set(quality.tolist())) < 2:
         return None
-    x = np.array([statistics(t)[1] for t in several])
-    return gbt.fit(x, quality, monotone={FEATURES.index(f): -1 for f in FALLING})
+    return gbt.fit(np.array(got["dense"].tolist()), quality, monotone={FEATURES.index(f): -1 for f in FALLING})
 
 
 def judge(docs: DataFrame, trees: gbt.Trees | None) -> DataFrame:
