@@ -253,7 +253,7 @@ def test_a_group_of_any_size_is_dealt_out(spark):
     words = [f"w{k}" for k in range(300)]
     rows = [(0, " ".join(words))] + [(i, " ".join("x" if k == r.randrange(300) else w for k, w in enumerate(words))) for i in range(1, 300)]
     pairs = spark.createDataFrame([(i, 0) for i in range(1, 300)], "a long, b long")
-    assert simhash.verified(pairs, simhash.texts_of(table(spark, rows), pairs), rows_a_part=20).count() > 250
+    assert simhash.verified(pairs, simhash.sets_of(table(spark, rows), pairs), rows_a_part=20).count() > 250
     assert {x.component_id for x in simhash.near_copies(table(spark, rows)).collect()} == {0}
 
 

@@ -170,44 +170,55 @@ def colliding_pairs(reps: DataFrame) -> DataFrame:
     return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", bits.alias("apart"))
 
 
-def shingles(text: str, words: int = SHINGLE) -> frozenset[int]:
-    """Hashes of a text's distinct word shingles; a text of fewer words is one shingle."""
+def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
+    """32-bit hashes of a text's distinct word shingles, sorted; a text of fewer words is one shingle.
+
+    Two texts of n shingles share n * n / 2^32 by chance, which moves no coefficient by over n / 2^32.
+    """
     found = _word.findall(text.lower())
-    return frozenset(hash(tuple(found[i : i + words])) for i in range(max(1, len(found) - words + 1)))
+    return np.unique(np.array([xxhash.xxh32_intdigest(" ".join(found[i : i + words]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(found) - words + 1))], "<u4"))
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, text of every row that a pair names: whole texts shuffled once by id, alike at every size."""
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, own (a shingle set's bytes) of every row that a pair names: texts are shuffled once by id, alike at every size."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    return held.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").join(ids.hint("merge"), "id", "left_semi")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t).tobytes() for t in texts(batch)], pa.binary())], names=["id", "own"])
+
+    return map_batches(held, ["id", "text"], "id long, own binary", step).groupBy("id").agg(F.min("own").alias("own"))
 
 
 def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY, rows_a_part: int = 1000) -> DataFrame:
-    """The pairs (a, b) whose texts in held (id, text) have sets of five-word shingles of this Jaccard coefficient or more.
+    """The pairs (a, b) whose shingle sets in held (id, own) have this Jaccard coefficient or more.
 
-    A text that many pairs name as b is sent once to each of the parts that its pairs are dealt into, so no text's
-    pairs gather in one task.
+    Pairs of one b are dealt into parts of about rows_a_part and sorted behind b's own set, which is sent once to each
+    part: no set's pairs gather in one task, and a task holds one of them and the rows of a batch.
     """
     pairs = pairs.select("a", "b")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_a_part).cast("int").alias("parts"))
-    right = held.hint("merge").join(parts, F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("right"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    centres = held.hint("merge").join(parts, F.col("id") == F.col("b")).select(F.lit(None).cast("long").alias("a"), "b", every, "own")
     dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
-    left = held.hint("merge").join(dealt, F.col("id") == F.col("a")).select("a", "b", "part", F.col("text").alias("left"))
+    others = held.hint("merge").join(dealt, F.col("id") == F.col("a")).select("a", "b", "part", "own")
+    rows = centres.unionByName(others).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, two = None, frozenset()  # pairs of one b come one after another
+        centre = np.zeros(0, "<u4")
         for batch in batches:
             kept = []
-            for x, y in zip(texts(batch, "left"), texts(batch, "right")):
-                if y != last:
-                    last, two = y, shingles(y)
-                one = shingles(x)
-                both = len(one & two)
-                kept.append(both >= similarity * (len(one) + len(two) - both))
+            for a, own in zip(batch.column("a").to_pylist(), batch.column("own")):
+                own = np.frombuffer(own.as_buffer(), "<u4")
+                if a is None:
+                    centre = own.copy()
+                    kept.append(False)
+                else:
+                    both = len(np.intersect1d(own, centre, assume_unique=True))
+                    kept.append(both >= similarity * (len(own) + len(centre) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return left.join(right.hint("merge"), ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -222,7 +233,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     marked = written(marked.select("doc_id", "m.own", "m.prints"), "marked")
     reps = written(marked.groupBy("own").agg(F.min("doc_id").alias("id"), F.any_value("prints").alias("prints")), "alike")
     pairs = written(colliding_pairs(reps.select("id", "prints")), "colliding")
-    held = written(texts_of(docs, pairs), "compared")
+    held = written(sets_of(docs, pairs), "compared")
     closest = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b")
     first = written(verified(closest, held), "verified")
     part = written(components(first), "parts")
