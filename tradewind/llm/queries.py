@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontam, html_text, language, packing, pii, quality_model, quality_rules, secrets, simhash, warc
+from tradewind.llm import decontam, html_text, language, minhash, packing, pii, quality_model, quality_rules, secrets, simhash, warc
 from tradewind.llm.shared import table
 
 
@@ -63,7 +63,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_simhash, op4_html, op5_packing, op6_quality_rules, op7_warc, op8_secrets, op9_quality, op10_language)}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_simhash, op4_html, op5_packing, op6_quality_rules, op7_warc, op8_secrets, op9_quality, op10_language, op13_minhash)}
 
 ORACLE_SQL = {
     "op7_warc": """

@@ -190,8 +190,9 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_batches(held, ["id", "text"], "id long, own binary", step).groupBy("id").agg(F.min("own").alias("own"))
 
 
-def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY, rows_a_part: int = 1000) -> DataFrame:
-    """The pairs (a, b) whose shingle sets in held (id, own) have this Jaccard coefficient or more.
+def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY, rows_a_part: int = 1000, dtype: str = "<u4") -> DataFrame:
+    """The pairs (a, b) whose shingle sets in held (id, own: sorted hashes of this type) have this Jaccard coefficient,
+    in whole hundredths, or more.
 
     Pairs of one b are dealt into parts of about rows_a_part and sorted behind b's own set, which is sent once to each
     part: no set's pairs gather in one task, and a task holds one of them and the rows of a batch.
@@ -205,17 +206,17 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY,
     rows = centres.unionByName(others).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = np.zeros(0, "<u4")
+        centre, percent = np.zeros(0, dtype), round(100 * similarity)
         for batch in batches:
             kept = []
             for a, own in zip(batch.column("a").to_pylist(), batch.column("own")):
-                own = np.frombuffer(own.as_buffer(), "<u4")
+                own = np.frombuffer(own.as_buffer(), dtype)
                 if a is None:
                     centre = own.copy()
                     kept.append(False)
                 else:
                     both = len(np.intersect1d(own, centre, assume_unique=True))
-                    kept.append(both >= similarity * (len(own) + len(centre) - both))
+                    kept.append(100 * both >= percent * (len(own) + len(centre) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
