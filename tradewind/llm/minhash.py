@@ -98,11 +98,14 @@ def chunk_keys(signs: np.ndarray) -> np.ndarray:
 def keyed(reps: DataFrame) -> DataFrame:
     """key, node: the keys of each (node, signature)."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = chunk_keys(_matrix(batch.column("signature")))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), SYMBOLS))], names=["key", "node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = chunk_keys(_matrix(part.column("signature")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), SYMBOLS))], names=["key", "node"])
 
-    return map_batches(reps, ["node", "signature"], "key long, node long", step)
+    return in_arrow(reps.select("node", "signature"), run, "key long, node long")
 
 
 def within_radius(pairs: DataFrame, reps: DataFrame) -> DataFrame:

@@ -97,11 +97,15 @@ def map_batches(df: DataFrame, columns: Sequence[str], schema: str | StructType,
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow for columns of any names: Spark itself can't hand over those with a dot or a backtick."""
+    """mapInArrow for columns of any names: Spark itself can't hand over those with a dot or a backtick.
+
+    Workers are kept for later tasks, so what a batch took is given back behind it."""
     names = df.columns
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.rename_columns(names) for batch in batches)
+        for out in run(batch.rename_columns(names) for batch in batches):
+            yield out
+            pa.default_memory_pool().release_unused()  # else a worker that is kept holds what its largest batch took
 
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)
 

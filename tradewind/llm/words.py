@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of the texts that are split at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def sliced(batch: pa.RecordBatch, name: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
