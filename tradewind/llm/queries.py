@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontam, html_text, language, minhash, packing, pii, quality_model, quality_rules, runs, secrets, simhash, warc
+from tradewind.llm import decontam, html_text, language, minhash, packing, pii, quality_model, quality_rules, runs, secrets, simhash, spelling, warc
 from tradewind.llm.shared import table
 
 
@@ -67,11 +67,15 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_simhash, op4_html, op5_packing, op6_quality_rules, op7_warc, op8_secrets, op9_quality, op10_language, op11_runs, op13_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_simhash, op4_html, op5_packing, op6_quality_rules, op7_warc, op8_secrets, op9_quality, op10_language, op11_runs, op12_spelling, op13_minhash)}
 
 ORACLE_SQL = {
     "op7_warc": """
