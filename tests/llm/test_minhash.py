@@ -72,14 +72,17 @@ def test_keys_meet_at_one_error_a_chunk():
 
 def test_signature_distance_at_the_threshold():
     r = random.Random(2)
-    apart = []
+    apart, bits = [], []
     for _ in range(300):
         n = r.randrange(40, 400)
         own = [r.getrandbits(64) for _ in range(n)]
         both = -(-85 * 2 * n // 185)  # the least intersection of two sets of n that links
         other = own[:both] + [r.getrandbits(64) for _ in range(n - both)]
+        fine = [minhash.fine_signature(np.array(sorted(x), np.uint64)) for x in (own, other)]
+        bits.append(int(np.bitwise_count(fine[0] ^ fine[1]).sum()))
         apart.append(int((minhash.signature(np.array(sorted(own), np.uint64)) != minhash.signature(np.array(sorted(other), np.uint64))).sum()))
     assert max(apart) <= minhash.RADIUS and 13 < np.mean(apart) < 18
+    assert max(bits) <= minhash.FINE_RADIUS and 145 < np.mean(bits) < 160
 
 
 def test_one_origin_many_copies(spark, monkeypatch):

@@ -23,13 +23,17 @@ SYMBOLS = CHUNKS * CHUNK
 #: so within the radius some chunk has one at most. At a similarity of 0.85 a symbol differs with probability 0.15; 32
 #: or more of 112 do for one such pair in about 6,000, and for fewer above it.
 RADIUS = 2 * CHUNKS - 1
+#: Bits of the finer signature that pairs across groups meet first, and in how many they may differ: at a similarity of
+#: 0.85 a bit differs with probability 0.075, and more than so many do for one such pair in 300,000.
+FINE, FINE_RADIUS = 2048, 207
 #: Rows of 40 bytes that are sent to every task rather than shuffled with the texts.
 SENT = 200_000
 #: Members of a shared key that one task compares at a time.
 TILE = 1000
 
 _draws = np.random.default_rng(13)
-_MULTIPLIERS = _draws.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
+_ORDERS = _draws.integers(0, 1 << 32, (2, SYMBOLS), dtype=np.uint32) | np.uint32(1)
+_FINE_ORDERS = _draws.integers(0, 1 << 32, (2, FINE), dtype=np.uint32) | np.uint32(1)
 _PLACES = _draws.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,14 +49,29 @@ def shingle_hashes(own: np.ndarray) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
+def _least(shingles: np.ndarray, orders: np.ndarray, rows: int) -> np.ndarray:
+    """The least value of the shingles in each of the orders; a product alone would order some pairs alike in many."""
+    short = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    least = np.full(orders.shape[1], (1 << 32) - 1, np.uint32)
+    for at in range(0, len(short), rows):
+        mixed = short[at : at + rows, None] ^ orders[0]
+        mixed *= orders[1]
+        mixed ^= mixed >> np.uint32(16)
+        mixed *= np.uint32(0x85EBCA6B)
+        np.minimum(least, mixed.min(0), out=least)
+    return least
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Of each of SYMBOLS orders of the shingles, eight bits of the least."""
-    short = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    least = np.full(SYMBOLS, (1 << 32) - 1, np.uint32)
-    for at in range(0, len(short), 256):
-        np.minimum(least, (short[at : at + 256, None] * _MULTIPLIERS).min(0), out=least)
-    least ^= least >> np.uint32(15)
-    return (least & np.uint32(255)).astype(np.uint8)
+    least = _least(shingles, _ORDERS, 128)
+    return ((least ^ (least >> np.uint32(15))) & np.uint32(255)).astype(np.uint8)
+
+
+def fine_signature(shingles: np.ndarray) -> np.ndarray:
+    """Of each of FINE orders of the shingles, one bit of the least; eight to a byte."""
+    least = _least(shingles, _FINE_ORDERS, 8)
+    return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31))
 
 
 def sets_of_batch(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -78,8 +97,8 @@ def marked(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], "doc_id long, n_shingles long, own binary, signature binary", step)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+def _matrix(column: pa.Array, width: int = SYMBOLS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def chunk_keys(signs: np.ndarray) -> np.ndarray:
@@ -130,20 +149,30 @@ def _first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(shared[row, chunk] & (errors.sum(1) <= RADIUS), first, SYMBOLS)
 
 
-def across(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) within the radius of members (key, node, part) that share a key and lie in different parts, each once.
+def fine_signatures(held: DataFrame) -> DataFrame:
+    """node, fine for the shingle sets (id, own)."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fine = [fine_signature(np.frombuffer(x.as_buffer(), "<u8")).tobytes() for x in batch.column("own")]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fine, pa.binary())], names=["node", "fine"])
+
+    return map_batches(held, ["id", "own"], "node long, fine binary", step)
+
+
+def across(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a, b) within both radii of members (key, node, part) that share a key and lie in different parts, each once.
 
-    A key's members are dealt into blocks of about TILE, and a task compares two blocks' signatures at a time in
-    arrays, so no key's members gather in one task. A pair comes out only at the first key that it shares: nothing of
-    it is emitted beyond the radius or a second time.
+    signatures holds node, signature and fine. A key's members are dealt into blocks of about TILE, and a task compares
+    two blocks' signatures at a time in arrays, so no key's members gather in one task. A pair comes out only at the
+    first key that it shares: nothing of it is emitted beyond the radii or a second time.
     """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key", "blocks")
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = dealt.select("key", "node", "part", "block", other.alias("other")).select("key", "node", "part", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    rows = tiles.join(reps.select("node", "signature"), "node").select("key", "x", "y", "block", "part", "node", "signature").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "part", "node")
+    rows = tiles.join(signatures, "node").select("key", "x", "y", "block", "part", "node", "signature", "fine").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "part", "node")
 
-    def pairs(key: int, x: int, y: int, block: np.ndarray, part: np.ndarray, node: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(key: int, x: int, y: int, block: np.ndarray, part: np.ndarray, node: np.ndarray, signs: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
         for i in range(len(node) - 1):
             from_ = int(np.searchsorted(part, part[i], "right"))  # members are sorted by part
@@ -153,10 +182,10 @@ def across(members: DataFrame, reps: DataFrame) -> DataFrame:
             hit = _first_shared(np.broadcast_to(signs[i], there.shape), there) == key >> 48
             if x != y:
                 hit &= block[from_:] != block[i]
-            if hit.any():
-                to = node[from_:][hit]
-                left.append(np.maximum(to, node[i]))
-                right.append(np.minimum(to, node[i]))
+            near = np.flatnonzero(hit) + from_
+            near = near[np.bitwise_count(fine[near] ^ fine[i]).sum(1) <= FINE_RADIUS]
+            left.append(np.maximum(node[near], node[i]))
+            right.append(np.minimum(node[near], node[i]))
         none = [np.zeros(0, np.int64)]
         return np.concatenate(left or none), np.concatenate(right or none)
 
@@ -174,7 +203,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
     name, held = None, []
     for batch in batches:
         ids = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-        own = [batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), _matrix(batch.column(6))]
+        own = [batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), _matrix(batch.column(6)), _matrix(batch.column(7), FINE // 8)]
         cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if a == b:
@@ -208,22 +237,30 @@ def sets_of(docs: DataFrame, named: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Verified links (a, b) of nodes, enough of them to connect all that links within the radius connect.
 
-    reps holds node, id, own and signature of each distinct shingle set. First every key's members meet its least
-    node, and what is verified gives groups; then members of one key that lie in different groups meet each other.
-    Pairs within a group that the first pass has made are never formed.
+    reps holds node, id, own and signature of each distinct shingle set. First every key's members meet the one of them
+    that shares most keys with others, which an origin does with its copies, and what is verified gives groups; then
+    members of one key that lie in different groups meet each other. Pairs within a group that the first pass has made
+    are never formed.
     """
     keys = keyed(reps)
-    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    shared = written(keys.join(centres, "key"), "shared")
-    first = written(within_radius(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), reps), "starred")
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keys.join(several, "key"), "shared")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
+    starred = shared.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    first = written(within_radius(starred, reps), "starred")
     similar = written(verified(first, _held(docs, reps, first), PERCENT / 100, dtype="<u8"), "similar")
-    parts = components(similar)
-    members = shared.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    more = written(across(members, reps), "across")
-    return similar.unionByName(verified(more, _held(docs, reps, more), PERCENT / 100, dtype="<u8"))
+    members = shared.select("key", "node").join(components(similar), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    split = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    members = written(members.join(split, "key"), "members")
+    open_ = members.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    held = _held(docs, reps, open_)
+    more = written(across(members, reps.select("node", "signature").join(fine_signatures(held), "node")), "across")
+    return similar.unionByName(verified(more, held, PERCENT / 100, dtype="<u8"))
 
 
 def _held(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, own: the shingle sets of the nodes that the pairs name."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     return written(sets_of(docs, reps.join(nodes, "node").select(F.col("node").alias("id"), F.col("id").alias("doc_id"), F.col("own").alias("set"))), "sets")
 
