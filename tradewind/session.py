@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +29,29 @@ def spread(df: DataFrame, below: int = 64_000_000) -> DataFrame:
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(spark.sparkContext.defaultParallelism) if size < below else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors are the driver's own threads gets a folder of this machine; any other
+    must set it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _own_folder()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tradewind-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
