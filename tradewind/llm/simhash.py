@@ -249,14 +249,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents less all but the least doc_id of each group of near copies.
 
-    Rows without a doc_id stay; of rows that repeat an id, one of the least text stays. Only ids are joined to the
-    texts: those that go and those that are repeated; where these are few, Spark sends them to the tasks and no text
-    moves. Columns of any name pass through.
+    Rows without a doc_id stay. Rows that repeat an id and a text are one document; texts that share an id are documents
+    of their own, compared under numbers below all ids. Only ids are joined to the texts: those that go and those that
+    are repeated; where these are few, Spark sends them to the tasks and no text moves. Columns of any name pass through.
     """
+    columns = [quoted(c) for c in docs.columns]
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    row = F.struct(*map(quoted, docs.columns))
-    once = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_row"))
-    single = docs.join(repeated, "doc_id", "left_anti").select(*map(quoted, docs.columns)).unionByName(once.select("_row.*"))
-    groups = written(near_copies(single), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return single.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    single = docs.join(repeated, "doc_id", "left_anti").select(*columns)
+    alike = [F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)]
+    clashing = docs.join(repeated, "doc_id", "left_semi").groupBy(*alike).agg(F.first(F.struct(*columns)).alias("row")).select("row")
+    below = F.least(F.lit(docs.agg(F.min("doc_id")).first()[0] or 0).cast("long"), F.lit(0).cast("long"))
+    clashing = written(clashing.withColumn("node", below - 1 - F.monotonically_increasing_id()), "clashing")
+    both = single.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(clashing.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")))
+    groups = written(near_copies(both), "groups")
+    ids = clashing.select(F.col("node").alias("doc_id"), F.col("row.doc_id").cast("long").alias("id"))
+    named = groups.join(ids, "doc_id", "left").select("component_id", F.struct(F.coalesce("id", "doc_id").alias("id"), F.col("doc_id").alias("node")).alias("as"))
+    least = named.groupBy("component_id").agg(F.min("as").alias("least"))
+    gone = named.join(least, "component_id").where(F.col("as.node") != F.col("least.node")).select(F.col("as.node").alias("node"))
+    kept = single.join(gone.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti").select(*columns)
+    return kept.unionByName(clashing.join(gone, "node", "left_anti").select("row.*"))
