@@ -137,3 +137,18 @@ def supplier_ids_of(mentions: DataFrame, suppliers: DataFrame) -> DataFrame:
     """processed_article_id, supplier_ids: sorted distinct public ids of active suppliers that an article names."""
     active = suppliers.where("is_active").select(F.col("id").alias("supplier_id"), "public_id")
     return mentions.join(active, "supplier_id").groupBy("processed_article_id").agg(F.array_sort(F.collect_set("public_id")).alias("supplier_ids"))
+
+
+def re_resolved_lists(rows: DataFrame, key: str, names: str, ids: str, aliases: DataFrame, suppliers: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """rows with the list `ids` made anew: the sorted distinct public ids of the suppliers that answer to `names`.
+
+    changed tells the rows whose list is another than before, null and empty alike: those that a backfill writes. Each
+    row's names are looked up and come back by its key, so what meets is one row's list; keys are distinct. Null lists
+    are empty; names beyond a row's own, orders and repeats make no difference.
+    """
+    asked = rows.select(key, F.explode(F.array_distinct(names)).alias("surface_form"))
+    found = resolve(asked, aliases, suppliers, ascii_only=ascii_only).where("public_id is not null").groupBy(key).agg(F.sort_array(F.collect_set("public_id")).alias("_found"))
+    none = F.expr("cast(array() as array<string>)")
+    now = F.coalesce("_found", none)
+    joined = rows.join(found, key, "left")
+    return joined.withColumn("changed", now != F.coalesce(ids, none)).withColumn(ids, now).drop("_found")
