@@ -35,10 +35,10 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     and nulls are dropped, repeated links count once; an empty link table gives an empty result.
     """
     spark = links.sparkSession
-    now, path = stored(links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "links")
+    now, path = stored(links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "links", few=True)
     mark = None
     while True:
-        after, following = stored(_stars(_stars(now, True), False), "stars")
+        after, following = stored(_stars(_stars(now, True), False), "stars", few=True)
         discard(spark, path)
         now, path = after, following
         at = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first()

@@ -153,21 +153,20 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def colliding_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b, apart) whose fingerprints of one band lie within two bits, for (id, prints); apart counts the bits of all bands.
+    """Distinct (a, b, met) whose fingerprints of one band lie within two bits, for (id, prints); met counts the variants.
 
     Half of the radius is one bit: every fingerprint emits itself and its WIDTH variants at one bit. At a variant all
     go to the least id whose own fingerprint it is, or else to the least id there, so a group of any size makes one
-    pair a row and variant; an original and its copies, which surround it, are paired with each other.
+    pair a row and variant; an original and its copies, which surround it, are paired with each other, and the nearer
+    two fingerprints lie the more variants they meet at.
     """
     masks = _masks([0, *(1 << i for i in range(WIDTH))])
     bands = reps.select("id", F.posexplode("prints").alias("band", "fp")).select("id", "fp", F.shiftleft(F.col("band").cast("long"), WIDTH).alias("band"), F.explode(masks).alias("mask"))
     met = bands.select("id", F.col("band").bitwiseOR(F.col("fp").bitwiseXOR(F.col("mask"))).alias("variant"), (F.col("mask") == 0).alias("own"))
     w = Window.partitionBy("variant")
     centre = F.coalesce(F.min(F.when(F.col("own"), F.col("id"))).over(w), F.min("id").over(w))
-    pairs = met.withColumn("b", centre).where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    of = lambda end: reps.select(F.col("id").alias(end), F.col("prints").alias(f"of_{end}"))
-    bits = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", bits.alias("apart"))
+    pairs = met.withColumn("b", centre).where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
 
 
 def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -222,22 +221,31 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY,
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _likely(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, met), distinct (a, b): each node's with the partner it met most often and with the one of most partners."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "met").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "met"))
+    partners = both.groupBy("x").agg(F.count("*").alias("many")).select(F.col("x").alias("y"), "many")
+    best = both.join(partners, "y").groupBy("x").agg(F.max(F.struct("met", "y")).alias("near"), F.max(F.struct("many", "met", "y")).alias("much"))
+    chosen = best.select("x", F.explode(F.array("near.y", "much.y")).alias("y"))
+    return chosen.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row that has an id: groups of texts at a five-word similarity of 0.8 or more.
 
     Texts of the same words are one node, named by its least doc_id; so are texts without words. Colliding pairs are
-    verified on their whole texts in two passes: each node's pair with its closest partner, then all the pairs that
-    the first pass has not already put in one group. Ids are taken to be distinct, as keep_one makes them; of rows that
-    repeat one, any may speak for it. Rows without an id are left out; an empty table gives an empty result.
+    verified on their whole texts in two passes: each node's pairs with the partner it met most often and with the one
+    that has most partners, which an origin is among its copies; then all that the first pass has not already put in one
+    group. Ids are taken to be distinct, as keep_one makes them; of rows that repeat one, any may speak for it. Rows
+    without an id are left out; an empty table gives an empty result.
     """
     marked = _marked(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("own", "prints")).alias("m"))
     marked = written(marked.select("doc_id", "m.own", "m.prints"), "marked")
     reps = written(marked.groupBy("own").agg(F.min("doc_id").alias("id"), F.any_value("prints").alias("prints")), "alike")
     pairs = written(colliding_pairs(reps.select("id", "prints")), "colliding")
     held = written(sets_of(docs, pairs), "compared")
-    closest = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b")
-    first = written(verified(closest, held), "verified")
-    part = written(components(first), "parts")
+    first = written(verified(_likely(pairs), held), "verified", few=True)
+    part = written(components(first), "parts", few=True)
     of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     more = verified(written(apart, "apart"), held)
