@@ -40,10 +40,12 @@ def total_order(columns: list[str]) -> list[Column]:
     return [x for c in columns for x in (F.col(c).isNotNull().asc(), F.col(c).asc())]
 
 
-def winners(articles: DataFrame, columns: list[str]) -> DataFrame:
-    """One article a fingerprint: the highest authority, then the least in the total order of the columns."""
+def winners(articles: DataFrame, columns: list[str], canonical_url: str | None = None) -> DataFrame:
+    """One article a fingerprint: the highest authority, then the least in the total order of the columns.
+
+    canonical_url names a column with a feed's own canonical URL, which the fingerprint takes before the article's."""
     authority = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in D.AUTHORITY.items() for x in p)), F.col("source_class")), F.lit(0))
-    held = articles.withColumn("fingerprint", article_fingerprint())
+    held = articles.withColumn("fingerprint", article_fingerprint(canonical_url))
     rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy(authority.desc(), *total_order(columns)))
     return held.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 

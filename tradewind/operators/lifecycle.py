@@ -60,3 +60,15 @@ def circuit_fold(outcomes: DataFrame, source: str = "source_id", at: str = "ts",
 def expired(rows: DataFrame, at: str, now: Column, days: int) -> Column:
     """Strictly older than the retention period."""
     return F.col(at) < now - F.expr(f"interval {days} days")
+
+
+def throttled(failures: DataFrame, key: str = "user_id", at: str = "ts", hours: int = 2, allowed: int = 3) -> DataFrame:
+    """failures with n, those of their key in the hours up to each, and wait_s, the seconds to wait from the `allowed`-th on.
+
+    A failure that lies the whole time back, to the microsecond, no longer counts.
+    """
+    span = hours * 3600
+    frame = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(1 - span * 1_000_000, 0)
+    left = span - F.timestamp_diff("SECOND", F.min(at).over(frame), F.col(at))
+    n = F.count("*").over(frame)
+    return failures.withColumns({"n": n, "wait_s": F.when(n >= allowed, F.greatest(F.lit(1).cast("long"), left))})

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
+from tradewind.functions.language import detected, gate
 from tradewind.functions.text import strip
 from tradewind.functions.url import domain
 
-SUPPORTED_LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt", "pl", "cs", "sv", "da", "fi")
-
-
 def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
@@ -53,7 +51,11 @@ def clean_text(c: Column) -> Column:
 
 
 def normalise(articles: DataFrame, as_of: Column) -> DataFrame:
-    """Articles with cleaned text, and a reject_reason where the source is blocked or a gate fails; nothing is dropped."""
+    """Articles with cleaned text and the language found in their title, and a reject_reason where the source is blocked,
+
+    a gate fails or the language gate does, in this order; nothing is dropped."""
     judged = with_trust(articles).withColumns(quality_columns(as_of))
-    reason = F.when(F.col("blocked"), "Blocked source").when(F.size("failures") > 0, F.element_at("failures", 1)).when(clean_text(F.col("title")).isNull(), "Missing title").when(~F.col("language").isin(*SUPPORTED_LANGUAGES), "Unsupported language")
-    return judged.withColumn("reject_reason", reason).withColumns({c: clean_text(F.col(c)) for c in ("title", "description", "content_snippet")})
+    judged = judged.withColumns({c: clean_text(F.col(c)) for c in ("title", "description", "content_snippet")})
+    has_content = F.col("description").isNotNull() | F.col("content_snippet").isNotNull()
+    reason = F.when(F.col("blocked"), "Blocked source").when(F.size("failures") > 0, F.element_at("failures", 1)).when(F.col("title").isNull(), "Missing title").otherwise(gate(F.col("language"), F.col("title"), has_content))
+    return judged.withColumn("reject_reason", reason).withColumn("language", F.coalesce(F.when(has_content, detected(F.col("title"))), "language"))

@@ -110,14 +110,17 @@ def duplicate_level(incoming: DataFrame, stored: DataFrame, hours: int = 48) ->
     """incoming (id, source_name, published_at, url_hash, title_hash, ingest_hash) with the level at which it is a duplicate.
 
     1: its URL's hash is a stored one's; 2: its title's hash is that of one of the same source published at most
-    `hours` before; 3: its ingest hash is; null: none. stored has ingest_hash, source_name, published_at. Every level
-    is a join by equality, so a hash that many rows share makes one row a request.
+    `hours` before; 3: its ingest hash is; null: none. stored has ingest_hash, source_name, published_at. Levels 1 and 3
+    are joins by equality with distinct hashes. For level 2 requests and stored times of a title and source are put in
+    one order and each request looks at the latest time before it: a title that a source repeats is met once a request.
     """
     known = stored.where("ingest_hash <> ''")
     by = lambda column, level: incoming.select("id", F.col(column).alias("ingest_hash")).join(known.select("ingest_hash").distinct(), "ingest_hash").select("id", F.lit(level).alias("level"))
-    near = incoming.select("id", "source_name", F.col("title_hash").alias("ingest_hash"), F.col("published_at").alias("at"))
-    window = (F.col("published_at") >= F.col("at") - F.expr(f"interval {hours} hours")) & (F.col("published_at") <= F.col("at"))
-    second = near.join(known.select("ingest_hash", "source_name", "published_at").distinct(), ["ingest_hash", "source_name"]).where(window).select("id", F.lit(2).alias("level"))
+    asked = incoming.select("source_name", F.col("title_hash").alias("ingest_hash"), F.col("published_at").alias("at"), F.lit(1).alias("kind"), "id")
+    times = known.select("source_name", "ingest_hash", F.col("published_at").alias("at")).distinct().select("*", F.lit(0).alias("kind"), F.lit(None).cast(incoming.schema["id"].dataType).alias("id"))
+    before = Window.partitionBy("ingest_hash", "source_name").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    latest = asked.unionByName(times).withColumn("latest", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(before))
+    second = latest.where("kind = 1").where(F.col("latest") >= F.col("at") - F.expr(f"interval {hours} hours")).select("id", F.lit(2).alias("level"))
     levels = by("url_hash", 1).unionByName(second).unionByName(by("ingest_hash", 3)).groupBy("id").agg(F.min("level").alias("level"))
     return incoming.join(levels, "id", "left").select("id", "level")
 

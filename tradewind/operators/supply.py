@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.names import alias_forms, normal_name
+from tradewind.session import written
 
 
 def register(suppliers: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -62,15 +63,15 @@ def merge(rows: DataFrame, merged: DataFrame, column: str = "supplier_id") -> Da
 def final_keepers(merges: DataFrame, most: int = 20) -> DataFrame:
     """drop_id, keep_id of merges with chains followed to their ends; a merge into itself is left out.
 
-    Each round doubles the length of the chains followed; a map of merges is small beside what it is applied to.
+    Each round doubles the length of the chains followed and is written out, so a round's plan is one join whatever
+    came before; a map of merges is small beside what it is applied to.
     """
-    now = merges.where("drop_id <> keep_id").select("drop_id", "keep_id")
+    now = written(merges.where("drop_id <> keep_id").select("drop_id", "keep_id"), "merges")
     for _ in range(most):
         following = now.select(F.col("drop_id").alias("_at"), F.col("keep_id").alias("_next"))
-        step = now.join(following, F.col("keep_id") == F.col("_at"), "left")
-        if step.where("_next is not null").isEmpty():
+        if now.join(following, F.col("keep_id") == F.col("_at"), "left_semi").isEmpty():
             return now
-        now = step.select("drop_id", F.coalesce("_next", "keep_id").alias("keep_id"))
+        now = written(now.join(following, F.col("keep_id") == F.col("_at"), "left").select("drop_id", F.coalesce("_next", "keep_id").alias("keep_id")), "merges")
     raise ValueError("merges form a circle")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
+from tradewind.functions import language as L
 from tradewind.functions import signals as S
 from tradewind.functions import text as T
 from tradewind.functions import url as U
@@ -102,10 +103,19 @@ def source_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_trust(raw_articles(spark, sf_dir)).groupBy("domain", "blocked", "low_priority", "trust").agg(F.count("*").alias("n"))
 
 
-@query(RAW_ARTICLES, f"d AS (SELECT *, {_domain} AS domain, {_fail} AS failures FROM raw_articles)", sql=f"SELECT coalesce(CASE WHEN domain IN ({', '.join(map(q, D.BLOCKED_DOMAINS))}) THEN 'Blocked source' WHEN len(failures) > 0 THEN failures[1] WHEN language NOT IN ({', '.join(map(q, quality.SUPPORTED_LANGUAGES))}) THEN 'Unsupported language' END, 'accepted') AS outcome, count(*) AS n FROM d GROUP BY 1")
+_counts = ", ".join(f"{{'n': len(list_filter(words, lambda w: w IN ({', '.join(map(q, own))}))), 'place': {-k}, 'code': {q(code)}}}" for k, (code, own) in enumerate(L.FUNCTION_WORDS.items()))
+#: The language of each article's title, and why the language gate rejects it.
+LANGUAGES = (
+    f"w AS (SELECT *, coalesce(description, '') <> '' OR coalesce(content_snippet, '') <> '' AS has_text, string_split_regex(lower(title), {q(L.SPLIT)}) AS words FROM raw_articles)", f"b AS (SELECT *, list_max([{_counts}]) AS best FROM w)",
+    f"l AS (SELECT *, CASE WHEN has_text THEN CASE WHEN found IS NULL THEN 'Language not detected' WHEN found <> language THEN 'Language mismatch' WHEN language NOT IN ({', '.join(map(q, L.FUNCTION_WORDS))}) THEN 'Unsupported language' END END AS language_reason FROM (SELECT *, CASE WHEN length(title) >= 10 AND best.n > 0 THEN best.code END AS found FROM b))",
+)
+
+
+@query(RAW_ARTICLES, *LANGUAGES, f"d AS (SELECT *, {_domain} AS domain, {_fail} AS failures FROM l)", sql=f"SELECT coalesce(CASE WHEN domain IN ({', '.join(map(q, D.BLOCKED_DOMAINS))}) THEN 'Blocked source' WHEN len(failures) > 0 THEN failures[1] ELSE language_reason END, 'accepted') AS outcome, CASE WHEN has_text THEN coalesce(found, language) ELSE language END AS language, count(*) AS n FROM d GROUP BY ALL")
 def normalise_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles by why they are rejected, if they are, and the language that they are found to be in."""
     done = quality.normalise(raw_articles(spark, sf_dir), as_of())
-    return done.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    return done.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"), "language").agg(F.count("*").alias("n"))
 
 
 @query(sql="""SELECT page_id, CASE WHEN regexp_extract(url, '^[^?#]*', 0) LIKE '%://%' THEN

@@ -339,11 +339,10 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.window("ts", "6 hours")["start"].alias("run_key")).agg(F.count("*").alias("fetched"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.sum("value"), 4).alias("bytes"), F.count_distinct("user_id").alias("sources"))
 
 
-@query(sql="SELECT event_id, user_id, n, CASE WHEN n >= 3 THEN greatest(1, 7200 - CAST(epoch(ts) - epoch(oldest) AS BIGINT)) END AS wait_s FROM (SELECT event_id, user_id, ts, count(*) OVER w AS n, min(ts) OVER w AS oldest FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW))")
+@query(sql="SELECT event_id, user_id, n, CASE WHEN n >= 3 THEN greatest(1, 7200 - CAST(epoch(ts) - epoch(oldest) AS BIGINT)) END AS wait_s FROM (SELECT event_id, user_id, ts, count(*) OVER w AS n, min(ts) OVER w AS oldest FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '7199999999 microseconds' PRECEDING AND CURRENT ROW))")
 def failure_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures of the last two hours at each failure, and the seconds to wait from the third on."""
-    failures = table(spark, sf_dir, "events").where("event_type = 'error'")
-    return spark.sql("select event_id, user_id, n, case when n >= 3 then greatest(1, 7200 - cast(timestampdiff(second, oldest, ts) as bigint)) end as wait_s from (select event_id, user_id, ts, count(*) over w as n, min(ts) over w as oldest from {failures} window w as (partition by user_id order by ts range between interval 2 hours preceding and current row))", failures=failures)
+    return lifecycle.throttled(table(spark, sf_dir, "events").where("event_type = 'error'")).select("event_id", "user_id", "n", "wait_s")
 
 
 @query(sql="""WITH RECURSIVE e AS (SELECT user_id AS source_id, ts, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

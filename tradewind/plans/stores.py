@@ -150,7 +150,7 @@ def recent_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_articles(spark, sf_dir).select("id", "published_at").orderBy(F.desc("published_at"), F.desc("id")).limit(50)
 
 
-@query(RAW_ARTICLES, f"d AS (SELECT *, {A._domain} AS domain, {A._fail} AS failures FROM raw_articles)", sql=f"SELECT id FROM d WHERE domain NOT IN ({', '.join(map(q, D.BLOCKED_DOMAINS))}) AND len(failures) = 0 AND language IN ({', '.join(map(q, quality.SUPPORTED_LANGUAGES))}) ORDER BY published_at, id LIMIT 100")
+@query(RAW_ARTICLES, *A.LANGUAGES, f"d AS (SELECT *, {A._domain} AS domain, {A._fail} AS failures FROM l)", sql=f"SELECT id FROM d WHERE domain NOT IN ({', '.join(map(q, D.BLOCKED_DOMAINS))}) AND len(failures) = 0 AND language_reason IS NULL ORDER BY published_at, id LIMIT 100")
 def accepted_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred articles that the normaliser accepts, past those it rejects."""
     done = quality.normalise(raw_articles(spark, sf_dir), A.as_of()).where("reject_reason is null")
@@ -197,10 +197,7 @@ def supplier_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", T.names(text, F.col("supplier")).alias("own"), T.names(text, F.substring("region", 1, 3)).alias("part"))
 
 
-_counts = ", ".join(f"{{'n': len(list_filter(words, lambda w: w IN ({', '.join(map(q, own))}))), 'place': {-k}, 'code': {q(code)}}}" for k, (code, own) in enumerate(L.FUNCTION_WORDS.items()))
-
-
-@query(RAW_ARTICLES, f"w AS (SELECT id, language, title, coalesce(description, '') <> '' OR coalesce(content_snippet, '') <> '' AS has_text, string_split_regex(lower(title), {q(L.SPLIT)}) AS words FROM raw_articles)", f"b AS (SELECT *, list_max([{_counts}]) AS best FROM w)", "d AS (SELECT *, CASE WHEN length(title) >= 10 AND best.n > 0 THEN best.code END AS found FROM b)", sql=f"SELECT id, CASE WHEN has_text THEN CASE WHEN found IS NULL THEN 'Language not detected' WHEN found <> language THEN 'Language mismatch' WHEN language NOT IN ({', '.join(map(q, L.FUNCTION_WORDS))}) THEN 'Unsupported language' END END AS reason FROM d")
+@query(RAW_ARTICLES, *A.LANGUAGES, sql="SELECT id, language_reason AS reason FROM l")
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose title is not in the language they state."""
     a = raw_articles(spark, sf_dir)
