@@ -222,21 +222,20 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY,
 
 
 def _likely(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, met), distinct (a, b): each node's with the partner it met most often and with the one of most partners."""
+    """Of pairs (a, b, met), distinct (a, b): each node's with the partner it met most often and with its least partner,
+    the centre of most of its variants."""
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "met").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "met"))
-    partners = both.groupBy("x").agg(F.count("*").alias("many")).select(F.col("x").alias("y"), "many")
-    best = both.join(partners, "y").groupBy("x").agg(F.max(F.struct("met", "y")).alias("near"), F.max(F.struct("many", "met", "y")).alias("much"))
-    chosen = best.select("x", F.explode(F.array("near.y", "much.y")).alias("y"))
-    return chosen.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    best = both.groupBy("x").agg(F.max(F.struct("met", "y"))["y"].alias("near"), F.min("y").alias("least"))
+    chosen = best.select(F.greatest("x", "near").alias("a"), F.least("x", "near").alias("b")).unionByName(best.select(F.greatest("x", "least").alias("a"), F.least("x", "least").alias("b")))
+    return chosen.distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row that has an id: groups of texts at a five-word similarity of 0.8 or more.
 
     Texts of the same words are one node, named by its least doc_id; so are texts without words. Colliding pairs are
-    verified on their whole texts in two passes: each node's pairs with the partner it met most often and with the one
-    that has most partners, which an origin is among its copies; then all that the first pass has not already put in one
-    group. Ids are taken to be distinct, as keep_one makes them; of rows that repeat one, any may speak for it. Rows
+    verified on their whole texts in two passes: each node's pairs with the partner it met most often and with its
+    least one, the centre of most of its variants; then all that the first pass has not already put in one group. Ids are taken to be distinct, as keep_one makes them; of rows that repeat one, any may speak for it. Rows
     without an id are left out; an empty table gives an empty result.
     """
     marked = _marked(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("own", "prints")).alias("m"))
