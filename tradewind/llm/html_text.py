@@ -178,13 +178,13 @@ _group = {w: k for k, words in enumerate(GROUPS.values()) for w in words}
 TAGS = ("article", "main", "section", "div", "p", "h", "li", "list", "nav", "header", "footer", "aside", "form", "table", "quote", "pre", "body")
 _tag = {t: k for k, t in enumerate(TAGS)} | {f"h{i}": 5 for i in range(1, 7)} | {"ul": 7, "ol": 7, "dl": 7, "menu": 8, "td": 13, "tr": 13, "th": 13, "tbody": 13, "blockquote": 14, "html": 16, "#": 16, "dd": 6, "dt": 6, "fieldset": 12, "hgroup": 9}
 _unlikely = [k for k, g in enumerate(GROUPS) if g != "main"]
-FEATURES = 2 * len(TAGS) + 2 * len(GROUPS) + 22
+FEATURES = 2 * len(TAGS) + 2 * len(GROUPS) + 20
 
 
 def node_features(page: Page) -> np.ndarray:
     """A row a node: tag and attribute token groups of itself and of all above it, size, link and text density of the subtree, depth, and its place and share among siblings."""
     nodes = page.nodes
-    total = np.array([[n.chars, n.links, n.stops, n.blocks, 1, n.tag == "h1"] for n in nodes], float)
+    total = np.array([[n.chars, n.links, n.stops, n.blocks, 1] for n in nodes], float)
     for i in range(len(nodes) - 1, 0, -1):
         total[nodes[i].parent] += total[i]
     whole = max(total[0, 0], 1)
@@ -201,7 +201,7 @@ def node_features(page: Page) -> np.ndarray:
         for w in n.tokens:
             if w in _group:
                 row[2 * t + _group[w]] = 1
-        chars, links, stops, blocks, size, titles = total[i]
+        chars, links, stops, blocks, size = total[i]
         up = total[n.parent] if n.parent >= 0 else total[i]
         siblings = nodes[n.parent].children if n.parent >= 0 else [0]
         before = total[siblings[n.place - 1], 0] if n.parent >= 0 and n.place else 0
@@ -209,7 +209,7 @@ def node_features(page: Page) -> np.ndarray:
         row[2 * t + 2 * g :] = (
             n.depth, np.log1p(chars), np.log1p(n.chars), links / max(chars, 1), n.links / max(n.chars, 1), stops / max(chars, 1) * 100, chars / max(blocks, 1), chars / size,
             np.log1p(size), chars / whole, chars / max(up[0], 1), n.place, len(siblings), n.place / max(len(siblings) - 1, 1), np.log1p(before), np.log1p(after),
-            len(n.children), alike[n.parent][n.tag] if n.parent >= 0 else 1, up[1] / max(up[0], 1), np.log1p(up[0]), titles, up[5],
+            len(n.children), alike[n.parent][n.tag] if n.parent >= 0 else 1, up[1] / max(up[0], 1), np.log1p(up[0]),
         )
     return x
 
@@ -252,6 +252,10 @@ def main_texts(trees: gbt.Trees, several: list[str]) -> list[str]:
 # ---- training ----
 
 
+#: Names of parts of an article that no group above holds.
+PLAIN = "note lead intro summary info callout tip highlight box dek standfirst caption wide first figure inset".split()
+
+
 class PageWriter:
     """Invented pages of many layouts, with the elements of main text marked."""
 
@@ -296,44 +300,59 @@ class PageWriter:
         }[kind]()
         return f"<{tag}{attrs}>{body}</{tag}>"
 
+    def piece(self, brief: bool) -> str:
+        """One part of an article's body, its text marked; now and then something that is no part of it."""
+        r, m = self.r, f" {MARK}"
+        text = self.words(1, r.choice([2, 3, 6] if brief else [3, 12, 40, 90, 150]))
+        short = lambda: self.words(1, 6, r.random() < 0.3)
+
+        def paragraph() -> str:
+            body = f"<b>{text}<br>" if r.random() < 0.06 else text if r.random() < 0.8 else text + f' <a href="/l">{self.words(1, 4, False)}</a> ' + self.words(2, 20)
+            named = f' class="{r.choice(PLAIN)}"' if r.random() < 0.1 else ""
+            return f"<p{named}{m}>{body}" + ("</p>" if r.random() < 0.9 else "")
+
+        def table() -> str:
+            rows = "".join("<tr>" + "".join(f"<{t}{m}>{short()}</{t}>" for t in [r.choice(["td", "td", "th"])] for _ in range(r.randrange(1, 5))) + "</tr>" for _ in range(r.randrange(1, 6)))
+            return f"<table>{f'<caption{m}>{short()}</caption>' if r.random() < 0.3 else ''}{f'<tbody>{rows}</tbody>' if r.random() < 0.5 else rows}</table>"
+
+        kinds = (
+            (55, paragraph), (7, lambda: f"<h{(k := r.choice([2, 2, 3, 4]))}{m}>{self.words(1, 8, False)}</h{k}>"),
+            (5, lambda: f"<{(t := r.choice(['ul', 'ol']))}>" + "".join(f"<li{m}>{self.words(1, 20)}</li>" for _ in range(r.randrange(1, 6))) + f"</{t}>"),
+            (6, lambda: "<ul>" + "".join(f'<li{m}><a href="/{k}">{self.words(1, 6, False)}</a>{r.choice(["", " " + self.words(2, 9)])}</li>' for k in range(r.randrange(1, 7))) + "</ul>"),
+            (4, lambda: f"<blockquote><p{m}>{text}</p></blockquote>" if r.random() < 0.6 else f"<blockquote{m}>{text}</blockquote>"), (4, lambda: f"<div{m}>{text}</div>"),
+            (7, lambda: f'<div class="{r.choice(PLAIN)}"{m}>{text}</div>' if r.random() < 0.5 else f'<div class="{r.choice(PLAIN)}"><p{m}>{text}</p></div>'),
+            (3, lambda: f"<pre{m}>{text}</pre>" if r.random() < 0.4 else f"<pre{m}><code>{text}</code></pre>"), (3, table),
+            (2, lambda: "<dl>" + "".join(f"<dt{m}>{short()}</dt><dd{m}>{self.words(1, 25)}</dd>" for _ in range(r.randrange(1, 5))) + "</dl>"),
+            (6, lambda: f'<figure><img src="x">{f"<figcaption{m}>{self.words(1, 18)}</figcaption>"}</figure>'), (1, lambda: f"<address{m}>{short()}</address>"), (1, lambda: f"<section><h2{m}>{short()}</h2>{paragraph()}{paragraph()}</section>"),
+            (4, lambda: self.boiler(r.choice(["ad", "side", "form", "share"]))),
+        )
+        return r.choices([k for _, k in kinds], [n for n, _ in kinds])[0]()
+
     def article(self) -> str:
         r, m = self.r, f" {MARK}"
-        out = []
-        if r.random() < 0.85:
-            h1 = f"<h1{m}>{self.words(2, 12, False)}</h1>"
-            out.append(f"<header>{h1}</header>" if r.random() < 0.25 else h1)
+        out, title = [], ""
+        where = r.random()
+        if where < 0.85:
+            h1 = f"<h{(k := r.choice([1, 1, 1, 1, 2]))}{m}>{self.words(2, 12, False)}</h{k}>"
+            h1 = f"<header>{h1}</header>" if r.random() < 0.25 else f'<div class="{r.choice(["title", "headline", "heading"])}">{h1}</div>' if r.random() < 0.1 else h1
+            if where < 0.6:
+                out.append(h1)
+            else:
+                title = h1  # outside what holds the rest
         if r.random() < 0.25:
             out.append(self.boiler("share"))
-        brief = r.random() < 0.15
-        for _ in range(r.choice([1, 2] if brief else [1, 1, 2, 3, 4, 6, 9, 14, 20])):
-            kind = r.random()
-            text = self.words(1, r.choice([2, 3, 6] if brief else [3, 12, 40, 90, 150]))
-            if kind < 0.72:
-                text = f"<b>{text}<br>" if r.random() < 0.06 else text if r.random() < 0.8 else text + f' <a href="/l">{self.words(1, 4, False)}</a> ' + self.words(2, 20)
-                out.append(f"<p{m}>{text}" + ("</p>" if r.random() < 0.9 else ""))
-            elif kind < 0.8:
-                level = r.choice([2, 3])
-                out.append(f"<h{level}{m}>{self.words(1, 8, False)}</h{level}>")
-            elif kind < 0.86:
-                out.append("<ul>" + "".join(f"<li{m}>{self.words(1, 20)}</li>" for _ in range(r.randrange(1, 6))) + "</ul>")
-            elif kind < 0.9:
-                out.append(f"<blockquote><p{m}>{text}</p></blockquote>")
-            elif kind < 0.93:
-                out.append(f"<div{m}>{text}</div>")
-            elif kind < 0.96:
-                out.append(f"<pre{m}>{text}</pre>")
-            else:
-                out.append(self.boiler(r.choice(["ad", "side", "form", "share"])))
-        tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
-        attrs = self.attrs("main") if tag == "article" or r.random() < 0.5 else f' class="{r.choice(GROUPS["main"])}"'
+        brief = r.random() < 0.2
+        out += [self.piece(brief) for _ in range(r.choice([1, 1, 2] if brief else [1, 1, 2, 3, 4, 6, 9, 14, 20]))]
+        tag = r.choice(["article", "article", "article", "main", "main", "div", "div", "section", "", ""])
+        attrs = self.attrs("main") if tag in ("article", "main") or r.random() < 0.5 else f' class="{r.choice(GROUPS["main"])}"'
         if tag in ("div", "section") and r.random() < 0.3:
             attrs = ""
-        if r.random() < 0.15:
+        if r.random() < 0.15 and tag:
             out.append(self.boiler("comment"))
         inner = "".join(out)
-        if r.random() < 0.3:
+        if r.random() < 0.3 and tag:
             inner = f"<div{self.attrs('main')}>{inner}</div>"
-        return f"<{tag}{attrs}>{inner}</{tag}>"
+        return title + (f"<{tag}{attrs}>{inner}</{tag}>" if tag else inner)
 
     def page(self) -> str:
         r = self.r
@@ -352,7 +371,7 @@ class PageWriter:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 900, seed: int = 5) -> gbt.Trees:
+def trained(pages: int = 2000, seed: int = 5) -> gbt.Trees:
     """Trees for "main text lies in this node", from written pages; no table is read, so a process trains once for any input."""
     writer, x, y = PageWriter(seed), [], []
     for _ in range(pages):
@@ -362,7 +381,7 @@ def trained(pages: int = 900, seed: int = 5) -> gbt.Trees:
             main[page.nodes[i].parent] = max(main[page.nodes[i].parent], main[i])
         x.append(node_features(page))
         y.append(main)
-    return gbt.fit(np.concatenate(x), np.concatenate(y), trees=70, depth=5, rate=0.3, bins=32, l2=2.0, least=2.0)
+    return gbt.fit(np.concatenate(x), np.concatenate(y), trees=90, depth=6, rate=0.3, bins=32, l2=2.0, least=2.0)
 
 
 def extract(pages: DataFrame, trees: gbt.Trees | None = None) -> DataFrame:
