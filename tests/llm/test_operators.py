@@ -706,12 +706,27 @@ def test_entropy_of_written_keys_and_prose(spark):
     write = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     keys = [write(a, r.randrange(24, 60)) for a in (low + up + digit, low + up + digit + "+/", up + digit, low + digit) for _ in range(60)]
-    word = lambda: write(low, r.randrange(3, 10))
+    word = lambda: "".join(r.choice("an er on re he in ti es or st en at to nt ou ea la de ment tion al".split()) for _ in range(r.randrange(2, 5)))
     plain = [x for _ in range(60) for x in ("-".join(word() for _ in range(6)), "_".join([word(), write(digit, 4), word(), word(), word()]), f"{word()}/{word()}/{word()}/2024/{word()}/{word()}", word() * 5, "Http" + word().capitalize() + word().capitalize() + word().capitalize(), "=" * 30, "2024-01-02-12-30-45-000-111")]
     found = lambda several: {x.doc_id for x in secrets.find_secrets(table(spark, list(enumerate(f"see {t} there" for t in several)))).collect() if any(s.kind == 3 for s in x.spans)}
     assert len(found(keys)) >= 0.97 * len(keys) and len(found(plain)) == 0
 
 
+def test_random_keys_of_every_class(spark):
+    """Keys of 32 characters of each class: at least 95 in a hundred are found; words in all their spellings are not."""
+    r = random.Random(23)
+    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    classes = {"mixed letters": low + up, "capitals": up, "small letters": low, "capitals, digits, dashes": up + digit + "-", "base 64": low + up + digit + "+/", "base 36": low + digit, "base 32": up + digit, "hex capitals": "0123456789ABCDEF", "all but signs": low + up + digit}
+    words = "market report annual government supplier internationale lieferketten entwicklung procedure gestion informacion desarrollo versicherungsgesellschaft geschwindigkeitsbegrenzung implementation configuration authentication disproportionate quality prices exchange ordinary character".split()
+    forms = (lambda w: "-".join(w), lambda w: "_".join(w).upper(), lambda w: "".join(x.capitalize() for x in w), "".join, lambda w: "/".join([*w, "2024"]), lambda w: "-".join(x.capitalize() for x in w) + "-2024", lambda w: "_".join(w) + "_v2", lambda w: "".join(w).upper(), lambda w: "/".join(w).upper() + "/2024/Q3".upper())
+    rows = [(f"key {c}", "".join(r.choice(a) for _ in range(32))) for c, a in classes.items() for _ in range(200)]
+    rows += [("plain", r.choice(forms)([r.choice(words) for _ in range(r.randrange(3, 6))])) for _ in range(500)]
+    docs = table(spark, [(i, f"see {t} there") for i, (_, t) in enumerate(rows)])
+    found = {x.doc_id for x in secrets.find_secrets(docs).collect() if x.spans}
+    share = {c: sum(i in found for i, (k, _) in enumerate(rows) if k == c) / sum(k == c for k, _ in rows) for c in {k for k, _ in rows}}
+    assert all(s >= 0.95 for c, s in share.items() if c != "plain") and share["plain"] <= 0.01, share
+
+
 def test_long_strings_take_time_in_proportion(spark):
     import time
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,22 @@ WINDOW = 20
 #: Characters of a long candidate that are looked at together, and matches whose places are summed up together.
 PIECE, BLOCK = 1000, 64
 #: Bits a character that the best window of a candidate must reach, by character class. 20 characters hold 4.32 at most.
-BITS = {"hex": 2.9, "upper": 3.4, "lower": 3.4, "mixed": 3.6}
-#: Strings of known harmless forms: UUIDs, slugs of words and numbers, runs of one or two characters, counted-up alphabets, placeholders.
+BITS = {"hex": 2.9, "upper": 3.4, "lower": 3.4, "mixed": 3.6, "letters": 3.2}
+#: Strings of known harmless forms: UUIDs, runs of one or two characters, counted-up alphabets, placeholders.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    # Possessive, so that the longest slug is matched in a loop and not by recursion.
-    r"^(?:(?:[a-z]*+[0-9]*+|[0-9]++[a-z]{1,2}+)(?:[-_+/=]|$))++$",
     r"^(.)\1+$",
     r"^(.{1,4})\1{3,}.{0,3}$",
     r"(?i)example|placeholder|changeme|your[_-]?(token|key|secret)|xxxx|0123456789|abcdefghij|1234567890",
 )
+#: Slugs of words and numbers, of small letters, perhaps with a capital first, or of capitals; possessive, so that a long one is matched in a loop.
+SLUGS = (r"^(?:(?:[A-Z]?+[a-z]*+[0-9]*+|[0-9]++[a-z]{1,2}+)(?:[-_+/=]|$))++$", r"^(?:(?:[A-Z]*+[0-9]*+|[0-9]++[A-Z]{1,2}+)(?:[-_+/=]|$))++$")
+#: Per mille of the letters of running text in English, German, French and Spanish, about (fixed values).
+LETTERS = {"a": 85, "b": 16, "c": 32, "d": 43, "e": 145, "f": 16, "g": 21, "h": 34, "i": 73, "j": 3, "k": 8, "l": 45, "m": 28, "n": 78, "o": 60, "p": 23, "q": 6, "r": 67, "s": 73, "t": 70, "u": 45, "v": 12, "w": 12, "x": 3, "y": 10, "z": 6}
+#: Bits by which a string of letters must look more like even draws than like words.
+UNLIKE = 4.0
+#: Characters that a candidate may hold; a count takes five bits, and twelve counts a number.
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
 def _let(value: Column, body) -> Column:
@@ -74,9 +82,9 @@ def _places(text: Column, pattern: str, ok) -> Column:
 def best_window_bits(s: Column, window: int = WINDOW) -> Column:
     """The greatest Shannon entropy, in bits a character, of any window of the string; 0 if it is shorter than one.
 
-    As the window slides, each step adds one character and takes off one: the sum of n log2 n over the counts changes
-    by these two terms alone. A long string is taken in pieces that overlap by a window, so that no step holds more
-    than a piece of it.
+    The characters' counts are kept as the window slides, each step adds one and takes off one, and the sum of n log2 n
+    over them changes by these two terms alone. A long string is taken in pieces that overlap by a window, so that no
+    step holds more than a piece of it. The string is of SIGNS; a window is of 31 characters at most.
     """
     pieces = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
     return _let(pieces, lambda p: F.coalesce(F.array_max(F.transform(p, lambda x, i: _piece_bits(F.concat(x, F.substring(F.coalesce(F.get(p, i + 1), F.lit("")), 1, window - 1)), window))), F.lit(0.0)))
@@ -84,33 +92,52 @@ def best_window_bits(s: Column, window: int = WINDOW) -> Column:
 
 def _piece_bits(s: Column, window: int) -> Column:
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    shift = lambda way, x, k: F.call_function(way, x, (5 * (k % 12)).cast("int"))
+    one = F.lit(1).cast("long")
+
+    def slid(codes: Column) -> Column:
+        counted = lambda counts, k: shift("shiftright", F.get(counts, F.floor(k / 12).cast("int")), k).bitwiseAND(F.lit(31).cast("long"))
+        added = lambda counts, k, n: F.transform(counts, lambda x, i: F.when(i == F.floor(k / 12), x + n * shift("shiftleft", one, k)).otherwise(x))
 
-    def slid(text: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
-            held = F.substring(text, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
-            into, out = F.substring(text, i + 1, F.lit(1)), F.when(i >= window, F.substring(held, 1, 1)).otherwise(F.lit(""))
-            counted = lambda c: F.length(held) - F.length(F.replace(held, c))
-            up, down = counted(into), counted(out) + F.when(out == into, 1).otherwise(0)
-            total = state["total"] + term(up + 1) - term(up) + F.when(i >= window, term(down - 1) - term(down)).otherwise(F.lit(0.0))
-            bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-            return F.struct(total.alias("total"), F.greatest(state["best"], bits).alias("best"))
+            into, out = F.get(codes, i), F.get(codes, i - window)
+            up = counted(state["counts"], into)
+            total = state["total"] + term(up + 1) - term(up)
+            grown = F.struct(added(state["counts"], into, 1).alias("counts"), total.alias("total"), state["best"].alias("best"))
+
+            def shrunk(g: Column) -> Column:
+                down = counted(g["counts"], out)
+                return F.struct(added(g["counts"], out, -1).alias("counts"), (g["total"] + term(down - 1) - term(down)).alias("total"), g["best"].alias("best"))
+
+            held = _let(grown, lambda g: F.when(i >= window, shrunk(g)).otherwise(g))
+            bits = lambda h: F.when(i >= window - 1, F.log2(F.lit(float(window))) - h["total"] / window).otherwise(F.lit(0.0))
+            return _let(held, lambda h: F.struct(h["counts"], h["total"], F.greatest(h["best"], bits(h)).alias("best")))
+
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), 6).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda state: state["best"])
+
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(SIGNS), c) - 1)
+    return F.when(F.length(s) >= window, _let(codes, slid)).otherwise(F.lit(0.0))
 
-        start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-        return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), start, step, lambda state: state["best"])
 
-    return F.when(F.length(s) >= window, _let(s, slid)).otherwise(F.lit(0.0))
+def unlike_words(s: Column) -> Column:
+    """Bits by which the letters of s look more like even draws from the alphabet than like running text."""
+    weight = F.create_map(*(F.lit(x) for c, n in LETTERS.items() for x in (c, math.log2(1000 / 26 / n))))
+    letters = F.split(F.regexp_replace(F.lower(s), "[^a-z]", ""), "")
+    return F.aggregate(letters, F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(weight, c), F.lit(0.0)))
 
 
 def _secret_like(s: Column) -> Column:
     """Whether a candidate's entropy reaches its class's threshold and no allowed form fits it.
 
-    The classes are hexadecimal, capitals with digits, small letters with digits (base 32 and 36, with - _ + / =
-    too), and small and capital letters with digits; a string that lacks digits or letters is of none, nor is one of
-    capitals and digits with - _ + /. The entropy is computed only for strings of a class.
+    The classes are hexadecimal, capitals with digits, small letters with digits, both with digits, and letters alone,
+    of either case or both; all but the first may hold - _ + / =. Strings of the digit classes are let through if they
+    are slugs; letters alone, unless they look more like even draws than like words. Only strings of digits and signs
+    are of no class. The entropy is computed only for what is left.
     """
     digit, lower, upper = s.rlike("[0-9]"), s.rlike("[a-z]"), s.rlike("[A-Z]")
-    least = F.when(s.rlike("^[0-9a-fA-F]+$") & digit & (lower | upper), BITS["hex"]).when(s.rlike("^[A-Z0-9=]+$") & digit & upper, BITS["upper"]).when(digit & lower & ~upper, BITS["lower"]).when(digit & lower & upper, BITS["mixed"])
-    allowed = F.lit(False)
+    least = F.when(s.rlike("^[0-9a-fA-F]+$") & digit & (lower | upper), BITS["hex"]).when(digit & upper & ~lower, BITS["upper"]).when(digit & lower & ~upper, BITS["lower"]).when(digit & lower & upper, BITS["mixed"]).when(lower | upper, BITS["letters"])
+    allowed = F.when(digit, s.rlike(SLUGS[0]) | s.rlike(SLUGS[1])).otherwise(unlike_words(s) < UNLIKE)
     for form in ALLOW:
         allowed = allowed | s.rlike(form)
     return F.when(least.isNull() | allowed, F.lit(False)).otherwise(best_window_bits(s) >= least)
