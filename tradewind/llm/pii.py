@@ -227,33 +227,60 @@ class Writer:
 
     def phone(self) -> str:
         d = self.digits
-        return self.pick([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)}-{d(3)}-{d(3)}-{d(3)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"0{d(4)}/{d(6)}", f"{d(3)}.{d(3)}.{d(4)}"])
+        return self.pick([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)}-{d(3)}-{d(3)}-{d(3)}", f"({d(3)}) {d(3)}-{d(4)}", f"{self.r.randrange(200, 1000)}-{d(3)}-{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"0{d(4)}/{d(6)}", f"0{d(4)}/{d(6)}", f"0{d(4)}/{d(6)}", f"0{d(3)}/{d(7)}", f"{self.r.randrange(200, 1000)}-{d(3)}-{d(4)}", f"{self.r.randrange(200, 1000)}.{d(3)}.{d(4)}"])
 
     def other(self) -> str:
         d = self.digits
         n = self.r.randrange(1, 8)
-        return self.pick([f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.", f"{d(1)}.{d(1)}.{d(1)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}:{d(2)}", f"{d(2)}/{d(2)}/19{d(2)}", f"${d(n)}.{d(2)}", d(n), f"{d(1)},{d(3)},{d(3)}", f"{d(2)}%", f'token = "{self.r.randbytes(20).hex()}"', self.r.randbytes(16).hex(), f"19{d(2)}-20{d(2)}", f"v{d(1)}", f"@{self.word()}", "@ ", f"#{d(4)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"AKIA{self.r.randbytes(8).hex().upper()}"])
+        return self.pick([f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.", f"{d(1)}.{d(1)}.{d(1)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}:{d(2)}", f"{d(2)}/{d(2)}/19{d(2)}", f"${d(n)}.{d(2)}", d(n), f"{d(1)},{d(3)},{d(3)}", f"{d(2)}%", f'token = "{self.r.randbytes(20).hex()}"', self.r.randbytes(16).hex(), f"19{d(2)}-20{d(2)}", f"v{d(1)}", f"@{self.word()}", "@ ", f"#{d(4)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"AKIA{self.r.randbytes(8).hex().upper()}", self.numbered()])
+
+    def numbered(self) -> str:
+        """A number that is nobody's: of an order, a tax office, an account, a match."""
+        d, f = self.digits, lambda n: str(self.r.randrange(10 ** (n - 1), 10**n))
+        name = self.pick(["order", "Order no.", "invoice", "ref", "Tax", "tax number", "Account", "account no.", "IBAN", "Steuernummer", "commande", "pedido", "case", "serial", "part"])
+        number = self.pick([f"20{d(2)}-{d(6)}-{d(2)}", f"{f(3)}/{d(3)}/{d(5)}", f"{f(4)} {d(4)} {d(4)}", f"{f(2)}-{d(7)}", f"{f(5)}-{d(5)}", f"{f(2)} {d(3)} {d(3)}", f"{f(8)}", f"{f(12)}", f"20{d(2)}/{d(5)}", f"{f(6)}-{d(4)}", f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"])
+        return self.pick([f"{name} {number}", f"{name}: {number}", f"{name} {number}", number, f"{d(1)}-{d(1)}, {d(1)}-{d(1)}, {d(1)}-{d(1)}", f"{d(1)}:{d(1)} ({d(1)}:{d(1)})"])
 
     def window(self) -> tuple[np.ndarray, np.ndarray]:
-        text, tags = self.prose(self.r.randrange(12)), []
-        tags += [0] * len(text)
-        while len(text) < WINDOW + 40:
-            k = self.r.randrange(7)
+        """A window of a long text, or one that begins a text, ends it, or holds it all: what lies behind an end is padding."""
+        place = self.r.random()
+        text = "" if place < 0.25 and self.r.random() < 0.5 else self.prose(self.r.randrange(12))
+        tags = [0] * len(text)
+        size = self.r.randrange(8, WINDOW) if place < 0.15 else WINDOW + 40
+        while True:
+            k = self.pick((0, 1, 2, 3, 3, 3, 4, 5, 6))  # telephone numbers come in most shapes
             piece = getattr(self, KINDS[k])() if k < 4 else self.other()
+            if k == 3 and self.r.random() < 0.3:
+                called = self.pick(["tel ", "Tel.: ", "call ", "phone ", "Fax: ", "mobile "])
+                text, tags = text + called, tags + [0] * len(called)
             text += piece
             tags += [1 + 2 * k] + [2 + 2 * k] * (len(piece) - 1) if k < 4 else [0] * len(piece)
+            if len(text) >= size:
+                break
             between = self.pick([" "] * 6 + [", ", ". ", "\n", "### ", "!! ", ") ", '" ']) + self.prose(self.r.randrange(1, 8))
             text += between
             tags += [0] * len(between)
-        start = self.r.randrange(len(text) - WINDOW)
-        gold = np.array(tags[start : start + WINDOW])
+        if self.r.random() < 0.5:
+            end = self.pick([".", "", "\n", "!", " "]) + (self.prose(self.r.randrange(6)) if self.r.random() < 0.5 else "")
+            text, tags = text + end, tags + [0] * len(end)
+        if place < 0.25:
+            start = 0
+        elif place < 0.5:  # up to the text's end
+            start = max(0, len(text) - self.r.randrange(8, WINDOW + 1))
+        else:
+            start = self.r.randrange(max(1, len(text) - WINDOW))
+        gold, ids = np.zeros(WINDOW, np.int64), np.full(WINDOW, PAD, np.uint8)
+        begin = int(place < 0.25 or start == 0)  # padding before a text's first character, too
+        part = tags[start : start + WINDOW - begin]
+        gold[begin : begin + len(part)] = part
+        ids[begin : begin + len(part)] = char_ids(text[start : start + WINDOW - begin])
         if gold[0] and gold[0] % 2 == 0:
             gold[0] -= 1  # a span that the window cuts begins at its edge
-        return char_ids(text[start : start + WINDOW]), gold
+        return ids, gold
 
 
 @lru_cache(maxsize=2)
-def trained(steps: int = 240, rows: int = 32, seed: int = 11) -> Tagger:
+def trained(steps: int = 540, rows: int = 32, seed: int = 11) -> Tagger:
     """The tagger, trained by Adam on written windows; no table is read, so a process trains it once for any input."""
     tagger, writer = Tagger(), Writer(seed)
     m = {k: np.zeros_like(v) for k, v in tagger.w.items()}
@@ -294,7 +321,8 @@ def _plausible(kind: int, s: str) -> bool:
         return len(parts) == 4 and all(re.fullmatch(r"[0-9]{1,3}", p) and int(p) <= 255 for p in parts) or bool(re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", s))
     if kind == 2:
         return bool(re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", s)) and _card_ok(s)
-    return 9 <= digits <= 15 and bool(re.fullmatch(r"[(+0-9][0-9 ()./-]+[0-9]", s)) and len(re.findall(r"[ ()./-]+", s)) >= 1
+    # With a country's or an area's prefix, or in the groups of North America.
+    return 9 <= digits <= 15 and bool(re.fullmatch(r"(?:[+(]|0(?=.*[ ()./-]))[0-9 ()./-]+[0-9]|[2-9][0-9]{2}([-. ])[0-9]{3}\1[0-9]{4}", s))
 
 
 def reconcile(found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int, int, int]]:
@@ -338,9 +366,12 @@ def reconcile(found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int,
 
 
 def model_spans(tagger: Tagger, several: list[str], rows: int = 512) -> list[list[tuple[int, int, int]]]:
-    """The model's spans of each text, windows of all texts decoded together."""
+    """The model's spans of each text, windows of all texts decoded together; padding stands before a text and behind it."""
+    several = [" " + text for text in several]
     places = [(i, s) for i, text in enumerate(several) for s in _window_starts(text)]
     ids = {i: char_ids(several[i]) for i in {i for i, _ in places}}
+    for own in ids.values():
+        own[0] = PAD
     found: dict[int, list] = {}
     for at in range(0, len(places), rows):
         part = places[at : at + rows]
@@ -366,7 +397,7 @@ def model_spans(tagger: Tagger, several: list[str], rows: int = 512) -> list[lis
             piece = several[i][s:e]
             s, e = s + len(piece) - len(piece.lstrip()), e - (len(piece) - len(piece.rstrip(" .,\n")))
             if _plausible(k, several[i][s:e]):
-                out[i].append((s, k, e))
+                out[i].append((s - 1, k, e - 1))
     return out
 
 
