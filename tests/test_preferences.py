@@ -8,7 +8,7 @@ import pytest
 
 from tradewind import dictionaries as D
 from tradewind.functions.signals import canonical_category, regions
-from tradewind.operators import preferences
+from tradewind.operators import personal, preferences
 from pyspark.sql import functions as F
 
 ARTICLE = "id long, processed_at timestamp, title string, summary string, category string, categories array<string>, suppliers array<string>, supplier_ids array<string>, regions array<string>, priority_signal string, signal_tags array<string>"
@@ -57,9 +57,10 @@ def plain(article, user, canonical, text_regions):
     return (c, s, r, g, c * 0.3 + s * 0.3 + r * 0.2 + g * 0.2)
 
 
-@pytest.mark.parametrize("limit, stretch", [(5, 10_000), (40, 7)])
+@pytest.mark.parametrize("limit, stretch", [(5, 100), (40, 7)])
 def test_feeds(spark, monkeypatch, limit, stretch):
-    monkeypatch.setattr(preferences, "STRETCH", stretch)
+    monkeypatch.setattr(personal, "STRETCH", stretch)
+    monkeypatch.setattr(personal, "FIRST", stretch)
     r = random.Random(limit)
     some = lambda values, most: r.sample(values, r.randrange(most + 1)) if r.random() < 0.6 else r.choice([None, []])
     cats, sups, ids = ["chips", "automotive", "Raw Materials", "general", "odd things"], ["Siemens AG", "bosch", " ABB", "Acme Co."], ["s1", "s2", "s3"]

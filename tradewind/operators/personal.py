@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
 from tradewind.functions.signals import canonical_category, canonical_region
 from tradewind.functions.text import strip
+from tradewind.session import written
 
 EMPTY = "cast(array() as array<string>)"
 
@@ -41,23 +46,54 @@ def overall(category: Column, supplier: Column, region: Column, signal: Column)
     return category * w["category"] + supplier * w["supplier"] + region * w["region"] + signal * w["signal"]
 
 
+def tagged(column: str | Column, kind: str) -> Column:
+    return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
+#: Articles that latest takes at a time after the first few.
+STRETCH, FIRST = 10_000, 100
+
+
+def latest(offers: DataFrame, profiles: DataFrame, exclusions: Sequence[tuple[str, str]]) -> DataFrame:
+    """(profile, id) for profiles without interests, to whom every article that they don't exclude is worth the same:
+
+    the latest, as many as a profile lacks. They are served from one list of the latest articles, a stretch at a time.
+    What a profile excludes of a stretch is found by equality of tags (exclusions names a list of the article and one of
+    the profile each); it takes the first places that are left, and goes on to the next stretch only if it lacks some.
+    So nobody is paired with every article, and a row holds no more than a stretch's places.
+    """
+    rest = profiles.select("profile", F.col("lacks").cast("int").alias("lacks"), *(wish for _, wish in exclusions))
+    tags = lambda of: F.explode(F.concat(*(tagged(names[of], names[0]) for names in exclusions))).alias("tag")
+    newest = [F.desc("processed_at"), F.asc("id")]
+    left, size, found = offers, FIRST, None
+    while True:
+        head = written(left.orderBy(*newest).limit(size).withColumn("place", F.row_number().over(Window.orderBy(*newest))), "latest")
+        n = head.count()
+        hits = head.select("place", tags(0)).join(rest.select("profile", tags(1)), "tag").groupBy("profile").agg(F.collect_set("place").alias("hit"))
+        free = F.array_except(F.sequence(F.lit(1), F.lit(max(n, 1))), F.coalesce("hit", F.expr("cast(array() as array<int>)")))
+        took = written(rest.join(hits, "profile", "left").withColumn("took", F.slice(free, F.lit(1), F.col("lacks")) if n else F.expr("cast(array() as array<int>)")), "took")
+        met = took.select("profile", F.explode("took").alias("place")).join(head.select("place", "id"), "place").select("profile", "id")
+        found = met if found is None else found.unionByName(met)
+        rest = took.withColumn("lacks", F.col("lacks") - F.size("took")).where("lacks > 0").drop("hit", "took")
+        if n < size or rest.isEmpty():
+            return found
+        last = head.where(F.col("place") == n).select("processed_at", "id").first()
+        at = F.lit(last["processed_at"]).cast(offers.schema["processed_at"].dataType)
+        left, size = offers.where((F.col("processed_at") < at) | (F.col("processed_at") == at) & (F.col("id") > last["id"])), STRETCH
+
+
 def candidates(articles: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
     """(key, id) pairs that can be included, by equality on one tag; key names a user or a profile.
 
     A user with category or supplier interests can only get articles that share one; of the rest, those with
     regions ones that share a region, then signals. What an article offers and a user wants is exploded and joined on
-    (kind, value), so no user is paired with every article. Without any interest every article fits: call this with
-    profiles, of which only those that differ in their exclusions are then paired with all.
+    (kind, value), so no user is paired with every article. Users without any interest get none here: see latest.
     """
-    def tagged(column: str, kind: str) -> Column:
-        return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-
     kinds = ("categories", "suppliers", "regions", "signals")
-    every = F.array(F.struct(F.lit("any").alias("kind"), F.lit("").alias("value")))
-    offer = articles.select("id", F.explode(F.concat(every, *(tagged(k, k) for k in kinds))).alias("x")).select("id", "x.*")
+    offer = articles.select("id", F.explode(F.concat(*(tagged(k, k) for k in kinds))).alias("x")).select("id", "x.*")
     pick = lambda k: tagged(f"wanted_{k}", k)
     focus = F.concat(pick("categories"), pick("suppliers"))
-    wish = F.when(F.size(focus) > 0, focus).when(F.size("wanted_regions") > 0, pick("regions")).when(F.size("wanted_signals") > 0, pick("signals")).otherwise(every)
+    wish = F.when(F.size(focus) > 0, focus).when(F.size("wanted_regions") > 0, pick("regions")).otherwise(pick("signals"))
     want = users.select(key, F.explode(wish).alias("x")).select(key, "x.*")
     return offer.join(want, ["kind", "value"]).select(key, "id").distinct()
 
@@ -77,7 +113,10 @@ def ranked_by_profile(articles: DataFrame, users: DataFrame, limit: int | Column
     placed = users.withColumn("profile", F.to_json(F.struct(*(F.sort_array(c).alias(c) for c in WANTED))))
     most = F.lit(limit) if isinstance(limit, int) else limit
     profiles = placed.groupBy("profile").agg(*(F.any_value(c).alias(c) for c in WANTED), F.max(most).alias("_most"))
-    pairs = candidates(articles, profiles, "profile").join(articles, "id").join(profiles, "profile")
+    profiles = written(profiles, "profiles")
+    idle = reduce(and_, (F.size(c) == 0 for c in WANTED if c.startswith("wanted")))
+    met = candidates(articles, profiles.where(~idle), "profile").unionByName(latest(articles, profiles.where(idle).withColumnRenamed("_most", "lacks"), [("suppliers", "excluded_suppliers")]))
+    pairs = met.join(articles, "id").join(profiles, "profile")
     none = F.expr(EMPTY)
     scored = pairs.where(~F.arrays_overlap("suppliers", "excluded_suppliers")).withColumn("rank_score", overall(
         score(F.col("wanted_categories"), none, F.col("categories"), exact=True), score(F.col("wanted_suppliers"), F.col("excluded_suppliers"), F.col("suppliers")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tradewind.functions.signals import canonical_category, expanded, regions
 from tradewind.functions.text import normal, strip
 from tradewind.operators.matching import names_in_texts
-from tradewind.operators.personal import LEAST_SCORE, category_tokens, graded, overall, region_tokens, tokens
+from tradewind.operators.personal import LEAST_SCORE, category_tokens, graded, latest, overall, region_tokens, tagged, tokens
 from tradewind.session import written
 
 WISHES = ("categories", "suppliers", "supplier_ids", "regions", "signals")
@@ -21,6 +21,10 @@ def _none() -> Column:
     return F.expr("cast(array() as array<string>)")
 
 
+#: What an article has and what a profile excludes of it.
+_EXCLUSIONS = (("supplier_ids", "excluded_supplier_ids"), ("suppliers", "excluded_suppliers"), ("categories", "excluded_categories"), ("regions", "excluded_regions"), ("all_terms", "excluded_signals"))
+
+
 def as_profiles(users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(user_id, profile) and one row a profile with its wanted_ and excluded_ tokens and signal terms.
 
@@ -76,21 +80,17 @@ def scores() -> dict[str, Column]:
     return parts | {"rank_score": F.round(overall(*(F.col(c) for c in parts)), 9)}
 
 
-def _tagged(column: str | Column, kind: str) -> Column:
-    return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-
-
 def _pairs(offers: DataFrame, profiles: DataFrame) -> DataFrame:
     """(profile, id) of articles that a profile with interests may include, by equality on one tag.
 
     Category and supplier interests come first, then regions, then signals. An article that resolved to suppliers offers
     their ids alone, else its suppliers' names and those that its text holds.
     """
-    supplier = F.when(F.size("supplier_ids") > 0, _tagged("supplier_ids", "id")).otherwise(_tagged(F.array_union("suppliers", "text_suppliers"), "name"))
-    offer = offers.select("id", F.explode(F.concat(_tagged("categories", "category"), supplier, _tagged("regions", "region"), _tagged("all_terms", "signal"))).alias("x")).select("id", "x.*")
-    focus = F.concat(_tagged("wanted_categories", "category"), _tagged("wanted_suppliers", "name"), _tagged("wanted_supplier_ids", "id"))
+    supplier = F.when(F.size("supplier_ids") > 0, tagged("supplier_ids", "id")).otherwise(tagged(F.array_union("suppliers", "text_suppliers"), "name"))
+    offer = offers.select("id", F.explode(F.concat(tagged("categories", "category"), supplier, tagged("regions", "region"), tagged("all_terms", "signal"))).alias("x")).select("id", "x.*")
+    focus = F.concat(tagged("wanted_categories", "category"), tagged("wanted_suppliers", "name"), tagged("wanted_supplier_ids", "id"))
     focused = (F.size("wanted_categories") > 0) | (F.size("wanted_suppliers") > 0)
-    wish = F.when(focused, focus).when(F.size("wanted_regions") > 0, _tagged("wanted_regions", "region")).otherwise(_tagged("wanted_signals", "signal"))
+    wish = F.when(focused, focus).when(F.size("wanted_regions") > 0, tagged("wanted_regions", "region")).otherwise(tagged("wanted_signals", "signal"))
     want = profiles.select("profile", F.explode(wish).alias("x")).select("profile", "x.*")
     return offer.join(want, ["kind", "value"]).select("profile", "id").distinct()
 
@@ -100,43 +100,6 @@ def _open() -> Column:
     return (F.size("wanted_categories") == 0) & (F.size("wanted_suppliers") == 0) & (F.size("wanted_regions") == 0) & (F.size("wanted_signals") == 0)
 
 
-#: Articles that _latest takes at a time after the first few.
-STRETCH = 10_000
-
-_EXCLUSIONS = (("supplier_ids", "excluded_supplier_ids"), ("suppliers", "excluded_suppliers"), ("categories", "excluded_categories"), ("regions", "excluded_regions"), ("all_terms", "excluded_signals"))
-
-
-def _tags(of: int) -> Column:
-    """One row a value that an exclusion may meet: of the article (0) or of the profile (1)."""
-    return F.explode(F.concat(*(_tagged(names[of], names[0]) for names in _EXCLUSIONS))).alias("tag")
-
-
-def _latest(offers: DataFrame, profiles: DataFrame, limit: int) -> DataFrame:
-    """(profile, id) for profiles without interests, to whom every article that they don't exclude is worth the same:
-
-    the latest `limit`. They are served from one list of the latest articles, a stretch at a time. What a profile excludes
-    of a stretch is found by equality of tags; it takes the first places that are left, and goes on to the next stretch
-    only if it lacks some. So nobody is paired with every article, and a row holds no more than a stretch's places.
-    """
-    rest = profiles.select("profile", F.lit(limit).alias("lacks"), *(wish for _, wish in _EXCLUSIONS))
-    newest = [F.desc("processed_at"), F.asc("id")]
-    left, size, found = offers, 2 * limit, None
-    while True:
-        head = written(left.orderBy(*newest).limit(size).withColumn("place", F.row_number().over(Window.orderBy(*newest))), "latest")
-        n = head.count()
-        hits = head.select("place", _tags(0)).join(rest.select("profile", _tags(1)), "tag").groupBy("profile").agg(F.collect_set("place").alias("hit"))
-        free = F.array_except(F.sequence(F.lit(1), F.lit(max(n, 1))), F.coalesce("hit", F.expr("cast(array() as array<int>)")))
-        took = written(rest.join(hits, "profile", "left").withColumn("took", F.slice(free, F.lit(1), F.col("lacks")) if n else F.expr("cast(array() as array<int>)")), "took")
-        met = took.select("profile", F.explode("took").alias("place")).join(head.select("place", "id"), "place").select("profile", "id")
-        found = met if found is None else found.unionByName(met)
-        rest = took.withColumn("lacks", F.col("lacks") - F.size("took")).where("lacks > 0").drop("hit", "took")
-        if n < size or rest.isEmpty():
-            return found
-        last = head.where(F.col("place") == n).select("processed_at", "id").first()
-        at = F.lit(last["processed_at"]).cast(offers.schema["processed_at"].dataType)
-        left, size = offers.where((F.col("processed_at") < at) | (F.col("processed_at") == at) & (F.col("id") > last["id"])), STRETCH
-
-
 def feeds(articles: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
     """user_id, id, rank, the four matches and rank_score: the best articles of every user.
 
@@ -149,7 +112,7 @@ def feeds(articles: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
     profiles = written(profiles, "profiles")
     offers = written(as_offers(articles, profiles), "offered")
     with_wishes = profiles.where(~_open())
-    pairs = _pairs(offers, with_wishes).unionByName(_latest(offers, profiles.where(_open()), limit))
+    pairs = _pairs(offers, with_wishes).unionByName(latest(offers, profiles.where(_open()).withColumn("lacks", F.lit(limit)), _EXCLUSIONS))
     scored = pairs.join(offers, "id").join(profiles, "profile").where(~excluded())
     for name, column in scores().items():
         scored = scored.withColumn(name, column)
