@@ -72,3 +72,16 @@ def throttled(failures: DataFrame, key: str = "user_id", at: str = "ts", hours:
     left = span - F.timestamp_diff("SECOND", F.min(at).over(frame), F.col(at))
     n = F.count("*").over(frame)
     return failures.withColumns({"n": n, "wait_s": F.when(n >= allowed, F.greatest(F.lit(1).cast("long"), left))})
+
+
+#: Seconds until the next try: of an article that enrichment failed on, of one released by its worker, of a task's first retry.
+ENRICH_RETRY, RELEASE_RETRY, TASK_RETRY = 7200, 60, 60
+
+
+def retry_seconds(stage: Column, attempt: Column) -> Column:
+    """How long the next try waits: normalising backs off from a quarter of an hour to six hours, a task doubles its minute,
+
+    enrichment and release wait the same each time; null for any other stage. attempt counts from one, a task's retries from
+    zero."""
+    doubled = (F.lit(TASK_RETRY) * F.pow(F.lit(2), attempt)).cast("long")
+    return F.when(stage == "normalise", (retry_minutes(attempt) * 60).cast("long")).when(stage == "enrich", F.lit(ENRICH_RETRY)).when(stage == "release", F.lit(RELEASE_RETRY)).when(stage == "task", doubled)

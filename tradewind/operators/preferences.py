@@ -12,6 +12,7 @@ from tradewind.functions.signals import canonical_category, expanded, regions
 from tradewind.functions.text import normal, strip
 from tradewind.operators.matching import names_in_texts
 from tradewind.operators.personal import LEAST_SCORE, category_tokens, graded, latest, overall, region_tokens, tagged, tokens
+from tradewind.operators.supply import re_resolved_lists
 from tradewind.session import written
 
 WISHES = ("categories", "suppliers", "supplier_ids", "regions", "signals")
@@ -119,3 +120,47 @@ def feeds(articles: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
     order = Window.partitionBy("profile").orderBy(F.desc("rank_score"), F.desc("processed_at"), "id")
     best = scored.where(F.col("rank_score") >= LEAST_SCORE).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return placed.join(best, "profile").select("user_id", "id", "rank", "category_match", "supplier_match", "region_match", "signal_match", "rank_score")
+
+
+# ---- saving ----
+
+WANTED_LISTS = ("preferred_categories", "preferred_suppliers", "preferred_regions", "preferred_signals")
+OTHER_EXCLUSIONS = ("excluded_suppliers", "excluded_regions", "excluded_signals")
+
+
+def _canonical_list(values: Column) -> Column:
+    return F.when(values.isNotNull(), F.array_distinct(F.filter(F.transform(F.array_compact(values), canonical_category), lambda v: v != "")))
+
+
+def saved(stored: DataFrame, requests: DataFrame, aliases: DataFrame, suppliers: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """The preferences of every user after requests (user_id, place, the lists, excluded_topics, platform_language).
+
+    stored has user_id, the lists, excluded_topics and platform_language. Requests of a user are applied by place: a list
+    that is null stays as it is, an excluded category list stands for topics too and the other way round, and the
+    language is the last request's, en if blank. A user without preferences gets the first request's, categories and
+    topics standing in for each other where one is empty. Categories are canonical, each once. The ids of preferred
+    and excluded suppliers are resolved anew for those who asked; other users' rows stay, their ids null if they had none.
+    """
+    plain = (*WANTED_LISTS, *OTHER_EXCLUSIONS)
+    every = (*plain, "excluded_categories", "excluded_topics")
+    r = requests.withColumns({c: _canonical_list(F.col(c)) for c in ("preferred_categories", "excluded_categories", "excluded_topics")})
+    r = r.withColumn("_language", F.coalesce(F.nullif(F.lower(F.trim("platform_language")), F.lit("")), F.lit("en")))
+    r = r.join(stored.select("user_id").withColumn("_known", F.lit(True)), "user_id", "left")
+    first = F.col("_known").isNull() & (F.row_number().over(Window.partitionBy("user_id").orderBy("place")) == 1)
+    full = lambda c: F.when(F.size(c) > 0, F.col(c))
+    made = {
+        "excluded_categories": F.when(F.col("_first"), F.coalesce(full("excluded_categories"), full("excluded_topics"), _none())).otherwise(F.coalesce("excluded_categories", "excluded_topics")),
+        "excluded_topics": F.when(F.col("_first"), F.coalesce(full("excluded_topics"), full("excluded_categories"), _none())).otherwise(F.coalesce("excluded_categories", "excluded_topics")),
+    }
+    r = r.withColumn("_first", first).withColumns(made | {c: F.when(F.col("_first"), F.coalesce(c, _none())).otherwise(F.col(c)) for c in plain})
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("place", F.col(c).alias("v"))))["v"]
+    asked = r.groupBy("user_id").agg(*(last(c).alias(f"_{c}") for c in every), last("_language").alias("_new_language"))
+    both = stored.join(asked, "user_id", "full_outer").select("user_id", F.col("_new_language").isNotNull().alias("_asked"), *(F.coalesce(f"_{c}", c).alias(c) for c in every), F.coalesce("_new_language", "platform_language").alias("platform_language"))
+    for names, ids in (("preferred_suppliers", "preferred_supplier_ids"), ("excluded_suppliers", "excluded_supplier_ids")):
+        both = re_resolved_lists(both.withColumn(ids, F.lit(None).cast("array<string>")), "user_id", names, ids, aliases, suppliers, ascii_only).drop("changed").withColumn(ids, F.when(F.col("_asked"), F.col(ids)))
+    return both.drop("_asked")
+
+
+def feeds_left(feed: DataFrame, requests: DataFrame) -> DataFrame:
+    """Feed rows less those of users who saved preferences: their feeds are made anew."""
+    return feed.join(requests.select("user_id").distinct(), "user_id", "left_anti")
