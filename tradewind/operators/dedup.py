@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
+from tradewind.functions.payload import payload_key
 from tradewind.functions.text import strip
 from tradewind.functions.url import canonical, iso_time
 
@@ -40,14 +41,23 @@ def total_order(columns: list[str]) -> list[Column]:
     return [x for c in columns for x in (F.col(c).isNotNull().asc(), F.col(c).asc())]
 
 
-def winners(articles: DataFrame, columns: list[str], canonical_url: str | None = None) -> DataFrame:
-    """One article a fingerprint: the highest authority, then the least in the total order of the columns.
+def winners(articles: DataFrame, columns: list[str], canonical_url: str | None = None, payload: str | None = None) -> DataFrame:
+    """One article a fingerprint: the highest authority, then the least in the total order of the columns and the payload.
 
-    canonical_url names a column with a feed's own canonical URL, which the fingerprint takes before the article's."""
+    canonical_url names a column with a feed's own canonical URL, which the fingerprint takes before the article's;
+    payload one of nested JSON, which decides between articles that agree in all columns, keys in any order. Only the
+    payloads of such articles are put in order text.
+    """
     authority = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in D.AUTHORITY.items() for x in p)), F.col("source_class")), F.lit(0))
     held = articles.withColumn("fingerprint", article_fingerprint(canonical_url))
-    rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy(authority.desc(), *total_order(columns)))
-    return held.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rank = F.rank().over(Window.partitionBy("fingerprint").orderBy(authority.desc(), *total_order(columns)))
+    if payload is None:
+        rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy(authority.desc(), *total_order(columns)))
+        return held.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    best = held.withColumn("_rank", rank).where("_rank = 1").drop("_rank").withColumn("_ties", F.count("*").over(Window.partitionBy("fingerprint")))
+    tied = best.where("_ties > 1").drop("_ties").withColumn("_key", payload_key(payload))
+    first = F.row_number().over(Window.partitionBy("fingerprint").orderBy(*total_order(["_key"])))
+    return best.where("_ties = 1").drop("_ties").unionByName(tied.withColumn("_first", first).where("_first = 1").drop("_first", "_key"))
 
 
 def insert_if_absent(batch: DataFrame, target: DataFrame, key: str, order: list[str]) -> DataFrame:
