@@ -140,26 +140,26 @@ CATEGORY_ALIASES = {
     "oil": "energy", "gas": "energy", "power": "energy", "renewable": "energy", "renewables": "energy", "utility": "energy", "utilities": "energy",
 }
 CATEGORY_KEYWORDS = {
-    "automotive": "automotive auto automobile car cars ev fleet mobility vehicle vehicles",
-    "electronics": "chip chips electronics hardware memory semiconductor semiconductors",
-    "technology": "ai artificial cloud cybersecurity data digital saas software tech technology",
-    "chemicals": "chemical chemicals fertilizer plastics polymer resin",
-    "raw_materials": "commodity commodities material materials raw shortage",
-    "metals_mining": "aluminum copper critical lithium metal metals mineral minerals mining nickel rare steel",
-    "energy": "battery electricity energy gas oil power renewable renewables solar utility wind",
-    "manufacturing": "factory factories industrial industry manufacturing plant production",
-    "logistics": "cargo freight logistics port shipping supply transport transportation warehouse",
-    "packaging": "bottle box container containers pack packaging paper pallet",
-    "construction": "building cement construction infrastructure lumber project",
-    "food_agriculture": "agriculture crop crops farm farming food grain wheat",
-    "pharma_healthcare": "drug healthcare medical medicine pharma pharmaceutical pharmaceuticals",
-    "aerospace_defense": "aerospace aircraft aviation defence defense military",
-    "retail_consumer": "consumer demand retail store stores",
-    "finance": "currency finance financial fx inflation rate rates",
-    "labor": "labor labour strike union wage workforce",
-    "geopolitical": "conflict geopolitical geopolitics military sanctions war",
-    "sustainability": "carbon climate emissions esg sustainability sustainable",
-    "regulatory": "compliance law legal policy regulation regulations regulatory rules sanctions tariff trade",
+    "automotive": ("automotive", "auto", "automobile", "car", "cars", "ev", "fleet", "mobility", "vehicle", "vehicles"),
+    "electronics": ("chip", "chips", "electronics", "hardware", "memory", "semiconductor", "semiconductors"),
+    "technology": ("ai", "artificial", "cloud", "cybersecurity", "data", "digital", "saas", "software", "tech", "technology"),
+    "chemicals": ("chemical", "chemicals", "fertilizer", "plastics", "polymer", "resin"),
+    "raw_materials": ("commodity", "commodities", "material", "materials", "raw", "shortage"),
+    "metals_mining": ("aluminum", "copper", "critical", "lithium", "metal", "metals", "mineral", "minerals", "mining", "nickel", "rare", "steel"),
+    "energy": ("battery", "electricity", "energy", "gas", "oil", "power", "renewable", "renewables", "solar", "utility", "wind"),
+    "manufacturing": ("factory", "factories", "industrial", "industry", "manufacturing", "plant", "production"),
+    "logistics": ("cargo", "freight", "logistics", "port", "shipping", "supply", "transport", "transportation", "warehouse"),
+    "packaging": ("bottle", "box", "container", "containers", "pack", "packaging", "paper", "pallet"),
+    "construction": ("building", "cement", "construction", "infrastructure", "lumber", "project"),
+    "food_agriculture": ("agriculture", "crop", "crops", "farm", "farming", "food", "grain", "wheat"),
+    "pharma_healthcare": ("drug", "healthcare", "medical", "medicine", "pharma", "pharmaceutical", "pharmaceuticals"),
+    "aerospace_defense": ("aerospace", "aircraft", "aviation", "defence", "defense", "military"),
+    "retail_consumer": ("consumer", "demand", "retail", "store", "stores"),
+    "finance": ("currency", "finance", "financial", "fx", "inflation", "rate", "rates"),
+    "labor": ("labor", "labour", "strike", "union", "wage", "workforce"),
+    "geopolitical": ("conflict", "geopolitical", "geopolitics", "military", "sanctions", "war"),
+    "sustainability": ("carbon", "climate", "emissions", "esg", "sustainability", "sustainable"),
+    "regulatory": ("compliance", "law", "legal", "policy", "regulation", "regulations", "regulatory", "rules", "sanctions", "tariff", "trade"),
 }
 
 # Legal forms, letters that no decomposition strips, least derived alias.

@@ -88,7 +88,7 @@ def canonical_category(value: Column) -> Column:
 
     def scored(words: Column) -> Column:
         names = D.CATEGORY_KEYWORDS.items()
-        return F.array_max(F.array(*(F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, k.split())))).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("name")) for i, (c, k) in enumerate(names))))
+        return F.array_max(F.array(*(F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, k)))).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("name")) for i, (c, k) in enumerate(names))))
 
     def named(key: Column) -> Column:
         best = let(let(F.array_distinct(F.split(key, " ")), scored), lambda b: F.when(b["score"] > 0, b["name"]))

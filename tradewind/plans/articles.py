@@ -182,7 +182,7 @@ def category_sql(column: str) -> str:
     key = f"trim(regexp_replace(lower(trim({column})), '[-_\\s]+', ' ', 'g'))"
     words = f"list_distinct(string_split({key}, ' '))"
     alias = "CASE " + key + " " + " ".join(f"WHEN {q(a)} THEN {q(c)}" for a, c in D.CATEGORY_ALIASES.items()) + " END"
-    scored = "[" + ", ".join(f"{{'score': len(list_intersect({words}, {sql_list(k.split())})), 'place': {-i}, 'name': {q(c)}}}" for i, (c, k) in enumerate(D.CATEGORY_KEYWORDS.items())) + "]"
+    scored = "[" + ", ".join(f"{{'score': len(list_intersect({words}, {sql_list(k)})), 'place': {-i}, 'name': {q(c)}}}" for i, (c, k) in enumerate(D.CATEGORY_KEYWORDS.items())) + "]"
     best = f"list_max({scored})"
     return f"CASE WHEN {key} IN ({', '.join(map(q, D.CATEGORIES))}) THEN {key} ELSE coalesce({alias}, CASE WHEN {best}.score > 0 THEN {best}.name END, {key}) END"
 

@@ -15,7 +15,7 @@ from tradewind.sources import registry
 from tradewind.sources.adapters import FX_TICKS, PROCESSED, RAW_ARTICLES, RISK_EVENTS, processed, raw_articles, risk_events
 from tradewind.sources.feeds import clean_quotes
 
-_rows = ", ".join(f"({q(i)}, {q(a)}, {q(k)}, [{', '.join(map(q, d.split()))}], {p}, {n}, CAST({t} AS DOUBLE), {str(on).lower()})" for i, _, _, _, a, k, d, _, p, n, _, t, on in registry.CATALOG)
+_rows = ", ".join(f"({q(i)}, {q(a)}, {q(k)}, [{', '.join(map(q, d))}], {p}, {n}, CAST({t} AS DOUBLE), {str(on).lower()})" for i, _, _, _, a, k, d, _, p, n, _, t, on in registry.CATALOG)
 CATALOG = f"catalog(source_id, adapter, source_class, domains, poll_minutes, item_limit, trust_seed, enabled) AS (VALUES {_rows})"
 _domains = ", ".join(f"({q(d)})" for d in registry.DOMAINS)
 

@@ -14,22 +14,22 @@ CLASSES = ("official", "established_media", "industry")
 
 # The catalogue. id, name, homepage, endpoint, adapter, class, domains, countries, poll minutes, item limit, hosts, trust, enabled.
 CATALOG = (
-    ("eu_commission_press", "European Commission Press Corner", "https://ec.europa.eu/commission/presscorner/home/en", "https://ec.europa.eu/commission/presscorner/api/rss?language=en", "rss", "official", "commodities europe_business logistics regulation sanctions supplier_risk", "eu", 60, 50, "ec.europa.eu", 0.95, True),
-    ("eu_council_press", "Council of the EU Press Releases", "https://www.consilium.europa.eu/en/press/press-releases/", "https://www.consilium.europa.eu/en/press/press-releases/?rss=true", "rss", "official", "europe_business regulation sanctions", "eu", 60, 50, "www.consilium.europa.eu", 0.95, False),
-    ("ecb_press", "European Central Bank Press", "https://www.ecb.europa.eu/press/html/index.en.html", "https://www.ecb.europa.eu/rss/press.html", "rss", "official", "europe_business fx regulation", "eu", 60, 50, "www.ecb.europa.eu", 0.95, True),
-    ("eu_financial_sanctions", "EU Consolidated Financial Sanctions List", "https://webgate.ec.europa.eu/fsd/fsf/", "https://webgate.ec.europa.eu/fsd/fsf/public/files/xmlFullSanctionsList_1_1/content", "structured_sanctions", "official", "sanctions supplier_risk", "eu", 1440, 100, "webgate.ec.europa.eu", 1.0, True),
-    ("eurostat_updates", "Eurostat Data Updates", "https://ec.europa.eu/eurostat/", "https://ec.europa.eu/eurostat/api/dissemination/catalogue/rss/en/statistics-update.rss", "rss", "official", "commodities europe_business logistics supplier_risk", "eu", 720, 50, "ec.europa.eu", 0.9, True),
-    ("freightwaves", "FreightWaves", "https://www.freightwaves.com/", "https://www.freightwaves.com/feed", "rss", "industry", "logistics supplier_risk", "us", 60, 50, "www.freightwaves.com", 0.72, False),
-    ("mining_com", "MINING.COM", "https://www.mining.com/", "https://www.mining.com/feed/", "rss", "industry", "commodities supplier_risk", "ca", 60, 50, "www.mining.com", 0.72, True),
-    ("oilprice", "Oilprice.com", "https://oilprice.com/", "https://oilprice.com/rss/main", "rss", "industry", "commodities logistics supplier_risk", "gb", 60, 50, "oilprice.com", 0.68, True),
-    ("supply_chain_dive", "Supply Chain Dive", "https://www.supplychaindive.com/", "https://www.supplychaindive.com/feeds/news/", "rss", "industry", "europe_business logistics supplier_risk", "us", 60, 50, "www.supplychaindive.com", 0.72, True),
-    ("dw_business", "Deutsche Welle Business", "https://www.dw.com/en/business/s-1431", "https://rss.dw.com/rdf/rss-en-bus", "rss", "established_media", "commodities europe_business regulation supplier_risk", "de", 60, 50, "rss.dw.com", 0.82, True),
+    ("eu_commission_press", "European Commission Press Corner", "https://ec.europa.eu/commission/presscorner/home/en", "https://ec.europa.eu/commission/presscorner/api/rss?language=en", "rss", "official", ("commodities", "europe_business", "logistics", "regulation", "sanctions", "supplier_risk"), "eu", 60, 50, "ec.europa.eu", 0.95, True),
+    ("eu_council_press", "Council of the EU Press Releases", "https://www.consilium.europa.eu/en/press/press-releases/", "https://www.consilium.europa.eu/en/press/press-releases/?rss=true", "rss", "official", ("europe_business", "regulation", "sanctions"), "eu", 60, 50, "www.consilium.europa.eu", 0.95, False),
+    ("ecb_press", "European Central Bank Press", "https://www.ecb.europa.eu/press/html/index.en.html", "https://www.ecb.europa.eu/rss/press.html", "rss", "official", ("europe_business", "fx", "regulation"), "eu", 60, 50, "www.ecb.europa.eu", 0.95, True),
+    ("eu_financial_sanctions", "EU Consolidated Financial Sanctions List", "https://webgate.ec.europa.eu/fsd/fsf/", "https://webgate.ec.europa.eu/fsd/fsf/public/files/xmlFullSanctionsList_1_1/content", "structured_sanctions", "official", ("sanctions", "supplier_risk"), "eu", 1440, 100, "webgate.ec.europa.eu", 1.0, True),
+    ("eurostat_updates", "Eurostat Data Updates", "https://ec.europa.eu/eurostat/", "https://ec.europa.eu/eurostat/api/dissemination/catalogue/rss/en/statistics-update.rss", "rss", "official", ("commodities", "europe_business", "logistics", "supplier_risk"), "eu", 720, 50, "ec.europa.eu", 0.9, True),
+    ("freightwaves", "FreightWaves", "https://www.freightwaves.com/", "https://www.freightwaves.com/feed", "rss", "industry", ("logistics", "supplier_risk"), "us", 60, 50, "www.freightwaves.com", 0.72, False),
+    ("mining_com", "MINING.COM", "https://www.mining.com/", "https://www.mining.com/feed/", "rss", "industry", ("commodities", "supplier_risk"), "ca", 60, 50, "www.mining.com", 0.72, True),
+    ("oilprice", "Oilprice.com", "https://oilprice.com/", "https://oilprice.com/rss/main", "rss", "industry", ("commodities", "logistics", "supplier_risk"), "gb", 60, 50, "oilprice.com", 0.68, True),
+    ("supply_chain_dive", "Supply Chain Dive", "https://www.supplychaindive.com/", "https://www.supplychaindive.com/feeds/news/", "rss", "industry", ("europe_business", "logistics", "supplier_risk"), "us", 60, 50, "www.supplychaindive.com", 0.72, True),
+    ("dw_business", "Deutsche Welle Business", "https://www.dw.com/en/business/s-1431", "https://rss.dw.com/rdf/rss-en-bus", "rss", "established_media", ("commodities", "europe_business", "regulation", "supplier_risk"), "de", 60, 50, "rss.dw.com", 0.82, True),
 )
 
 
 def catalog(spark: SparkSession) -> DataFrame:
     types = ["application/rss+xml", "application/xml", "text/xml"]
-    rows = [(i, name, home, end, adapter, kind, domains.split(), [country], ["en"], poll, limit, types[1:] if adapter != "rss" else types, [host], trust, "Public feed; keep attribution and links.", on) for i, name, home, end, adapter, kind, domains, country, poll, limit, host, trust, on in CATALOG]
+    rows = [(i, name, home, end, adapter, kind, list(domains), [country], ["en"], poll, limit, types[1:] if adapter != "rss" else types, [host], trust, "Public feed; keep attribution and links.", on) for i, name, home, end, adapter, kind, domains, country, poll, limit, host, trust, on in CATALOG]
     return spark.createDataFrame(rows, SCHEMA)
 
 
