@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
-from tradewind.functions.text import contains_any, let, normal, quoted, strip, union_distinct
+from tradewind.functions.text import contains_any, let, normal, phrases_in, quoted, strip, union_distinct
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -54,16 +54,10 @@ def canonical_tags(values: Column) -> Column:
 
 
 def regions(text: Column) -> Column:
-    """Canonical regions whose alias stands in the text between non-letters, in dictionary order.
-
-    An alias's pattern runs only over texts that hold it.
-    """
-
-    def found(low: Column) -> Column:
-        one = lambda a: F.contains(low, F.lit(a)) & low.rlike(f"(?<![a-z]){quoted(a)}(?![a-z])")
-        return F.array_distinct(F.array_compact(F.array(*(F.when(one(a), c) for a, c in D.REGION_ALIASES.items()))))
-
-    return let(F.lower(F.coalesce(text, F.lit(""))), found)
+    """Canonical regions whose alias stands in the text between non-letters, in dictionary order; one pass for all aliases."""
+    known = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(c).alias("region")) for a, c in D.REGION_ALIASES.items()))
+    named = lambda found: F.array_distinct(F.transform(F.filter(known, lambda k: F.array_contains(found, k["alias"])), lambda k: k["region"]))
+    return let(phrases_in(F.lower(F.coalesce(text, F.lit(""))), D.REGION_ALIASES, "a-z"), named)
 
 
 def canonical_region(value: Column) -> Column:

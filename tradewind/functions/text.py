@@ -49,6 +49,35 @@ def has_phrase(c: Column, terms: Iterable[str]) -> Column:
     return let(c, lambda t: contains_any(t, terms) & t.rlike(f"(?<![a-z0-9])(?:{alternation(terms)})(?![a-z0-9])"))
 
 
+def phrases_in(low: Column, terms: Iterable[str], letters: str = "0-9a-z") -> Column:
+    """Which of the terms stand in a text in lower case with none of the letters at either side, in any order.
+
+    The text is cut at its words (runs of letters, or one character beyond ASCII) once, and only where a word begins
+    some term are that word's few terms compared: one pass for a whole dictionary, in place of a search for each term.
+    Terms are in lower case and begin with a word.
+    """
+    starts = rf"(?<![{letters}])(?=[{letters}])|(?=[^\x00-\x7f])"
+    first = rf"^(?:[{letters}]+|[^\x00-\x7f])"
+    by_word: dict[str, list[str]] = {}
+    for t in sorted(set(terms)):
+        by_word.setdefault(re.match(first, t)[0], []).append(t)
+    longest = max(len(re.split(starts, t)) for ts in by_word.values() for t in ts)
+    table = F.create_map(*(x for w, ts in by_word.items() for x in (F.lit(w), F.array(*map(F.lit, ts)))))
+    word = lambda piece: F.regexp_extract(piece, first, 0)
+
+    def found(parts: Column) -> Column:
+        places = F.filter(F.transform(parts, lambda x, i: F.when(word(x).isin(*by_word), i)), lambda i: i.isNotNull())
+
+        def here(i: Column) -> Column:
+            tail = F.array_join(F.slice(parts, i + 1, F.lit(longest + 1)), "")
+            fits = lambda tail: F.filter(F.try_element_at(table, word(tail)), lambda t: tail.startswith(t) & ~F.substring(tail, F.length(t) + 1, F.lit(1)).rlike(f"[{letters}]"))
+            return let(tail, fits)
+
+        return F.array_distinct(F.flatten(F.transform(places, here)))
+
+    return let(F.split(low, starts), found)
+
+
 def names(text: Column, name: Column, least: int = 3) -> Column:
     """Whether the text holds the name, case aside, with no letter a-z or digit at either side; a shorter name never counts."""
     n = F.lower(strip(F.coalesce(name, F.lit(""))))

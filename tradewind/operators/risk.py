@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind import dictionaries as D
 from tradewind.functions.signals import canonical_region, regions
-from tradewind.functions.text import contains_any, distinct_ignoring_case, has_phrase, normal, strip
+from tradewind.functions.text import contains_any, distinct_ignoring_case, normal, phrases_in, strip
 
 
 def article_text(*parts: Column) -> Column:
@@ -57,17 +57,19 @@ def detect(articles: DataFrame) -> DataFrame:
     """One row an article and risk type it shows.
 
     Needs id, text, signal_values (array), priority_signal, detected_suppliers, detected_regions and categories (arrays).
-    Every pattern is a literal, made once; conservative types need their exact phrase in the text, the geopolitical
-    pair an action term besides, and of that pair the stronger event stays.
+    The terms of all types are looked up in one pass over the text; conservative types need their exact phrase in it, the
+    geopolitical pair an action term besides, and of that pair the stronger event stays.
     """
-    n = articles.withColumns({"_norm": normal(F.col("text")), "_terms": article_terms(F.col("signal_values")), "_low": F.lower("text")})
-    n = n.withColumns({"_action": _overlaps(F.col("_terms"), ACTION_TERMS) | has_phrase(F.col("_norm"), [t for t in ACTION_TERMS if len(t) >= 3]), "_override": contains_any(F.col("_low"), D.SEVERITY_OVERRIDE_WORDS)})
+    kinds = {kind: (text_terms(kind) if kind in D.RISK_EXACT_PHRASES else {t for t in text_terms(kind) if len(t) >= 3}) for kind in D.RISK_TYPE_ORDER}
+    actions = {t for t in ACTION_TERMS if len(t) >= 3}
+    n = articles.withColumns({"_terms": article_terms(F.col("signal_values")), "_low": F.lower("text"), "_said": phrases_in(normal(F.col("text")), set().union(actions, *kinds.values()))})
+    n = n.withColumns({"_action": _overlaps(F.col("_terms"), ACTION_TERMS) | _overlaps(F.col("_said"), frozenset(actions)), "_override": contains_any(F.col("_low"), D.SEVERITY_OVERRIDE_WORDS)})
     extra = F.when(F.coalesce("priority_signal", F.lit("")) != "", 0.05).otherwise(0.0), F.when(F.size("detected_suppliers") > 0, 0.03).otherwise(0.0), F.when(F.size("detected_regions") > 0, 0.02).otherwise(0.0)
     found = []
     for place, kind in enumerate(D.RISK_TYPE_ORDER):
         terms = text_terms(kind)
         exact = kind in D.RISK_EXACT_PHRASES
-        in_text = has_phrase(F.col("_norm"), terms if exact else [t for t in terms if len(t) >= 3])
+        in_text = _overlaps(F.col("_said"), frozenset(kinds[kind]))
         meta = _overlaps(F.col("_terms"), D.risk_terms(kind))
         meta = meta & in_text if exact else meta
         hit = in_text | meta
