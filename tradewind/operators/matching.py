@@ -57,20 +57,19 @@ def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
     """
     keyed = keyed_names(names)
     longest = keyed.agg(F.max("size")).first()[0] or 1
-    parts = F.col("parts")
-    place = F.transform(
-        parts,
-        lambda x, i: F.struct(
-            F.regexp_extract(x, _WORD, 0).alias("word"),
-            F.when(i > 0, F.get(parts, i - 1)).otherwise("").alias("before"),
-            F.slice(parts, i + 1, F.lit(longest + 1)).alias("there"),
-        ),
-    )
-    at = texts.select("id", pieces(F.lower(F.coalesce("text", F.lit("")))).alias("parts")).select("id", F.explode(place).alias("p")).select("id", "p.word", "p.before", "p.there")
+    cut = texts.select("id", pieces(F.lower(F.coalesce("text", F.lit("")))).alias("parts")).withColumn("words", F.transform("parts", lambda x: F.regexp_extract(x, _WORD, 0)))
+    parts, words = F.col("parts"), F.col("words")
+
+    def place(x: Column, i: Column) -> Column:
+        """What stands at a piece: its word, the stretches up to each of the next words, and a few characters around."""
+        upto = lambda k: F.concat(_joined(parts, i + 1, k - 1), F.get(words, i + k - 1)) if k > 1 else F.get(words, i)
+        whole = F.when(i + KEY_PIECES <= F.size(parts), F.concat(F.lit("+"), _joined(parts, i + 1, KEY_PIECES)))
+        before = F.when(i > 0, F.get(parts, i - 1)).otherwise("")
+        return F.struct(F.get(words, i).alias("word"), before.alias("before"), _joined(parts, i + 1, longest + 1).alias("tail"), F.array(*(upto(k) for k in range(1, KEY_PIECES + 1)), whole).alias("keys"))
+
+    at = cut.select("id", F.explode(F.transform(parts, place)).alias("p")).select("id", "p.*")
     at = at.where("word <> ''").join(keyed.select("word").distinct(), "word", "left_semi")
-    stretch = lambda k: F.when(F.size("there") >= k, _joined(F.col("there"), F.lit(1), k))
-    keys = F.array(*(_core(stretch(k)) for k in range(1, KEY_PIECES + 1)), F.concat(F.lit("+"), stretch(KEY_PIECES)))
-    at = at.select("id", "before", F.array_join("there", "").alias("tail"), F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
+    at = at.select("id", "before", "tail", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
     met = at.join(keyed.select("name_id", "key", "lead", "body"), "key")
     here = F.startswith("tail", "body") & ~F.expr("substr(tail, length(body) + 1, 1)").rlike("[0-9a-z]")
     ahead = F.endswith("before", "lead") & ~F.expr("substr(before, greatest(length(before) - length(lead), 1), case when length(before) > length(lead) then 1 else 0 end)").rlike("[0-9a-z]")
