@@ -88,6 +88,19 @@ def test_long_sequences():
     assert all(len(x) == 0 for x in runs.runs([np.arange(30_000), np.zeros(0, np.int64)])) and all(len(x) == 0 for x in runs.runs([]))
 
 
+def test_recurring():
+    r = random.Random(4)
+    for _ in range(300):
+        texts = [np.array(sequence(r, n) if (n := r.randrange(14)) else [], np.int64) for _ in range(r.randrange(5))]
+        if r.random() < 0.3:
+            texts = [np.arange(len(t)) for t in texts]
+        found = np.concatenate([np.zeros(0, np.int64), *texts])
+        starts = np.cumsum([0, *map(len, texts)])
+        for width in (1, 3, 5):
+            grams = [[tuple(t[i : i + width]) for i in range(len(t) - width + 1)] for t in texts]
+            assert runs.recurring(found, starts, width).tolist() == [len(set(g)) < len(g) for g in grams]
+
+
 def expected(doc_id, text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     if doc_id is not None and w and (h := zlib.crc32(str(doc_id).encode())) % 10 == 0:

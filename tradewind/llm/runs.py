@@ -289,6 +289,8 @@ def recurring(found: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
         if k:
             left = left[left + k < starts[owner[left] + 1]]
             name = before[np.searchsorted(kept, left)] * (int(found.max(initial=0)) + 1) + found[left + k]
+        if not len(left):
+            break
         order = np.argsort(name, kind="stable")
         key = name[order]
         same = np.r_[False, key[1:] == key[:-1]]
