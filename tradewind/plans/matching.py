@@ -41,20 +41,20 @@ _flat = f"translate(lower(trim(name)), '{_letters}', {' || '.join(f'chr({1 + k i
 
 @query(f"""lines AS (SELECT doc_id, array_to_string(list_slice(string_split(string_split(text, chr(10))[1], ' '), 1, 1 + doc_id % 3), ' ') AS name FROM documents WHERE text IS NOT NULL),
 companies AS (SELECT doc_id AS company_id, name FROM lines WHERE doc_id % 2 = 0),
-asked AS (SELECT doc_id AS request_id, CASE WHEN doc_id % 5 = 0 THEN upper(name) WHEN doc_id % 5 < 3 THEN substr(name, 1, CAST(doc_id % 7 AS BIGINT)) || 'x' || substr(name, CAST(doc_id % 7 AS BIGINT) + 3) ELSE name END AS name FROM lines),
+asked AS (SELECT doc_id AS request_id, CASE WHEN doc_id % 5 = 0 THEN translate(name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 5 < 3 THEN substr(name, 1, CAST(doc_id % 7 AS BIGINT)) || 'x' || substr(name, CAST(doc_id % 7 AS BIGINT) + 3) ELSE name END AS name FROM lines),
 known AS (SELECT lower(trim(name)) AS low, {_flat} AS flat, arg_min(name, company_id) AS company_name, min(company_id) AS company_id FROM companies WHERE trim(name) <> '' GROUP BY 1, 2),
 wanted AS (SELECT DISTINCT lower(trim(name)) AS low, {_flat} AS flat FROM asked WHERE trim(name) <> ''),
 near AS (SELECT w.low, k.low AS other, company_id, company_name, CAST(1 AS DOUBLE) - CAST(levenshtein(w.flat, k.flat) AS DOUBLE) / greatest(length(w.low), length(k.low)) AS ratio FROM wanted w JOIN known k ON abs(length(w.low) - length(k.low)) * 4 <= greatest(length(w.low), length(k.low)) AND levenshtein(w.flat, k.flat) * 4 <= greatest(length(w.low), length(k.low))),
 best AS (SELECT low, company_id, company_name, round(ratio, 6) AS confidence FROM near QUALIFY row_number() OVER (PARTITION BY low ORDER BY ratio DESC, other) = 1)""",
 sql="SELECT request_id, b.company_id, b.company_name, b.confidence FROM asked a LEFT JOIN best b ON lower(trim(a.name)) = b.low")
 def fuzzy_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A company name a document, as written, in capitals or with characters changed, resolved against every second one's."""
+    """A company name a document, as written, in capitals (A to Z) or with characters changed, resolved against every second one's."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     words = F.split(F.element_at(F.split("text", "\n"), 1), " ")
     k = F.col("doc_id")
     lines = docs.select("doc_id", F.array_join(F.slice(words, F.lit(1), (1 + k % 3).cast("int")), " ").alias("name"))
     changed = F.expr("concat(substr(name, 1, cast(doc_id % 7 as int)), 'x', substr(name, cast(doc_id % 7 as int) + 3))")
-    asked = lines.select(k.alias("request_id"), F.when(k % 5 == 0, F.upper("name")).when(k % 5 < 3, changed).otherwise(F.col("name")).alias("name"))
+    asked = lines.select(k.alias("request_id"), F.when(k % 5 == 0, F.translate("name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(k % 5 < 3, changed).otherwise(F.col("name")).alias("name"))
     companies = lines.where(k % 2 == 0).select(k.alias("company_id"), "name")
     return fuzzy.resolve_names(asked, companies).select("request_id", "company_id", "company_name", "confidence")
 
