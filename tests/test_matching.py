@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from tradewind.operators import matching
 
 
@@ -33,7 +35,9 @@ NAMES = [
 ]
 
 
-def test_names_of_any_shape(spark):
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_names_of_any_shape(spark, monkeypatch, sent):
+    monkeypatch.setattr(matching, "SENT", sent)
     want = plain(TEXTS, NAMES)
     assert found(spark, TEXTS, NAMES) == want
     assert want[1, 1] == 3 and (3, 6) in want and want[3, 8] == 2 and want[9, 19] == 3 and (5, 13) in want and (4, 11) in want

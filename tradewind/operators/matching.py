@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.text import strip
+from tradewind.session import written
 
 #: Pieces of a name that its key holds; the rest of a longer name is compared behind the join.
 KEY_PIECES = 4
 LEAST_CHARS = 3
+#: Names, of some hundred bytes each, that are sent to every task.
+SENT = 200_000
 
 #: A piece is a run of a-z and digits, or one character beyond ASCII, with what stands up to the next.
 _SPLIT = r"(?<![0-9a-z])(?=[0-9a-z])|(?=[^\x00-\x7f])"
@@ -51,12 +54,13 @@ def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
     name go first; each of the others goes to the join with the stretches of one to KEY_PIECES pieces that begin there, so
     only a name that stands there, or begins with the same pieces, is met, and the check is on the place's own few
     characters: no text travels, none is paired with a name that it lacks, and a frequent first word multiplies nothing.
-    Both joins are equalities that Spark sends to the tasks or shuffles by their size. The longest name's length, taken
-    by one job over the names, bounds what a place carries. Null texts and names hold nothing; repeated names of one
+    The names are written aside and counted: up to SENT of them go to every task, and no text is shuffled; of a larger
+    table both joins shuffle by their keys. The longest name's length bounds what a place carries. Null texts and names hold nothing; repeated names of one
     name_id count each.
     """
-    keyed = keyed_names(names)
-    longest = keyed.agg(F.max("size")).first()[0] or 1
+    keyed = written(keyed_names(names), "names")
+    longest, several = keyed.agg(F.coalesce(F.max("size"), F.lit(1)), F.count("*")).first()
+    sent = F.broadcast if several <= SENT else lambda side: side
     cut = texts.select("id", pieces(F.lower(F.coalesce("text", F.lit("")))).alias("parts")).withColumn("words", F.transform("parts", lambda x: F.regexp_extract(x, _WORD, 0)))
     parts, words = F.col("parts"), F.col("words")
 
@@ -68,9 +72,9 @@ def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
         return F.struct(F.get(words, i).alias("word"), before.alias("before"), _joined(parts, i + 1, longest + 1).alias("tail"), F.array(*(upto(k) for k in range(1, KEY_PIECES + 1)), whole).alias("keys"))
 
     at = cut.select("id", F.explode(F.transform(parts, place)).alias("p")).select("id", "p.*")
-    at = at.where("word <> ''").join(keyed.select("word").distinct(), "word", "left_semi")
+    at = at.where("word <> ''").join(sent(keyed.select("word").distinct()), "word", "left_semi")
     at = at.select("id", "before", "tail", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
-    met = at.join(keyed.select("name_id", "key", "lead", "body"), "key")
+    met = at.join(sent(keyed.select("name_id", "key", "lead", "body")), "key")
     here = F.startswith("tail", "body") & ~F.expr("substr(tail, length(body) + 1, 1)").rlike("[0-9a-z]")
     ahead = F.endswith("before", "lead") & ~F.expr("substr(before, greatest(length(before) - length(lead), 1), case when length(before) > length(lead) then 1 else 0 end)").rlike("[0-9a-z]")
     return met.where(here & ahead).groupBy("id", "name_id").agg(F.count("*").alias("n"))

@@ -16,15 +16,16 @@ from tradewind.session import spread, table
 from tradewind.sources.adapters import PROCESSED, REGION_PICK, SIGNAL_PICK, SUPPLIERS, processed, suppliers
 
 NAMES = """names AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS name_id, array_to_string(list_slice(string_split(string_split(text, chr(10))[1], ' '), 1, 1 + doc_id % 6), ' ') AS name FROM documents WHERE text IS NOT NULL UNION ALL SELECT public_id, canonical_name FROM suppliers),
-looked AS (SELECT name_id, lower(trim(name, ' ' || chr(9) || chr(13))) AS low FROM names)"""
+looked AS (SELECT min(name_id) AS name_id, lower(trim(name, ' ' || chr(9) || chr(13))) AS low FROM names GROUP BY ALL)"""
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name a document, the first one to six words of its first line, and every supplier's."""
+    """A name a document, the first one to six words of its first line, and every supplier's; equal names once, under the least id."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     words = F.split(F.element_at(F.split("text", "\n"), 1), " ")
     own = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name_id"), F.array_join(F.slice(words, F.lit(1), (1 + F.col("doc_id") % 6).cast("int")), " ").alias("name"))
-    return own.unionByName(suppliers(spark, sf_dir).select(F.col("public_id").alias("name_id"), F.col("canonical_name").alias("name")))
+    both = own.unionByName(suppliers(spark, sf_dir).select(F.col("public_id").alias("name_id"), F.col("canonical_name").alias("name")))
+    return both.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("name_id").alias("name_id"))
 
 
 @query(SUPPLIERS, NAMES, sql="SELECT doc_id AS id, name_id FROM documents JOIN looked ON length(low) >= 3 AND regexp_matches(low, '[0-9a-z]|[^\\x00-\\x7f]') AND contains(lower(text), low) AND regexp_matches(lower(text), '(^|[^0-9a-z])' || regexp_escape(low) || '([^0-9a-z]|$)')")
