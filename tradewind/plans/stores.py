@@ -15,7 +15,7 @@ from tradewind.plans import articles as A
 from tradewind.plans import relations as R
 from tradewind.plans.articles import q
 from tradewind.plans.registry import query
-from tradewind.session import table
+from tradewind.session import table, written
 from tradewind.sources.adapters import MENTIONS, PROCESSED, RAW_ARTICLES, SUPPLIERS, mentions, processed, raw_articles, suppliers
 
 JAN15 = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -218,9 +218,8 @@ def signal_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RAW_ARTICLES, A.SIGNALS, sql="SELECT id, signal_type, severity, count(*) OVER () AS total FROM signals WHERE severity IN ('high', 'critical') ORDER BY id, signal_type LIMIT 20 OFFSET 10")
 def signal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of strong signals, with how many there are."""
-    strong = A.classified(spark, sf_dir).where(F.col("severity").isin("high", "critical")).select("id", "signal_type", "severity")
-    total = strong.agg(F.count("*").alias("total"))
-    return strong.orderBy("id", "signal_type").offset(10).limit(20).crossJoin(F.broadcast(total))
+    strong = written(A.classified(spark, sf_dir).where(F.col("severity").isin("high", "critical")).select("id", "signal_type", "severity"), "signals")
+    return strong.orderBy("id", "signal_type").offset(10).limit(20).withColumn("total", F.lit(strong.count()).cast("long"))
 
 
 @query(sql="SELECT l_orderkey AS signal_id, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) FILTER (l_linestatus = 'O') AS acknowledged_by, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) FILTER (l_linestatus = 'F') AS note FROM lineitem GROUP BY 1")

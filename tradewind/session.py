@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import lru_cache
@@ -31,8 +32,22 @@ def spread(df: DataFrame, below: int = 64_000_000) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if size < below else df
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _scratch:
+        try:
+            if spark.sparkContext._jsc is not None:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may be gone; the shared folder is cleaned with the application
+            return
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir.
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir, deleted when the application ends.
 
     Where it is unset, a session whose executors are the driver's own threads gets a folder of this machine; any other
     must set it.
@@ -42,7 +57,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = _own_folder()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
 
 
 @lru_cache(maxsize=1)
