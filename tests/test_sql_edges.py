@@ -22,3 +22,10 @@ def test_seconds_to_wait_are_rounded(spark, tmp_path):
     rows = [(3 * k + i, k, "error", at + timedelta(seconds=60 * i, microseconds=m if i == 2 else 0)) for k, m in enumerate((0, 499_999, 500_000, 500_001, 999_999)) for i in range(3)]
     got, want = both(spark, tmp_path, "failure_throttle", events=(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz"))
     assert got == want and [x[3] for x in got if x[3]] == [7080, 7080, 7080, 7079, 7079]
+
+
+def test_names_end_before_letters_beyond_ascii(spark, tmp_path):
+    texts = ["Kraft Coût de la vie", "Muster\vWerk AG", "ÉAcme Group", "Acme Corp. x", "Acme Corp.x", "Café SA", "Foo  Bar\tLtd.é"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts, 24)]
+    got, want = both(spark, tmp_path, "supplier_extraction", documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert got == want and got[0][1].endswith("Kraft Co")

@@ -64,12 +64,20 @@ def canonical_region(value: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(D.REGION_ALIASES), F.lower(strip(value))), strip(value))
 
 
-def suppliers(text: Column) -> Column:
-    """Known suppliers, longest name first and then by name, and names that end in a company suffix, each once."""
+#: COMPANY_SUFFIX with letters, digits and white space of ASCII alone at a word's edges and between words.
+_edge = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+_ASCII_SUFFIX = D.COMPANY_SUFFIX.replace(r"\b", _edge).replace(r"\s", r"[\t\n\f\r ]")
+
+
+def suppliers(text: Column, ascii_only: bool = False) -> Column:
+    """Known suppliers, longest name first and then by name, and names that end in a company suffix, each once.
+
+    With ascii_only a letter beyond ASCII ends a word, as in SQL's patterns; else it belongs to it."""
+    suffix = _ASCII_SUFFIX if ascii_only else D.COMPANY_SUFFIX
     text = F.coalesce(text, F.lit(""))
     known = sorted(D.KNOWN_SUPPLIERS, key=lambda s: (-len(s), s))
     found = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(s)) & text.rlike(f"(?<![A-Za-z]){quoted(s)}(?![A-Za-z])"), s) for s in known)))
-    named = F.transform(F.regexp_extract_all(text, F.lit(D.COMPANY_SUFFIX), F.lit(1)), lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
+    named = F.transform(F.regexp_extract_all(text, F.lit(suffix), F.lit(1)), lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
     return F.array_distinct(F.filter(F.concat(found, named), lambda x: x != ""))
 
 
