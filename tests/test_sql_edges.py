@@ -24,6 +24,18 @@ def test_seconds_to_wait_are_rounded(spark, tmp_path):
     assert got == want and [x[3] for x in got if x[3]] == [7080, 7080, 7080, 7079, 7079]
 
 
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+def orders(*prices):
+    return [(k, 1, "O", p, datetime(1998, 7, 30 - k % 20), "1-URGENT") for k, p in enumerate(prices, 1)], ORDERS
+
+
+def test_halves_of_a_thousandth_in_a_feed_that_is_read(spark, tmp_path):
+    got, want = both(spark, tmp_path, "feed_read", orders=orders(80507.0, 80507.5, 80508.0, 1000.5))
+    assert got == want
+
+
 def test_names_end_before_letters_beyond_ascii(spark, tmp_path):
     texts = ["Kraft Coût de la vie", "Muster\vWerk AG", "ÉAcme Group", "Acme Corp. x", "Acme Corp.x", "Café SA", "Foo  Bar\tLtd.é"]
     rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts, 24)]

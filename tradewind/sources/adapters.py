@@ -5,7 +5,7 @@ Every function takes (spark, sf_dir) and reads whole tables; the text beside it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.session import spread, table
@@ -27,6 +27,12 @@ def phrase_sql() -> str:
     return " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
 
 
+def thousandths(c: Column) -> Column:
+    """A double to three places as SQL's round does it: scaled, rounded to a whole number, scaled back. Spark's round goes by
+    the shortest decimal instead, which makes other numbers of some halves."""
+    return F.round(c * 1000) / 1000
+
+
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw articles: a phrase and the text's first line as title, its second line as description, the whole text as content."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
@@ -81,7 +87,7 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(pick(SIGNAL_PICK, key), F.lit(" news from "), pick(REGION_PICK, key), F.lit(" for "), pick(SUPPLIER_PICK, key), F.lit(" no "), key.cast("string")).alias("normalized_title"),
         F.concat(F.lit("Summary "), F.lower("o_orderpriority")).alias("summary"),
         F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed").alias("processing_status"),
-        F.round(F.col("o_totalprice") % 1000 / 1000, 3).alias("confidence"),
+        thousandths(F.col("o_totalprice") % 1000 / 1000).alias("confidence"),
         F.col("o_orderdate").alias("processed_at"),
         F.when(key % 5 > 0, F.col("o_orderdate")).alias("risk_event_checked_at"),
         F.col("o_custkey").alias("user_key"),
