@@ -41,3 +41,12 @@ def test_names_end_before_letters_beyond_ascii(spark, tmp_path):
     rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts, 24)]
     got, want = both(spark, tmp_path, "supplier_extraction", documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     assert got == want and got[0][1].endswith("Kraft Co")
+
+
+HALVES = (950.0, 900.0, 80507.0, 80507.5, 80508.0, 1508.5, 510.5)
+
+
+def test_halves_of_a_thousandth_in_topped_up_feeds(spark, tmp_path):
+    more = {"customer": ([(1, 0, "BUILDING")], "c_custkey long, c_nationkey int, c_mktsegment string"), "nation": ([(0, "X", 0)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(0, "Y")], "r_regionkey int, r_name string")}
+    got, want = both(spark, tmp_path, "feed_topped_up", orders=orders(*HALVES), **more)
+    assert got == want and len(got) >= 7

@@ -16,7 +16,7 @@ from tradewind.plans import relations as R
 from tradewind.plans.articles import q
 from tradewind.plans.registry import query
 from tradewind.session import table, written
-from tradewind.sources.adapters import MENTIONS, PROCESSED, RAW_ARTICLES, SUPPLIERS, mentions, processed, raw_articles, suppliers
+from tradewind.sources.adapters import MENTIONS, PROCESSED, RAW_ARTICLES, SUPPLIERS, mentions, processed, raw_articles, suppliers, thousandths
 
 JAN15 = "TIMESTAMP '2024-01-15 00:00:00'"
 NOW_SQL = R.NOW_SQL
@@ -29,7 +29,7 @@ FEED = """feed AS (SELECT o_custkey AS user_id, o_orderkey AS processed_article_
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored feed rows, one an order: its buyer, its article, and the day it surfaced."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), k.alias("processed_article_id"), F.round(F.col("o_totalprice") % 1000 / 1000, 3).alias("rank_score"), F.col("o_orderdate").alias("surfaced_at"), (F.col("o_orderstatus") == "F").alias("is_read"), (k % 13 == 0).alias("is_hidden"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), k.alias("processed_article_id"), thousandths(F.col("o_totalprice") % 1000 / 1000).alias("rank_score"), F.col("o_orderdate").alias("surfaced_at"), (F.col("o_orderstatus") == "F").alias("is_read"), (k % 13 == 0).alias("is_hidden"))
 
 
 _feed_join = "feed f JOIN processed p ON p.id = f.processed_article_id"
