@@ -50,3 +50,8 @@ def test_halves_of_a_thousandth_in_topped_up_feeds(spark, tmp_path):
     more = {"customer": ([(1, 0, "BUILDING")], "c_custkey long, c_nationkey int, c_mktsegment string"), "nation": ([(0, "X", 0)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(0, "Y")], "r_regionkey int, r_name string")}
     got, want = both(spark, tmp_path, "feed_topped_up", orders=orders(*HALVES), **more)
     assert got == want and len(got) >= 7
+
+
+def test_halves_of_a_thousandth_in_pages(spark, tmp_path):
+    got, want = both(spark, tmp_path, "paging_totals", orders=orders(*HALVES))
+    assert got == want and len(got) == 4
