@@ -60,6 +60,31 @@ def test_batches_go_on_from_the_cursor(spark, tmp_path):
     assert tables.run_batches(more, "id", 3, folder, work) == 1 and tables.cursor(spark, folder) == (4, 20)
 
 
+def test_batches_of_one_pass(spark, tmp_path):
+    """Several batches go through the work at once, as they would one by one."""
+    folder = str(tmp_path)
+    rows = spark.createDataFrame([(i,) for i in (5, 1, 9, 3, 7, 11, 2, None, 20, 13)], "id long")
+    calls = []
+
+    def work(batch):
+        calls.append(sorted((r.batch, r.id) for r in batch.collect()))
+        if len(calls) == 2:  # a run that breaks off behind its first output
+            batch.withColumnRenamed("batch", tables.IN_PASS).write.mode("overwrite").parquet(f"{folder}/seen/batch=1")
+            raise RuntimeError("lost")
+        return {"seen": batch}
+
+    run = lambda most=None, of=rows: tables.run_batches(of, "id", 2, folder, work, most, 3)
+    seen = lambda: sorted((r.batch, r.id) for r in tables.done_so_far(spark, folder, "seen").collect())
+    assert run(1) == 1 and tables.cursor(spark, folder) == (1, 2)
+    with pytest.raises(RuntimeError):
+        run()
+    assert seen() == [(0, 1), (0, 2)] and run(2) == 2 and tables.cursor(spark, folder) == (3, 9)
+    assert run() == 2 and run() == 0 and tables.cursor(spark, folder) == (5, 20)
+    assert calls[2:] == [[(1, 3), (1, 5), (2, 7), (2, 9)], [(3, 11), (3, 13), (4, 20)]]
+    assert seen() == [(0, 1), (0, 2), (1, 3), (1, 5), (2, 7), (2, 9), (3, 11), (3, 13), (4, 20)]
+    assert run(of=spark.createDataFrame([(21,)], "id long")) == 1 and seen()[-1] == (5, 21)
+
+
 def test_lists_resolved_anew(spark):
     s = spark.createDataFrame([(1, "p1", "Acme", True), (2, "p2", "Müller", True), (3, "p3", "Gone", False)], "id long, public_id string, canonical_name string, is_active boolean")
     rows = spark.createDataFrame([(1, ["müller", "ACME", "acme "], None), (2, ["Gone", "Nobody"], ["p3"]), (3, None, []), (4, ["Acme"], ["p1"]), (5, [None, ""], None)], "k long, names array<string>, ids array<string>")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.session import written
@@ -87,6 +87,9 @@ def record_usage(usage: DataFrame, folder: str, batch: str) -> None:
 
 # ---- keyset batches with a stored cursor ----
 
+#: The column that holds a row's own batch where a pass took several: its folder bears the first one's number.
+IN_PASS = "_batch"
+
 
 def cursor(spark: SparkSession, folder: str) -> tuple[int, int | None]:
     """(batches done, the last key of them): what the next run goes on from."""
@@ -96,31 +99,44 @@ def cursor(spark: SparkSession, folder: str) -> tuple[int, int | None]:
     return (0, None) if done[0] is None else (done[0] + 1, done[1])
 
 
-def run_batches(rows: DataFrame, key: str, size: int, folder: str, work: Callable[[DataFrame], dict[str, DataFrame]], most: int | None = None) -> int:
+def run_batches(rows: DataFrame, key: str, size: int, folder: str, work: Callable[[DataFrame], dict[str, DataFrame]], most: int | None = None, together: int | None = None) -> int:
     """Takes rows in batches of `size` in the order of a long key, from the stored cursor on, and gives how many it did.
 
     What work makes of a batch goes below folder under its names; then the cursor moves. A batch that broke off before
     that is done again in its own place, so nothing is repeated or left out, however often runs end early; what done_so_far
     reads never holds it. most ends a run after so many batches. Rows without a key are in no batch; rows that share a
     key should not, as a batch may end between them.
+
+    A pass of Spark jobs costs seconds, however few rows a batch has. Where `together` is given a pass takes up to so many
+    batches: work then gets their rows with the column batch, and what it makes must carry it. The cursor moves behind
+    all of a pass, so its `size * together` rows are what a run that breaks off does again, and what one task numbers.
     """
     spark, done = rows.sparkSession, 0
     while most is None or done < most:
         number, last = cursor(spark, folder)
         left = rows.where(F.col(key).isNotNull() if last is None else F.col(key) > last)
-        batch = written(left.orderBy(key).limit(size), "batch")
-        top = batch.agg(F.max(key)).first()[0]
+        batches = 1 if together is None else together if most is None else min(together, most - done)
+        batch = left.orderBy(key).limit(size * batches)
+        if together is not None:
+            place = F.row_number().over(Window.orderBy(key)) - 1
+            batch = batch.withColumn("batch", F.lit(number).cast("long") + F.floor(place / size))
+        batch = written(batch, "batch")
+        top, held = batch.agg(F.max(key), F.count("*")).first()
         if top is None:
             break
         for name, made in work(batch).items():
+            if together is not None:
+                made = made.withColumnRenamed("batch", IN_PASS)
             made.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        spark.range(1).select(F.lit(top).cast("long").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/cursor/batch={number}")
-        done += 1
+        did = -(-held // size)
+        spark.range(1).select(F.lit(top).cast("long").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/cursor/batch={number + did - 1}")
+        done += did
     return done
 
 
 def done_so_far(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """What the finished batches have put under a name, each row with its batch."""
-    marks = spark.read.parquet(f"{folder}/cursor").select(F.col("batch").cast("long").alias("batch"))
-    made = spark.read.parquet(f"{folder}/{name}")
-    return made.withColumn("batch", F.col("batch").cast("long")).join(marks, "batch", "left_semi")
+    finished, _ = cursor(spark, folder)
+    made = spark.read.option("mergeSchema", True).parquet(f"{folder}/{name}").where(F.col("batch") < finished)
+    own = F.coalesce(IN_PASS, F.col("batch").cast("long")) if IN_PASS in made.columns else F.col("batch").cast("long")
+    return made.withColumn("batch", own).drop(IN_PASS)
