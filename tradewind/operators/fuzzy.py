@@ -1,8 +1,8 @@
-"""Names resolved against a table of companies: by equality, else by edit distance over shared stretches of letters."""
+"""Names resolved against a table of companies: by equality, else by edit distance over shared parts of names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.text import strip
@@ -11,41 +11,65 @@ from tradewind.functions.text import strip
 ONE_IN = 4
 
 
-def _grams(name: Column) -> Column:
-    """Pairs of neighbouring characters, each with how many times it has come so far: all of them differ."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.lit("\0"), F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+def _most(a: Column, b: Column) -> Column:
+    """Edits that names of so many characters may differ by."""
+    return F.floor(F.greatest(a, b) / ONE_IN).cast("int")
 
 
-def _shared_at_least(longer: Column) -> Column:
-    """Pairs of characters that two names within the ratio share, if the longer has so many characters: an edit spoils two."""
-    return longer - 1 - 2 * F.floor(longer / ONE_IN)
+def _shortest(size: Column) -> Column:
+    """Characters of the shortest name within the ratio of one of so many."""
+    return (size - F.floor(size / ONE_IN)).cast("int")
 
 
-def _prefixes(names: DataFrame, frequency: DataFrame) -> DataFrame:
-    """name, gram of the rarest pairs of each name: so many that a name within the ratio has one of them among its own."""
-    n = F.length("name")
-    shared = F.least(_shared_at_least(n), _shared_at_least(ONE_IN * F.ceil(n / ONE_IN)))
-    grams = names.where(n >= ONE_IN - 1).select("name", (n - shared).alias("most"), F.explode(_grams(F.col("name"))).alias("gram"))
-    order = Window.partitionBy("name").orderBy(F.coalesce("held", F.lit(0)), "gram")
-    return grams.join(frequency, "gram", "left").withColumn("place", F.row_number().over(order)).where("place <= most").select("name", "gram")
+def _longest(size: Column) -> Column:
+    """Characters of the longest name within the ratio of one of so many."""
+    return F.floor(size * ONE_IN / (ONE_IN - 1)).cast("int")
+
+
+def _edge(size: Column, most: Column, part: Column) -> Column:
+    """Where a part begins, from 0, if a name of so many characters is cut into one more than the edits it may have."""
+    return F.floor(part * size / (most + 1)).cast("int")
+
+
+def _piece(name: str, begin: Column, end: Column) -> Column:
+    return F.substring(F.col(name), begin + 1, end - begin)
+
+
+def met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, most: pairs of names that share a part at a fit place, with the edits that they may have; pairs may repeat.
+
+    A name b is cut into one more part than the edits it may have with a. Then some part k is free of edits with exactly
+    k of them before it and so at most `most - k` behind: the part stands in a, shifted by no more than either. Keys
+    hold the length of b, the edits and the part's number, so what meets is alike in length, place and three or four
+    characters.
+    """
+    size = F.length("b")
+    b = right.select(F.col("name").alias("b")).where(_most(_longest(size), size) >= 1).select("b", size.alias("size"))
+    b = b.select("b", "size", F.explode(F.sequence(F.greatest(_most(F.col("size"), F.col("size")), F.lit(1)), _most(_longest(F.col("size")), F.col("size")))).alias("most"))
+    b = b.select("b", "size", "most", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("part"))
+    size, most, part = F.col("size"), F.col("most"), F.col("part")
+    theirs = b.select("b", "size", "most", "part", _piece("b", _edge(size, most, part), _edge(size, most, part + 1)).alias("piece"))
+
+    a = left.select(F.col("name").alias("a"), F.length("name").alias("own"))
+    a = a.select("a", "own", F.explode(F.sequence(_shortest(F.col("own")), _longest(F.col("own")))).alias("size")).withColumn("most", _most(F.col("own"), size)).where("most >= 1 and size > 0")
+    a = a.select("*", F.explode(F.sequence(F.lit(0), most)).alias("part"))
+    more, behind = F.col("own") - size, most - part
+    a = a.withColumns({"low": F.greatest(-part, more - behind), "high": F.least(part, more + behind), "begin": _edge(size, most, part), "end": _edge(size, most, part + 1)})
+    a = a.withColumns({"low": F.greatest("low", -F.col("begin")), "high": F.least("high", F.col("own") - F.col("end"))}).where("low <= high")
+    a = a.select("*", F.explode(F.sequence("low", "high")).alias("shift"))
+    mine = a.select("a", "size", "most", "part", _piece("a", F.col("begin") + F.col("shift"), F.col("end") + F.col("shift")).alias("piece")).distinct()
+    return mine.join(theirs, ["size", "most", "part", "piece"]).select("a", "b", "most")
 
 
 def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b, edits for distinct names of left and right (name) that differ, within one edit in ONE_IN characters of the longer.
 
-    Names are compared as they are. Each name sends its rarest pairs of characters to the join, in one order for all,
-    so few meet that are not alike; what meets is verified by its whole edit distance. No pair within the ratio is missed:
-    none of under ONE_IN - 1 characters has another within it.
+    Names are compared as they are. What meets by a shared part is verified where it meets by its edit distance, which
+    stops at the edits allowed, and only pairs within them are shuffled. No pair within the ratio is missed.
     """
     a, b = left.select("name").distinct(), right.select("name").distinct()
-    frequency = b.select(F.explode(_grams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("held"))
-    mine = _prefixes(a, frequency).select(F.col("name").alias("a"), "gram")
-    theirs = _prefixes(b, frequency).select(F.col("name").alias("b"), "gram")
-    longer = F.greatest(F.length("a"), F.length("b"))
-    close = F.abs(F.length("a") - F.length("b")) * ONE_IN <= longer
-    met = mine.join(theirs, "gram").where(close & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    return met.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") * ONE_IN <= F.greatest(F.length("a"), F.length("b")))
+    edits = met(a, b).where("a <> b").select("a", "b", F.expr("levenshtein(a, b, most)").alias("edits"))
+    return edits.where("edits >= 0").distinct()
 
 
 def resolve_names(requests: DataFrame, companies: DataFrame) -> DataFrame:
