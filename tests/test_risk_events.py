@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from tradewind import dictionaries as D
+from tradewind.functions.text import phrases_in
 from tradewind.operators import risk
 from tradewind.plans import QUERIES, articles
 
@@ -55,3 +58,19 @@ def test_events_of_whole_articles(spark, sf):
         assert len(x.event_key) == 40
     want = {r.id: e for r in rows if (e := events_of(r))}
     assert len(want) > 50 and got == want
+
+
+def test_places_are_looked_up_once_an_article(spark):
+    rows = [(1, "new tariff and port strike in China", ["tariff"], "tariff", ["x"], ["y"], ["z"])]
+    articles = spark.createDataFrame(rows, "id long, text string, signal_values array<string>, priority_signal string, detected_suppliers array<string>, detected_regions array<string>, categories array<string>")
+    found = risk.detect(articles)
+    behind = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "split(" not in behind
+    assert {tuple(r.affected_locations) for r in found.collect()} == {("y", "China")}
+
+
+def test_terms_stand_between_no_letters(spark):
+    said = lambda text, *terms: set(spark.createDataFrame([(text,)], "t string").select(phrases_in(F.col("t"), terms)).first()[0])
+    assert said("xé a. é a m&a u.s. u.sa nota recall", "é a", "m&a", "u.s.", "not", "recall") == {"é a", "m&a", "u.s.", "recall"}
+    assert said("xé a", "é a") == set()
+    assert said("recalls", "recall", "recall order") == set() == said("", "m&a")

@@ -25,9 +25,13 @@ def alternation(terms: Iterable[str]) -> str:
     return "|".join(quoted(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
 
 
+#: White space of any script but the space; what Java's \s means with (?U).
+_BLANKS = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(" " + _BLANKS))
 
 
 def normal(c: Column) -> Column:
@@ -35,9 +39,15 @@ def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " "))
 
 
+def shortest(terms: Iterable[str]) -> list[str]:
+    """The terms that hold no other of them: a text that holds any term holds one of these."""
+    terms = set(terms)
+    return sorted(t for t in terms if not any(o in t for o in terms - {t}))
+
+
 def contains_any(c: Column, terms: Iterable[str]) -> Column:
     """Whether the text holds any term; plain substring searches, which beat a pattern of alternatives by far."""
-    return reduce(or_, (F.contains(c, F.lit(t)) for t in sorted(set(terms))), F.lit(False))
+    return reduce(or_, (F.contains(c, F.lit(t)) for t in shortest(terms)), F.lit(False))
 
 
 def has_phrase(c: Column, terms: Iterable[str]) -> Column:
@@ -52,30 +62,30 @@ def has_phrase(c: Column, terms: Iterable[str]) -> Column:
 def phrases_in(low: Column, terms: Iterable[str], letters: str = "0-9a-z") -> Column:
     """Which of the terms stand in a text in lower case with none of the letters at either side, in any order.
 
-    The text is cut at its words (runs of letters, or one character beyond ASCII) once, and only where a word begins
-    some term are that word's few terms compared: one pass for a whole dictionary, in place of a search for each term.
-    Terms are in lower case and begin with a word.
+    The text is cut at its words (runs of letters) once. A term of one word is one of them; a longer one, whose first
+    word is among them, is searched in the text: one pass for a whole dictionary, in place of a search for each term.
     """
-    starts = rf"(?<![{letters}])(?=[{letters}])|(?=[^\x00-\x7f])"
-    first = rf"^(?:[{letters}]+|[^\x00-\x7f])"
+    terms = sorted(set(terms))
+    alone = [t for t in terms if re.fullmatch(f"[{letters}]+", t)]
     by_word: dict[str, list[str]] = {}
-    for t in sorted(set(terms)):
-        by_word.setdefault(re.match(first, t)[0], []).append(t)
-    longest = max(len(re.split(starts, t)) for ts in by_word.values() for t in ts)
-    table = F.create_map(*(x for w, ts in by_word.items() for x in (F.lit(w), F.array(*map(F.lit, ts)))))
-    word = lambda piece: F.regexp_extract(piece, first, 0)
+    for t in terms:
+        if t not in alone:
+            by_word.setdefault(re.match(f"[{letters}]*", t)[0], []).append(t)
+    anywhere = by_word.pop("", [])
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    table = F.create_map(*(x for w, ts in by_word.items() for x in (F.lit(w), texts(ts)))) if by_word else None
+    stands = lambda low, t: F.contains(low, t) & F.rlike(low, F.concat(F.lit(rf"(?<![{letters}])\Q"), t, F.lit(rf"\E(?![{letters}])")))
 
-    def found(parts: Column) -> Column:
-        places = F.filter(F.transform(parts, lambda x, i: F.when(word(x).isin(*by_word), i)), lambda i: i.isNotNull())
+    def found(low: Column) -> Column:
+        words = F.split(F.regexp_replace(low, f"[^{letters}]+", " "), " ")
 
-        def here(i: Column) -> Column:
-            tail = F.array_join(F.slice(parts, i + 1, F.lit(longest + 1)), "")
-            fits = lambda tail: F.filter(F.try_element_at(table, word(tail)), lambda t: tail.startswith(t) & ~F.substring(tail, F.length(t) + 1, F.lit(1)).rlike(f"[{letters}]"))
-            return let(tail, fits)
+        def among(met: Column) -> Column:
+            longer = texts(anywhere) if table is None else F.concat(texts(anywhere), F.flatten(F.transform(F.array_intersect(met, texts(by_word)), lambda w: F.try_element_at(table, w))))
+            return F.concat(F.array_intersect(met, texts(alone)), F.filter(longer, lambda t: stands(low, t)))
 
-        return F.array_distinct(F.flatten(F.transform(places, here)))
+        return let(F.array_intersect(words, texts({*alone, *by_word})), among)
 
-    return let(F.split(low, starts), found)
+    return let(low, found)
 
 
 def names(text: Column, name: Column, least: int = 3) -> Column:

@@ -79,10 +79,11 @@ def detect(articles: DataFrame) -> DataFrame:
         severity = F.when(F.col("_override"), "critical" if kind in D.SEVERITY_OVERRIDE_CRITICAL else "high").otherwise(D.RISK_SEVERITY[kind])
         found.append(F.when(hit & (score >= 0.55), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("risk_type"), severity.alias("severity"), F.round(score, 6).alias("confidence"), evidence(F.col("text"), F.col("_low"), terms).alias("evidence_snippet"), F.lit(D.RISK_RECOMMENDATION[kind]).alias("recommendation"))))
     n = n.withColumn("_events", F.array_compact(F.array(*found)))
+    n = n.withColumn("_named", F.when(F.size("_events") > 0, regions(F.col("text"))))
     pair = F.filter("_events", lambda e: e["place"] < 2)
     weaker = F.when(F.size(pair) == 2, F.when(F.element_at(pair, 2)["confidence"] > F.element_at(pair, 1)["confidence"], 0).otherwise(1)).otherwise(-1)
     n = n.withColumn("_weaker", weaker).withColumn("_event", F.explode(F.filter("_events", lambda e: e["place"] != F.col("_weaker"))))
-    places = distinct_ignoring_case(F.transform(F.concat("detected_regions", regions(F.col("text"))), canonical_region))
+    places = distinct_ignoring_case(F.transform(F.concat("detected_regions", "_named"), canonical_region))
     return n.select("id", *(F.col(f"_event.{c}") for c in ("risk_type", "severity", "confidence", "evidence_snippet", "recommendation")), distinct_ignoring_case(F.col("detected_suppliers")).alias("affected_suppliers"), places.alias("affected_locations"), distinct_ignoring_case(F.col("categories")).alias("affected_categories"))
 
 
