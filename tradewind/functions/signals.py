@@ -88,12 +88,14 @@ def category_key(value: Column) -> Column:
 def canonical_category(value: Column) -> Column:
     """A category's own name, its alias's, or the one with most keywords among the words, the first of equals; else the key itself."""
 
+    names = D.CATEGORY_KEYWORDS.items()
+    telling = F.array(*map(F.lit, sorted({w for _, k in names for w in k})))
+
     def scored(words: Column) -> Column:
-        names = D.CATEGORY_KEYWORDS.items()
         return F.array_max(F.array(*(F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, k)))).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("name")) for i, (c, k) in enumerate(names))))
 
     def named(key: Column) -> Column:
-        best = let(let(F.array_distinct(F.split(key, " ")), scored), lambda b: F.when(b["score"] > 0, b["name"]))
+        best = let(let(F.array_intersect(F.split(key, " "), telling), scored), lambda b: F.when(b["score"] > 0, b["name"]))
         return F.when(key.isin(*D.CATEGORIES), key).otherwise(F.coalesce(F.try_element_at(literal_map(D.CATEGORY_ALIASES), key), best, key))
 
     return let(category_key(value), named)
