@@ -92,6 +92,18 @@ def test_feeds(spark, monkeypatch, limit, stretch):
     assert len(want) > 150 and not {k: (got.get(k), want.get(k)) for k in {*got, *want} if got.get(k) != want.get(k)}
 
 
+def test_pairs_are_of_kinds_and_wishes(spark, monkeypatch):
+    """Articles that differ in id and time alone, and profiles that differ in exclusions alone, are not all paired."""
+    start, pairs = datetime(2024, 1, 1), preferences._pairs
+    articles = [(i, start + timedelta(hours=i % 50), f"no {i}", None, "chips", None, None, ["s1"] if i % 3 else ["s2"], None, None, None) for i in range(240)]
+    users = [(u, ["chips"], None, None, None, None, None, [f"Maker {u}"] if u % 4 else None, ["s2"] if u % 2 else None, None, None) for u in range(24)]
+    counted = []
+    monkeypatch.setattr(preferences, "_pairs", lambda *of: counted.append((found := pairs(*of)).count()) or found)
+    got = preferences.feeds(spark.createDataFrame(articles, ARTICLE), spark.createDataFrame(users, USER), 90).collect()
+    want = {u: [x[0] for x in sorted(articles, key=lambda x: (-x[1].timestamp(), x[0])) if x[7] == ["s1"] or u % 2 == 0][:90] for u in range(24)}
+    assert counted == [2] and {u: [x.id for x in sorted(got, key=lambda x: x.rank) if x.user_id == u] for u in range(24)} == want
+
+
 def test_empty(spark):
     a, u = spark.createDataFrame([], ARTICLE), spark.createDataFrame([(1, *[None] * 10)], USER)
     assert preferences.feeds(a, u).collect() == [] and preferences.feeds(a, u.where("false")).collect() == []

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,11 +62,6 @@ def as_offers(articles: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.withColumn("all_terms", F.array_union(F.array_union("terms", F.when(F.size("regions") > 0, expanded(F.col("regions"))).otherwise(_none())), "text_terms"))
 
 
-def excluded() -> Column:
-    """Whether an article's supplier, by identity or name, category, region, signal or text meets an exclusion."""
-    return reduce(or_, (F.arrays_overlap(had, wish) for had, wish in _EXCLUSIONS))
-
-
 def scores() -> dict[str, Column]:
     """The four scores of an article that no exclusion meets, and the weighted whole to nine places, so equals are equal."""
     shared = lambda a, b: F.size(F.array_intersect(a, b))
@@ -101,25 +95,90 @@ def _open() -> Column:
     return (F.size("wanted_categories") == 0) & (F.size("wanted_suppliers") == 0) & (F.size("wanted_regions") == 0) & (F.size("wanted_signals") == 0)
 
 
+def _key(*lists: str) -> Column:
+    """The same for rows whose lists hold the same in whatever order."""
+    return F.sha2(F.to_json(F.struct(*(F.sort_array(c).alias(c) for c in lists))), 256)
+
+
+_HAD = ("categories", "suppliers", "supplier_ids", "regions", "terms", "priority_terms", "text_suppliers", "text_terms", "all_terms")
+_WANTED = tuple(f"wanted_{kind}" for kind in WISHES)
+_MATCHES = ("category_match", "supplier_match", "region_match", "signal_match", "rank_score")
+_BEST = ((F.desc, "rank_score"), (F.desc, "processed_at"), (F.asc, "id"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """A count of tasks that adaptive execution leaves as it is: rows are few bytes beside the work on them."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _first(rows: DataFrame, by: Sequence[str], name: str, limit: int) -> DataFrame:
+    """The best rows of each group, as many as the limit, with their place among them."""
+    order = [way(c) for way, c in _BEST if c in rows.columns]
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= limit)
+
+
+def _merged(heads: DataFrame, members: DataFrame, by: Sequence[str], group: Sequence[str], place: str, limit: int) -> DataFrame:
+    """The best rows of each of by, out of lists (group) that are each in order, with a place in their list.
+
+    heads has by, group and each list's first row. Ahead of the r-th row of the p-th list, by their first rows, are the
+    first rows of p - 1 lists and r - 1 rows of its own, so only those with p + r <= limit + 1 can be among the best.
+    """
+    lists = _first(heads, by, "_list", limit).select(*dict.fromkeys([*by, *group]), "_list", *(c for c in _MATCHES if c not in members.columns))
+    met = lists.join(members, list(group)).where(F.col("_list") + F.col(place) <= limit + 1).drop("_list", place)
+    return _first(met, by, "rank", limit)
+
+
+def _wished(offers: DataFrame, profiles: DataFrame, limit: int) -> DataFrame:
+    """profile, id, rank and the matches: the best articles of every profile with interests.
+
+    Articles that have the same to be matched by are of one kind, and profiles that want the same have one wish; what is
+    scored is a wish and a kind. barred is what a kind has of all that anybody excludes, so a profile leaves out either
+    all or none of its wish's articles of one barred set: these have a list a wish, and a profile merges those of its wish.
+    """
+    tags = lambda of: F.explode(F.concat(*(tagged(names[of], names[0]) for names in _EXCLUSIONS))).alias("tag")
+    placed = offers.withColumn("kind", F.concat(_key(*_HAD), "category"))
+    kinds = placed.groupBy("kind").agg(*(F.any_value(c).alias(c) for c in (*_HAD, "category")))
+    named = profiles.select(tags(1)).distinct()
+    barred = kinds.select("kind", tags(0)).join(named, "tag").groupBy("kind").agg(F.collect_set("tag").alias("tags"))
+    kinds = kinds.join(barred, "kind", "left").withColumn("barred", F.coalesce(F.sha2(F.to_json(F.sort_array("tags")), 256), F.lit("")))
+    kinds = written(kinds, "kinds")
+    articles = written(_first(placed.select("kind", "id", "processed_at"), ["kind"], "place", limit), "articles-of-kinds")
+
+    known = profiles.select("profile", *_WANTED, _key(*_WANTED).alias("wish"), _key(*(c for _, c in _EXCLUSIONS)).alias("exclusion"), *(c for _, c in _EXCLUSIONS))
+    wishes = known.groupBy("wish").agg(*(F.any_value(c).alias(c) for c in _WANTED))
+    pairs = _pairs(kinds.withColumnRenamed("kind", "id"), wishes.withColumnRenamed("wish", "profile")).toDF("wish", "kind")
+    scored = pairs.repartition(_tasks(offers), "wish", "kind").join(kinds, "kind").join(wishes, "wish")
+    for name, column in scores().items():
+        scored = scored.withColumn(name, column)
+    scored = scored.where(F.col("rank_score") >= LEAST_SCORE).select("wish", "barred", "kind", *_MATCHES)
+    heads = scored.join(articles.where("place = 1").drop("place"), "kind")
+    lists = written(_merged(heads, articles, ["wish", "barred"], ["kind"], "place", limit).drop("kind"), "lists-of-wishes")
+
+    exclusions = known.groupBy("exclusion").agg(*(F.any_value(c).alias(c) for _, c in _EXCLUSIONS))
+    hit = kinds.select("barred", F.explode("tags").alias("tag")).distinct().join(exclusions.select("exclusion", tags(1)), "tag").select("exclusion", "barred").distinct()
+    open_to = known.select("profile", "wish", "exclusion").join(lists.where("rank = 1").drop("rank"), "wish").join(hit, ["exclusion", "barred"], "left_anti")
+    return _merged(open_to, lists.withColumnRenamed("rank", "place"), ["profile"], ["wish", "barred"], "place", limit).select("profile", "id", "rank", *_MATCHES)
+
+
 def feeds(articles: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
     """user_id, id, rank, the four matches and rank_score: the best articles of every user.
 
-    Users with equal preferences share a profile, whose list is scored and ranked once; ranks under a constant limit are
-    taken within parts first, then over the parts' best. An article must meet a profile's interests, hit none of its
-    exclusions and score LEAST_SCORE; ties go to the later article, then the lesser id. Null lists are empty; repeated users
-    each get the feed; without articles or users the result is empty.
+    Users with equal preferences share a profile, whose list is made once: of profiles with interests by kinds of articles
+    and wishes (see _wished), of the others from the latest articles. An article must meet a profile's interests, hit none
+    of its exclusions and score LEAST_SCORE; ties go to the later article, then the lesser id. Null lists are empty;
+    repeated users each get the feed; without articles or users the result is empty.
     """
     placed, profiles = as_profiles(users)
     profiles = written(profiles, "profiles")
     offers = written(as_offers(articles, profiles), "offered")
-    with_wishes = profiles.where(~_open())
-    pairs = _pairs(offers, with_wishes).unionByName(latest(offers, profiles.where(_open()).withColumn("lacks", F.lit(limit)), _EXCLUSIONS))
-    scored = pairs.join(offers, "id").join(profiles, "profile").where(~excluded())
+    idle = profiles.where(_open())
+    served = latest(offers, idle.withColumn("lacks", F.lit(limit)), _EXCLUSIONS).join(offers, "id").join(idle, "profile")
     for name, column in scores().items():
-        scored = scored.withColumn(name, column)
-    order = Window.partitionBy("profile").orderBy(F.desc("rank_score"), F.desc("processed_at"), "id")
-    best = scored.where(F.col("rank_score") >= LEAST_SCORE).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return placed.join(best, "profile").select("user_id", "id", "rank", "category_match", "supplier_match", "region_match", "signal_match", "rank_score")
+        served = served.withColumn(name, column)
+    served = _first(served.where(F.col("rank_score") >= LEAST_SCORE), ["profile"], "rank", limit).select("profile", "id", "rank", *_MATCHES)
+    best = written(_wished(offers, profiles.where(~_open()), limit).unionByName(served), "lists-of-profiles")
+    return placed.join(best, "profile").select("user_id", "id", "rank", *_MATCHES)
 
 
 # ---- saving ----

@@ -100,7 +100,7 @@ def matched_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = processed(spark, sf_dir).where((F.col("processed_at") >= R.now() - F.expr("interval 7 days")) & (F.col("processed_at") <= R.now()))
     none, key = F.expr("cast(array() as array<string>)"), F.col("id")
     articles = p.select("id", "processed_at", F.col("normalized_title").alias("title"), "summary", F.col("top_level_category").alias("category"), none.alias("categories"), F.array("supplier").alias("suppliers"), F.when(key % 4 == 0, F.array(F.concat(F.lit("sup-"), (key % 50).cast("string")))).alias("supplier_ids"), F.array("region").alias("regions"), "priority_signal", none.alias("signal_tags"))
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")), F.col("c_custkey")
     some = lambda condition, *values: F.when(condition, F.array(*map(F.lit, values)))
     segment = F.col("c_mktsegment")
     users = c.select(
