@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from tradewind.streaming import ingest
 
 ARTICLE = "provider string, provider_article_id string, title string, source_name string, published_at timestamp"
@@ -17,6 +19,18 @@ def test_append_absent(spark, tmp_path):
     assert sorted(r.ingest_hash for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_append_absent_computes_a_batch_once(spark, tmp_path):
+    """Whatever a batch is compared with, its rows are computed once."""
+    src, out, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    counted = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda k: counted.add(1) or True, "boolean")
+    for day in (1, 2):
+        spark.createDataFrame([(f"{day}", datetime(2024, 1, day)), ("x", datetime(2024, 1, 1))], "ingest_hash string, published_at timestamp").coalesce(1).write.mode("append").parquet(src)
+        stream = ingest.stream_of(spark, src, "ingest_hash string, published_at timestamp").where(seen("ingest_hash"))
+        assert ingest.append_absent(stream, out, marks, at="published_at").awaitTermination(60)
+    assert sorted(r.ingest_hash for r in spark.read.parquet(out).collect()) == ["1", "2", "x"] and counted.value == 4
+
+
 def test_new_articles(spark, tmp_path):
     src = str(tmp_path / "in")
     at = datetime(2024, 1, 1)

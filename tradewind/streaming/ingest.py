@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tradewind.operators.dedup import ingest_hash
 from tradewind.operators.lifecycle import FAILURES_TO_OPEN, OPEN_MINUTES
+from tradewind.session import scratch
 
 
 def new_articles(stream: DataFrame, lateness: str = "14 days") -> DataFrame:
@@ -23,22 +24,29 @@ def append_absent(stream: DataFrame, path: str, checkpoint: str, key: str = "ing
 
     at names the time that the key holds, as the ingest hash does that of publication. The table is then partitioned
     by its day, and a batch is compared with its own days' partitions only; without it, with the key column of the
-    whole table. Batches are idempotent through the anti-join, the trigger takes what has arrived and ends.
+    whole table. Batches are idempotent through the anti-join, the trigger takes what has arrived and ends. A batch is
+    computed once, to a table of its own: what was dealt and held in state for it is not done again for each look at it.
     """
     days = [] if at is None else ["day"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        fresh = fresh.withColumns({d: F.to_date(at) for d in days})
-        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        spark, once = batch.sparkSession, scratch(batch.sparkSession, "batch")
+        own = batch.dropDuplicates([key]).withColumns({d: F.to_date(at) for d in days})
+        own.write.parquet(once)
+        fresh = spark.read.schema(own.schema).parquet(once)
+        jpath, jonce = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, once))
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        exists = jpath.getFileSystem(conf).exists(jpath)
+        nothing = exists and fresh.isEmpty()
+        if exists and not nothing:
             held = spark.read.parquet(path)
             if days:
                 first, last = fresh.agg(F.min("day"), F.max("day")).first()
                 held = held.where(F.col("day").between(first, last))
             fresh = fresh.join(held.select(key), key, "left_anti").select(fresh.columns)
-        fresh.write.mode("append").partitionBy(*days).parquet(path)
+        if not nothing:
+            fresh.write.mode("append").partitionBy(*days).parquet(path)
+        jonce.getFileSystem(conf).delete(jonce, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
