@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tradewind.operators import folds
@@ -72,3 +73,92 @@ def test_stream_agrees_with_batch(spark, tmp_path):
         with ordered.with_rocksdb(spark):
             assert stream().writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination(120)
     assert got(spark.read.parquet(out)) == want
+
+
+class Held:
+    """A state as a dict, a list or one value, which counts the values that are put and taken."""
+
+    def __init__(self):
+        self.kept, self.put_in, self.taken = {}, 0, 0
+
+    def updateValue(self, k, v):
+        self.put_in += 1
+        self.kept[k] = v
+
+    def appendList(self, values):
+        for v in values:
+            self.updateValue(len(self.kept), v)
+
+    def put(self, values):
+        self.kept.clear()
+        self.appendList(values)
+
+    def getValue(self, k):
+        self.taken += 1
+        return self.kept[k]
+
+    def get(self):
+        return iter([self.getValue(k) for k in list(self.kept)])
+
+    def keys(self):
+        return iter(self.kept)
+
+    def removeKey(self, k):
+        del self.kept[k]
+
+
+class One:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+class Handle:
+    def __init__(self):
+        self.waiting, self.timers = Held(), set()
+
+    def getValueState(self, *_):
+        return One()
+
+    def getListState(self, *_):
+        return self.waiting
+
+    getMapState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_rows_are_held_together(monkeypatch):
+    """Rows of two days go into few values; a timer touches the spans that the watermark has reached alone."""
+    hour, r = 60 * folds.MINUTE, random.Random(5)
+    rows = [(1, at, i, "a", "failure") for i, at in enumerate(r.randrange(48 * hour) for _ in range(3000))]
+    names = ["source_id", "at", "event_id", "owner", "kind"]
+    job, handle = ordered._InOrder("source_id", ("at", "event_id"), ("at", "owner", "kind"), folds.CLOSED, folds.circuit_step, names, ["outcome", "state", "failures", "probe_owner"]), Handle()
+    monkeypatch.setattr(ordered, "AT_ONCE", 1000, raising=False)
+    job.init(handle)
+    list(job.handleInputRows((1,), iter(pd.DataFrame(rows[k : k + 500], columns=names) for k in range(0, 3000, 500)), Watermark(0)))
+    assert handle.waiting.put_in <= 30 and handle.timers == {min(x[1] for x in rows) // 1000}
+    got = []
+    for passed in (7 * hour, 13 * hour, 50 * hour):
+        before = handle.waiting.taken
+        got += [x for part in job.handleExpiredTimer((1,), Watermark(passed // 1000), None) for x in part[["event_id", "failures"]].itertuples(index=False, name=None)]
+        assert handle.waiting.taken - before <= 24
+    in_order = sorted(rows, key=lambda x: (x[1], x[2]))
+    assert got == [(x[2], k) for k, x in enumerate(in_order, 1)] and not handle.waiting.kept
