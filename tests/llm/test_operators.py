@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -429,6 +430,41 @@ def test_tokens_by_the_tokenizer(spark):
         assert [p.start for p in own] == list(range(0, len(want), 256)) and all(p.length == 256 for p in own[:-1])
 
 
+def test_new_spellings_of_known_words_cost_no_call_each():
+    """Chunks are told apart, split into words and put together many at a time; each new one once cost six calls and more."""
+    r = random.Random(20)
+    words = ["".join(r.choice("aeinrst\u00e9\u00fc") for _ in range(8)) for _ in range(2000)]
+    text = " ".join(w.capitalize() + mark for w in words for mark in ".,;!?").encode()
+    list(packing.token_ids([" ".join([*words, *".,;!?"]).encode()], packing.TOKENIZER))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = list(packing.token_ids([text, b"", text], packing.TOKENIZER))
+    finally:
+        sys.setprofile(None)
+    want = np.array(Tokenizer.from_file(packing.TOKENIZER).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    assert got == [want, b"", want] and calls < len(words)
+
+
+def test_slices_of_odd_and_plain_texts(monkeypatch):
+    """Chunks that go through the tokenizer whole keep their places among plain ones, wherever a slice of texts ends."""
+    whole = Tokenizer.from_file(packing.TOKENIZER)
+    texts = ["", " ", "plain \ue000 x\ue000y \ue000", "<|endoftext|> <| a<|b", "\u4e2d\u6587 and \u0130I \u03a3\u03c3\u03c2", "\x1c\x85a\u00a0b", "a\u0301b e\u0301", "x" * 50, "\uffff \n\n x\n"] * 3
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size in (1, 40, 10_000):
+        monkeypatch.setattr(packing, "SLICE", size)
+        monkeypatch.setattr(packing, "PART", size)
+        monkeypatch.setattr(packing, "REMEMBERED", size)
+        assert list(packing.token_ids([t.encode() for t in texts], packing.TOKENIZER)) == want
+    broken = b"\xff\xfe ab\xc3 c\xe2\x82 d a\xc3\nb"
+    assert list(packing.token_ids([broken], packing.TOKENIZER)) == [np.array(whole.encode(broken.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_best_fit_takes_the_tightest_bin():
     r = random.Random(7)
     for _ in range(100):

@@ -12,6 +12,7 @@ from functools import lru_cache, partial, reduce
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,12 +26,21 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 0
 #: Pieces that one task packs at a time; what its sequences leave open is packed again with other shards'.
 SHARD = 20_000
-#: Chunks without white space, and words of these, whose ids a worker remembers before it starts anew.
+#: Words, and chunks without white space, whose ids a worker remembers before it starts anew.
 REMEMBERED = 500_000
+#: Bytes of text whose chunks are told apart at a time; a longer text is a slice of its own.
+SLICE = 8_000_000
+#: Characters of distinct chunks that are split into words at a time.
+PART = 500_000
 
 #: Normalisations of a tokenizer whose chunks may be lower-cased and split here: Latin-1 is in NFC as it is.
 NORMAL = ["NFC", "Replace", "Lowercase"]
-_plain = re.compile(r"[\x21-\x7e\xc0-\xff]+")
+_odd = re.compile(r"[^\n\x21-\x7e\xc0-\xff]|<\|")
+
+#: Stands between two chunks' ids; no token has it. WHOLE stands for an odd chunk among plain ones, which can't hold it.
+NO_ID = 2**32 - 1
+BREAK = NO_ID.to_bytes(4, "little")
+WHOLE = "\ue000"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,47 +79,76 @@ def _little_endian(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
-class ChunkIds(dict):
-    """Ids of chunks without white space, as little-endian bytes, for a tokenizer that has a word_pattern.
+class WordIds(dict):
+    """Ids of words, as little-endian bytes, for a tokenizer that has a word_pattern.
 
     Such a tokenizer drops white space and never lets a token cross it, so a text's ids are its chunks' ids in order.
-    A new chunk of Latin-1 characters is lower-cased and split as the tokenizer does it, and only words not met
-    before go through its merges; any other chunk, or one that may hold a special token, goes through it whole.
+    Chunks of Latin-1 characters are lower-cased and split into words as the tokenizer does it, all of them in one
+    pass, and only words not met before go through its merges; any other chunk, or one that may hold a special token,
+    goes through the tokenizer whole and is remembered like a word.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer, self.pieces = _tokenizer(path), word_pattern(path)
+        self.tokenizer = _tokenizer(path)
         self.merges = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.pieces = regex.compile(f"\n|{WHOLE}|{word_pattern(path).pattern}")
+
+    def __missing__(self, w: str) -> bytes:
+        spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_letters)
+        self[w] = ids = BREAK if w == "\n" else _little_endian([t.id for t in self.merges.tokenize(spelled)])
+        return ids
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """Each chunk's ids; there is at least one chunk, and none holds white space."""
         if len(self) > REMEMBERED:
             self.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        odd = []
-        for c in set(chunks):
-            if c not in self:
-                text = c.decode("utf-8", "replace")
-                if _plain.fullmatch(text) and "<|" not in text:
-                    self[c] = b"".join([self.words.get(w) or self.word(w) for w in self.pieces.findall(text.lower())])
-                else:
-                    odd.append((c, text))
-        for at in range(0, len(odd), 4096):
-            part = odd[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([text for _, text in part], add_special_tokens=False)
-            self.update((c, _little_endian(e.ids)) for (c, _), e in zip(part, found))
-
-    def word(self, w: str) -> bytes:
-        spelled = w.encode().decode("latin-1").translate(_letters)
-        self.words[w] = ids = _little_endian([t.id for t in self.merges.tokenize(spelled)])
-        return ids
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), pa.scalar("\n", chunks.type))[0].as_buffer().to_pybytes().decode("utf-8", "replace")
+        whole = []
+        if _odd.search(text):
+            split = text.split("\n")
+            at = [k for k, c in enumerate(split) if _odd.search(c)]
+            whole = [split[k] for k in at]
+            self.learn_whole(whole)
+            for k in at:
+                split[k] = WHOLE
+            text = "\n".join(split)
+        text, odd, parts, at = text.lower(), iter(whole), [], 0
+        while at < len(text):  # a part at a time, so that few words are held at once
+            end = text.find("\n", at + PART) + 1 or len(text)
+            found = self.pieces.findall(text, at, end)
+            parts.append(b"".join([self[next(odd) if w == WHOLE else w] for w in found] if whole else map(self.__getitem__, found)))
+            at = end
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        breaks = np.flatnonzero(ids == NO_ID)
+        ids = np.delete(ids, breaks)
+        ends = np.concatenate(([0], breaks - np.arange(len(breaks)), [len(ids)])) * 4
+        return pa.Array.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+
+    def learn_whole(self, chunks: list[str]) -> None:
+        new = [c for c in dict.fromkeys(chunks) if c not in self]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.update((c, _little_endian(e.ids)) for c, e in zip(part, found))
 
 
 @lru_cache(maxsize=2)
-def _chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def _slices(several: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in turn, as many at a time as reach SLICE bytes."""
+    part, size = [], 0
+    for text in several:
+        part.append(text)
+        size += len(text)
+        if size >= SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def token_ids(several: list[bytes], path: str) -> Iterator[bytes]:
@@ -119,11 +158,15 @@ def token_ids(several: list[bytes], path: str) -> Iterator[bytes]:
             for e in _tokenizer(path).encode_batch_fast([t.decode("utf-8", "replace") for t in several[at : at + 64]], add_special_tokens=False):
                 yield _little_endian(e.ids)
         return
-    known = _chunk_ids(path)
-    for text in several:
-        chunks = text.split()
-        known.learn(chunks)
-        yield b"".join(map(known.__getitem__, chunks))
+    for part in _slices(several):
+        split = pc.ascii_split_whitespace(pa.array(part, pa.large_binary()).view(pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        ids = _word_ids(path).of_chunks(chunks.dictionary).take(chunks.indices)
+        last = np.cumsum(pc.list_value_length(split).to_numpy())
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.concatenate(([0], last))].tolist()
+        held = memoryview(ids.buffers()[2] or b"")
+        for start, end in zip(ends, ends[1:]):
+            yield bytes(held[start:end])
 
 
 def token_pieces(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
@@ -131,7 +174,8 @@ def token_pieces(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER
 
     A null or empty text is the end id alone; repeated rows give repeated pieces, a null doc_id stays null, an empty
     table gives an empty result, and other columns are not read. Texts are taken whole; with a tokenizer that has a
-    word_pattern a chunk's ids are looked up, so that repeated words cost one tokenisation a worker.
+    word_pattern the ids of a slice's distinct chunks are put together from those of their words, which a worker
+    remembers.
     """
     last = np.array([end], "<u4").tobytes()
 
