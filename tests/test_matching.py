@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tradewind.operators import matching
+from tradewind.plans import matching as plans
 
 
 def plain(texts, names):
@@ -110,3 +111,13 @@ def test_windows_of_long_texts(spark, monkeypatch, window):
     monkeypatch.setattr(matching, "WINDOW", window)
     got = {(i, low.decode()): n for i, held in matching._counted(column, known) for low, n in held.items() if low.decode() in lows}
     assert got == want
+
+
+def test_names_with_line_ends_and_beyond_the_basic_plane(spark, tmp_path):
+    """Names equal but for what SQL trims are one, under the least id; characters of two UTF-16 units are told apart."""
+    texts = [(0, "Foobar\r\nx"), (6, "Foobar\ny"), (12, "Quux\nfoobar \U0001f600 zed"), (13, "\U0001f600 zed\nquux"), (19, "\U0001f601 zed\nquux"), (25, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    got = sorted((r.id, r.name_id) for r in plans.names_in_documents(spark, str(tmp_path)).collect())
+    assert got == [(0, "doc-0"), (6, "doc-0"), (12, "doc-0"), (12, "doc-12"), (12, "doc-13"), (13, "doc-12"), (13, "doc-13"), (19, "doc-12"), (19, "doc-19")]

@@ -25,7 +25,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.element_at(F.split("text", "\n"), 1), " ")
     own = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name_id"), F.array_join(F.slice(words, F.lit(1), (1 + F.col("doc_id") % 6).cast("int")), " ").alias("name"))
     both = own.unionByName(suppliers(spark, sf_dir).select(F.col("public_id").alias("name_id"), F.col("canonical_name").alias("name")))
-    return both.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("name_id").alias("name_id"))
+    return both.groupBy(F.lower(F.trim("name", F.lit(" \t\r"))).alias("name")).agg(F.min("name_id").alias("name_id"))
 
 
 @query(SUPPLIERS, NAMES, sql="SELECT doc_id AS id, name_id FROM documents JOIN looked ON length(low) >= 3 AND regexp_matches(low, '[0-9a-z]|[^\\x00-\\x7f]') AND contains(lower(text), low) AND regexp_matches(lower(text), '(^|[^0-9a-z])' || regexp_escape(low) || '([^0-9a-z]|$)')")
